@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from gristmill.llm import mixing, sharding
+import public_tokenizers
+
+from gristmill.llm import bpe, mixing, secret_scan, sharding
 from gristmill.runtime import table
 
 
+#: Where the tokenizer file of op10 lies; a parameter of the operator.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_secret_automaton(spark, sf_dir):
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -14,9 +24,15 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_rank_array(spark, sf_dir):
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES = {
+    "op1_secret_automaton": op1_secret_automaton,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op6_mix_sources": op6_mix_sources,
+    "op10_bpe_rank_array": op10_bpe_rank_array,
 }
 
 ORACLE_SQL = {
