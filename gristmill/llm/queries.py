@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, mixing, secret_scan, sharding
+from gristmill.llm import bpe, mixing, secret_scan, sharding, simhash
 from gristmill.runtime import table
 
 
@@ -16,6 +16,10 @@ def op1_secret_automaton(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_blocks(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_bpe_rank_array(spark, sf_dir):
 
 QUERIES = {
     "op1_secret_automaton": op1_secret_automaton,
+    "op2_simhash_blocks": op2_simhash_blocks,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op6_mix_sources": op6_mix_sources,
     "op10_bpe_rank_array": op10_bpe_rank_array,
