@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, mixing, secret_scan, sharding, simhash
+from gristmill.llm import bpe, mixing, quality, secret_scan, sharding, simhash
 from gristmill.runtime import table
 
 
@@ -24,6 +24,10 @@ def op4_hash_tree_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_robust_outliers(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_secret_automaton": op1_secret_automaton,
     "op2_simhash_blocks": op2_simhash_blocks,
     "op4_hash_tree_shards": op4_hash_tree_shards,
+    "op5_robust_outliers": op5_robust_outliers,
     "op6_mix_sources": op6_mix_sources,
     "op10_bpe_rank_array": op10_bpe_rank_array,
 }
