@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, mixing, quality, secret_scan, sharding, simhash
+from gristmill.llm import bpe, mixing, quality, secret_scan, sharding, simhash, url_rules
 from gristmill.runtime import table
 
 
@@ -32,6 +32,10 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_fp_growth_urls(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_rank_array(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_robust_outliers": op5_robust_outliers,
     "op6_mix_sources": op6_mix_sources,
+    "op7_fp_growth_urls": op7_fp_growth_urls,
     "op10_bpe_rank_array": op10_bpe_rank_array,
 }
 
