@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, mixing, quality, secret_scan, sharding, simhash, url_rules
+from gristmill.llm import bpe, language_id, mixing, quality, secret_scan, sharding, simhash, url_rules
 from gristmill.runtime import table
 
 
@@ -20,6 +20,10 @@ def op2_simhash_blocks(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_gru_language(spark, sf_dir):
+    return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_bpe_rank_array(spark, sf_dir):
 QUERIES = {
     "op1_secret_automaton": op1_secret_automaton,
     "op2_simhash_blocks": op2_simhash_blocks,
+    "op3_gru_language": op3_gru_language,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_robust_outliers": op5_robust_outliers,
     "op6_mix_sources": op6_mix_sources,
