@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, language_id, mixing, quality, secret_scan, sharding, simhash, url_rules
+from gristmill.llm import bpe, language_id, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
 from gristmill.runtime import table
 
 
@@ -40,6 +40,10 @@ def op7_fp_growth_urls(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op8_skip_chain_pii(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_rank_array(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_robust_outliers": op5_robust_outliers,
     "op6_mix_sources": op6_mix_sources,
     "op7_fp_growth_urls": op7_fp_growth_urls,
+    "op8_skip_chain_pii": op8_skip_chain_pii,
     "op10_bpe_rank_array": op10_bpe_rank_array,
 }
 
