@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, language_id, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
+from gristmill.llm import bpe, forest_search, language_id, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
 from gristmill.runtime import table
 
 
@@ -44,6 +44,10 @@ def op8_skip_chain_pii(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_projection_forest(spark, sf_dir):
+    return forest_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_rank_array(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_fp_growth_urls": op7_fp_growth_urls,
     "op8_skip_chain_pii": op8_skip_chain_pii,
+    "op9_projection_forest": op9_projection_forest,
     "op10_bpe_rank_array": op10_bpe_rank_array,
 }
 
