@@ -33,8 +33,8 @@ ship(__name__)
 
 #: Parts up to which the array is scanned.
 SHORT = 128
-#: Words kept encoded by a task; at the limit it starts afresh.
-CACHE = 200_000
+#: Words kept encoded by a Python worker; at the limit it starts afresh.
+CACHE = 300_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -121,9 +121,12 @@ class WordBpe:
         got = self.known[word] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids), len(ids))
         return got
 
-    def normal(self, text: str) -> str:
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # each letter for itself: no final sigma
+    def words(self, text: str) -> list[str]:
+        """The normal form of a text, cut at white space."""
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter for itself: no final sigma
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for str.split(), but not white space
+            return [w for w in self.white.split(text) if w]
+        return text.split()
 
     def encode_bytes(self, text: str) -> tuple[bytes, str, int]:
         """(ids as little-endian 32-bit bytes, decoded text, number of ids) of a whole text."""
@@ -133,7 +136,7 @@ class WordBpe:
                 i = self.added[part]
                 out.append((struct.pack("<I", i), self.decode([i]), 1))
             else:
-                out += [known(w) or miss(w) for w in self.normal(part).split(" ") if w]
+                out += [known(w) or miss(w) for w in self.words(part)]
         ids, decoded, counts = zip(*out) if out else ((), (), ())
         return b"".join(ids), " ".join(decoded), sum(counts)
 
@@ -147,13 +150,14 @@ class WordBpe:
 def _run(docs: DataFrame, path: str, row, schema: str) -> DataFrame:
     """Maps (doc_id, text) rows through an encoder; `row` makes the columns after doc_id."""
     with open(path, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast({"source": f.read()})
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches):
-        bpe = WordBpe(source.value)
+        here = shared.value  # one object per Python worker: the encoder and its words serve its later tasks, too
+        bpe = here["bpe"] = here.get("bpe") or WordBpe(here["source"])
         for batch in batches:
             rows = [(i, *row(bpe, text or "")) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = list(zip(*rows)) or [()] * len(names)
@@ -174,9 +178,9 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def _full(bpe: WordBpe, text: str) -> tuple:
     ids, decoded, n = bpe.encode_bytes(text)
-    return n, np.frombuffer(ids, "<u4").astype(np.int64), decoded
+    return n, np.frombuffer(ids, "<u4").astype(np.int32), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded text: the operator's own output."""
-    return _run(docs, path, _full, "doc_id long, n_tokens long, ids array<long>, decoded string")
+    """doc_id, n_tokens, the ids themselves and the digests of ids and decoded text."""
+    return _run(docs, path, _full, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
