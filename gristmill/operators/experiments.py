@@ -105,7 +105,7 @@ def reach(repos: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: repositories and files, those with at least one pair, and the Wilson interval of the repository share."""
     hit = pairs.select("repo", "path").distinct().withColumn("_hit", F.lit(True))
     files = repos.join(hit, ["repo", "path"], "left").groupBy("repo").agg(F.count("*").alias("files"), F.count("_hit").alias("hit_files"))
-    g = files.agg(F.count("*").alias("repos"), F.sum("files").alias("files"), F.count_if("hit_files > 0").alias("hit_repos"), F.sum("hit_files").alias("hit_files"))
+    g = files.agg(F.count("*").alias("repos"), F.sum("files").alias("files"), F.count_if(F.col("hit_files") > 0).alias("hit_repos"), F.sum("hit_files").alias("hit_files"))
     return g.withColumn("low", F.round(wilson(F.col("hit_repos"), F.col("repos"), False), 6)).withColumn("high", F.round(wilson(F.col("hit_repos"), F.col("repos"), True), 6))
 
 
@@ -135,7 +135,7 @@ def ablation(files: DataFrame, segments: list[str]) -> DataFrame:
         mask = mask.bitwiseOR(F.when(F.array_contains(parts, s), F.lit(1 << i)).otherwise(F.lit(0)))
     commits = files.withColumn("mask", mask).groupBy("commit").agg(F.bit_or("mask").alias("any"), F.bit_and("mask").alias("all"), F.bool_and(F.col("mask") != 0).alias("removed"), F.collect_set("mask").alias("masks"))
     bit = lambda c, i: c.bitwiseAND(F.lit(1 << i)) != 0
-    rows = [F.struct(F.lit(s).alias("segment"), bit(F.col("any"), i).alias("touches"), bit(F.col("all"), i).alias("alone"), (F.col("removed") & F.exists("masks", lambda m, i=i: m == F.lit(1 << i))).alias("unique")) for i, s in enumerate(segments)]
+    rows = [F.struct(F.lit(s).alias("segment"), bit(F.col("any"), i).alias("touches"), bit(F.col("all"), i).alias("alone"), (F.col("removed") & F.array_contains("masks", 1 << i)).alias("unique")) for i, s in enumerate(segments)]
     s = commits.select(F.explode(F.array(*rows)).alias("s"))
     return s.groupBy("s.segment").agg(F.count_if("s.touches").alias("touches"), F.count_if("s.alone").alias("removes_alone"), F.count_if("s.unique").alias("unique_removals"))
 

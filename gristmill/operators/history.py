@@ -95,7 +95,7 @@ def scan_estimate(files: Column, route_files: Column, detectors: int = 6) -> tup
     return expected, expected + files * ROUTE_CALLS * CALL_USD, files * (FILE_SECONDS + detectors * CALL_SECONDS)
 
 
-def newer_run(runs: DataFrame, by: list[str]) -> Column:
+def newer_run(by: list[str]) -> Column:
     """Whether a later run of the same group exists: its latest start is after this one's."""
     return F.max("started_at").over(Window.partitionBy(*by)) > F.col("started_at")
 

@@ -60,11 +60,13 @@ def _matches(content: Column, pattern: Pattern) -> Column:
 
 def all_hits(files: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """One row per match of each pattern: path, role, pattern_id, ord, pos, line, match, text (its line, 200 characters)."""
-    per = []
-    for p in patterns:
-        ok = allowed(p, F.col("path")) & F.col("content").rlike(p.regex)
-        tagged = F.transform(_matches(F.col("content"), p), lambda x, p=p: F.struct(F.lit(p.role).alias("role"), F.lit(p.id).alias("pattern_id"), F.lit(p.ord).alias("ord"), x["pos"].alias("pos"), x["line"].alias("line"), x["match"].alias("match")))
-        per.append(F.when(ok, tagged))
+
+    def tagged(p: Pattern) -> Column:
+        own = [F.lit(p.role).alias("role"), F.lit(p.id).alias("pattern_id"), F.lit(p.ord).alias("ord")]
+        rows = F.transform(_matches(F.col("content"), p), lambda x: F.struct(*own, x["pos"].alias("pos"), x["line"].alias("line"), x["match"].alias("match")))
+        return F.when(allowed(p, F.col("path")) & F.col("content").rlike(p.regex), rows)
+
+    per = [tagged(p) for p in patterns]
     hits = files.select("path", "content", F.explode(F.flatten(F.filter(F.array(*per), lambda x: x.isNotNull()))).alias("h"))
     return hits.select("path", "h.*", line_text(F.col("content"), F.col("h.line")).alias("text"))
 

@@ -1,5 +1,9 @@
 """All registered queries of the engine's own operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from gristmill.plans import history_queries, scan_queries
+
+QUERIES: dict = {**scan_queries.QUERIES, **history_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scan_queries.ORACLE_SQL, **history_queries.ORACLE_SQL}
 FLAGSHIP = "scan_outcomes"
