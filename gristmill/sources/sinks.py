@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.functions.text import clip_utf8, ellipsis, fence, snippet, table_cell
 from gristmill.operators.findings import level_of, newest_per
@@ -43,7 +44,7 @@ def report_lines(findings: DataFrame) -> DataFrame:
     return g.select("path", "findings", F.concat(F.lit("### "), "path", F.lit("\n\n"), F.array_join(F.transform("items", lambda x: x["_item"]), "\n")).alias("markdown"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _clipped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else clip_utf8(t, COMMENT_BYTES, MARKER, NOTICE))
 
