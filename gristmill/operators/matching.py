@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.catalog import REDACTED, Pattern
-from gristmill.functions.text import line_at, line_text, lines_of, newlines_in
+from gristmill.functions.text import line_at, line_text, lines_of
 from gristmill.operators.files import allowed
 
 HIT = "array<struct<pattern_id:string,ord:int,tier:string,pos:int,line:int,text:string>>"
@@ -40,31 +40,37 @@ def unredacted_hit(files: DataFrame, patterns: list[Pattern], redacted: str = RE
     return hits.groupBy("path").agg(best).select("path", "b.pattern_id", "b.ord", "b.pos", "b.line", "b.text")
 
 
-def _matches(content: Column, pattern: Pattern) -> Column:
-    """(place, match, pos, line) of every non-overlapping match: the texts between matches give the offsets."""
-    found = F.regexp_extract_all(content, F.lit(pattern.regex), F.lit(0))
-    between = F.split(content, pattern.regex, -1)
-    # running offset and newline count, match by match
-    zero = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("breaks"), F.array().cast("array<struct<match:string,pos:int,line:int>>").alias("out"))
+def _quoted(text: str) -> str:
+    """An SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def step(acc, i):
-        gap, m = F.get(between, i), F.get(found, i)
-        lead = F.when(F.lit(pattern.lead) & F.substring(m, 1, 1).isin("\n", "\r"), 1).otherwise(0)
-        start = acc["chars"] + F.length(gap)
-        line = acc["breaks"] + newlines_in(gap) + F.when(F.lit(pattern.lead) & m.startswith("\n"), 1).otherwise(0)
-        one = F.struct(m.alias("match"), (start + 1 + lead).cast("int").alias("pos"), (line + 1).cast("int").alias("line"))
-        return F.struct((start + F.length(m)).cast("int").alias("chars"), (acc["breaks"] + newlines_in(gap) + newlines_in(m)).cast("int").alias("breaks"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda a: a["out"]))
+def _breaks(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, '\\n', '')))"
+
+
+def _matches(content: str, pattern: Pattern) -> str:
+    """SQL for (role, pattern_id, ord, pos, line, match) of every non-overlapping match in the column `content`.
+
+    Running sums over the matches and the texts before them give the offsets. SQL text, as a
+    catalogue of column objects takes the driver longer to build than the scan of a small corpus.
+    """
+    rx = _quoted(pattern.regex)
+    lead = "int(startswith(x.m, '\\n') OR startswith(x.m, '\\r'))" if pattern.lead else "0"
+    broken = "int(startswith(x.m, '\\n'))" if pattern.lead else "0"
+    found = f"regexp_extract_all({content}, {rx}, 0)"
+    pieces = f"zip_with({found}, slice(split({content}, {rx}, -1), 1, size({found})), (m, gap) -> named_struct('m', m, 'gap', gap))"
+    one = f"named_struct('role', '{pattern.role}', 'pattern_id', '{pattern.id}', 'ord', {pattern.ord}, 'pos', acc.chars + length(x.gap) + 1 + {lead}, 'line', acc.breaks + {_breaks('x.gap')} + {broken} + 1, 'match', x.m)"
+    step = f"named_struct('chars', acc.chars + length(x.gap) + length(x.m), 'breaks', acc.breaks + {_breaks('x.gap')} + {_breaks('x.m')}, 'out', concat(acc.out, array({one})))"
+    zero = "named_struct('chars', 0, 'breaks', 0, 'out', cast(array() AS array<struct<role:string,pattern_id:string,ord:int,pos:int,line:int,match:string>>))"
+    return f"aggregate({pieces}, {zero}, (acc, x) -> {step}, acc -> acc.out)"
 
 
 def all_hits(files: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """One row per match of each pattern: path, role, pattern_id, ord, pos, line, match, text (its line, 200 characters)."""
 
     def tagged(p: Pattern) -> Column:
-        own = [F.lit(p.role).alias("role"), F.lit(p.id).alias("pattern_id"), F.lit(p.ord).alias("ord")]
-        rows = F.transform(_matches(F.col("content"), p), lambda x: F.struct(*own, x["pos"].alias("pos"), x["line"].alias("line"), x["match"].alias("match")))
-        return F.when(allowed(p, F.col("path")) & F.col("content").rlike(p.regex), rows)
+        return F.when(allowed(p, F.col("path")), F.expr(f"CASE WHEN rlike(content, {_quoted(p.regex)}) THEN {_matches('content', p)} END"))
 
     per = [tagged(p) for p in patterns]
     hits = files.select("path", "content", F.explode(F.flatten(F.filter(F.array(*per), lambda x: x.isNotNull()))).alias("h"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.runtime import cut
+
 # Fixed values.
 NEAR_LINES = 200
 MOST_PAIRS = 12
@@ -19,7 +21,8 @@ def nearest_pairs(hits: DataFrame, near: int = NEAR_LINES, most: int = MOST_PAIR
     Lines are cut into bands of `near` and joined on neighbouring bands, so a long file's hits meet
     only those within reach; sources are first reduced to one per line.
     """
-    best = lambda role: hits.where(F.col("role") == role).groupBy("path", "line").agg(F.min(F.struct("ord", "pos", "pattern_id")).alias(role))
+    firsts = cut(hits.groupBy("path", "role", "line").agg(F.min(F.struct("ord", "pos", "pattern_id")).alias("first")))  # contents are searched once for both sides
+    best = lambda role: firsts.where(F.col("role") == role).withColumnRenamed("first", role)
     band = F.floor(F.col("line") / near)
     sinks = best("sink").select("path", F.col("line").alias("sink_line"), "sink", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     sources = best("source").select("path", F.col("line").alias("source_line"), "source", band.alias("band"))

@@ -37,6 +37,19 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def hashed_sample(rows: DataFrame, total: int, n: int) -> DataFrame:
+    """About the `n` distinct rows of `rows` (`total` in all) with the smallest hashes: the same for the same rows.
+
+    A threshold on the hash, set from `total`, lets half as many again through, so what is sorted and
+    sent on follows n and not the number of tasks; rows that repeat are combined before the shuffle.
+    """
+    share = min(1.0, 1.5 * n / max(total, 1))
+    limit = (1 << 63) - 1 if share >= 1 else int(-(1 << 63) + share * (1 << 64))
+    names = rows.columns
+    few = rows.withColumn("_h", F.xxhash64(*names)).where(F.col("_h") <= limit).dropDuplicates(["_h"])
+    return few.orderBy("_h").limit(n).select(*names)
+
+
 def ship(module: str) -> None:
     """Send the functions of `module` to executors by value, so that these need no installed copy."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
