@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gristmill.plans import history_queries, scan_queries
+from gristmill.plans import history_queries, review_queries, scan_queries
 
-QUERIES: dict = {**scan_queries.QUERIES, **history_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scan_queries.ORACLE_SQL, **history_queries.ORACLE_SQL}
+QUERIES: dict = {**scan_queries.QUERIES, **history_queries.QUERIES, **review_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scan_queries.ORACLE_SQL, **history_queries.ORACLE_SQL, **review_queries.ORACLE_SQL}
 FLAGSHIP = "scan_outcomes"

@@ -29,8 +29,8 @@ def deliver_once(events: DataFrame, key: str = "delivery_id", ts: str = "ts", la
 def limit_rate(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id", most: int = PER_WINDOW, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """`events` (key, ts, tie) with allowed and window_start: at most `most` per window, which starts at a key's first event after the last window.
 
-    The state of a key is one start and one count. A batch of a key is cut by its event times'
-    hour first only in memory order; keys are independent, and a hot key's rows stream through.
+    Windows of a key depend on those before, so a key is read in order by one task; it streams
+    through sorted, and only one start and one count are held.
     """
     schema = f"{key} long, {tie} long, {ts} timestamp, window_start timestamp, allowed boolean"
 
