@@ -27,14 +27,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gristmill.llm.scan import slices
 from gristmill.runtime import ship
 
 ship(__name__)
+ship("gristmill.llm.scan")
 
 #: Parts up to which the array is scanned.
 SHORT = 128
 #: Words kept encoded by a Python worker; at the limit it starts afresh.
-CACHE = 300_000
+CACHE = 200_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -158,7 +160,7 @@ def _run(docs: DataFrame, path: str, row, schema: str) -> DataFrame:
     def run(batches):
         here = shared.value  # one object per Python worker: the encoder and its words serve its later tasks, too
         bpe = here["bpe"] = here.get("bpe") or WordBpe(here["source"])
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, *row(bpe, text or "")) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=names)

@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.scan import slices
 from gristmill.runtime import cut, ship, small_side
 
 ship(__name__)
+ship("gristmill.llm.scan")
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -90,7 +92,7 @@ def measure(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [statistics(t or "") for t in batch.column(3).to_pylist()]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "lang", "source", *names])

@@ -1,10 +1,21 @@
-"""Span digests shared by the secret and personal-data scans."""
+"""What the Python-side scans share: small slices of batches, and span digests."""
 
 from __future__ import annotations
 
 import hashlib
 
 
+#: Rows of an Arrow batch that are Python objects at the same time.
+SLICE = 256
+
+
+def slices(batches):
+    """The batches in slices of few rows, so that a worker's memory follows these and not Arrow's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def code_points(data: bytes, offsets: list[int]) -> dict[int, int]:
     """Byte offset -> code-point offset, for offsets on character boundaries."""
     out, at, n = {}, 0, 0

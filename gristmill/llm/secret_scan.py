@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.automaton import Rule, alt, cls, lit, match_automaton, rep, search_automaton, seq
-from gristmill.llm.scan import code_points, joined, sha256
+from gristmill.llm.scan import code_points, joined, sha256, slices
 from gristmill.runtime import ship
 
 ship(__name__)
@@ -128,7 +128,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         scanner = Scanner()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [_digest(i, data or b"", scanner.spans(data or b"")) for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2

@@ -31,9 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.components import components
+from gristmill.llm.scan import slices
 from gristmill.runtime import cut, ship
 
 ship(__name__)
+ship("gristmill.llm.scan")
 
 BITS = 64
 NEAR = 3
@@ -63,7 +65,7 @@ def fingerprints(docs: DataFrame, keys: list) -> DataFrame:
     """`keys` (columns of `docs`) and fp, the fingerprint of text as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t or b"") for t in batch.column("_text").to_pylist()], np.uint64).astype(np.int64)
             columns = [batch.column(c) for c in batch.schema.names if c != "_text"] + [pa.array(values)]
             yield pa.RecordBatch.from_arrays(columns, names=[*(c for c in batch.schema.names if c != "_text"), "fp"])
