@@ -43,7 +43,8 @@ def test_windows_hold_the_whole_text():
     assert L.windows(data).tobytes().rstrip(b"\0") == data and len(L.windows(b"")) == 0
 
 
-def test_edges(spark, make, awkward, empty, clashing):
+def test_edges(spark, make, awkward, empty, clashing, monkeypatch):
+    monkeypatch.setattr(L, "BATCH", 16)  # small steps: the answers here don't depend on skill
     got = {r.doc_id: r for r in L.learn_and_identify(awkward).collect()}
     assert L.learn_and_identify(awkward).count() == 10
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3))

@@ -46,7 +46,8 @@ def test_stages_equal_their_operators(spark, sf):
         assert list(r.ids) == tokens.encode(texts[r.doc_id], add_special_tokens=False).ids
 
 
-def test_run_and_empty_table(spark, sf, empty):
+def test_run_and_empty_table(spark, sf, empty, monkeypatch):
+    monkeypatch.setattr(language_id, "BATCH", 32)
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "personal_data", "mixture", "tokens"]
     docs = empty
     for _, stage in P.STAGES:
