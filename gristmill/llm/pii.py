@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.scan import joined, sha256
-from gristmill.runtime import ship
+from gristmill.llm.scan import joined, sha256, slices
+from gristmill.runtime import hashed_sample, ship
 
 ship(__name__)
 ship("gristmill.llm.scan")
@@ -47,7 +47,7 @@ TOKEN = re.compile(r"[^ \t-\r]+")
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 10_000
 STEPS, RATE, PENALTY = 60, 0.3, 1e-3
-ROUNDS = 8
+ROUNDS = 12
 SURE = 0.95
 #: Candidate tokens of a batch of documents that pass messages together.
 NODES = 50_000
@@ -239,9 +239,9 @@ def train(texts: list[str]) -> Field | None:
 
 
 def sample(docs: DataFrame) -> list[str]:
-    """The bounded training sample, by hash of the id; texts that hold a candidate."""
-    rows = docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@+]"))
-    return [x.text for x in rows.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    """The bounded training sample, by hash; texts that hold a candidate."""
+    rows = docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@+]")).select("doc_id", "text")
+    return [x.text for x in hashed_sample(rows, rows.count(), SAMPLE_DOCS).collect()]
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -296,7 +296,7 @@ def find_personal_data(docs: DataFrame, field_: Field | None = None) -> DataFram
     field_ = field_ or train(sample(docs))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
             for doc_id, (base, more) in zip(batch.column(0).to_pylist(), find(field_, texts)):
@@ -325,7 +325,7 @@ def redact(docs: DataFrame, field_: Field | None = None) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             found = find(field_, [t or "" for t in texts])
             new = [t if not (base or more) else redacted(t, base + more) for t, (base, more) in zip(texts, found)]
