@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.runtime import cut, ship
+from gristmill.runtime import cut, hashed_sample, ship
 
 ship(__name__)
 
@@ -157,7 +157,8 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = cut(rows.where(F.size("v") == size["n"]))
     unique = cut(distinct_vectors(rows, k))
-    taken = unique.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
+    n_unique = unique.count()
+    taken = hashed_sample(unique.select("v"), n_unique, SAMPLE).toPandas()
     forest = Forest(_matrix(taken["v"]))
     shared = spark.sparkContext.broadcast({"trees": [(t.normals, t.offsets, t.children, t.root, t.leaves) for t in forest.trees], "visits": forest.visits})
 
@@ -195,7 +196,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     per_leaf = forest.leaves / len(forest.trees)
-    row_blocks = int(unique.count() / per_leaf // BLOCK) + 1
+    row_blocks = int(n_unique / per_leaf // BLOCK) + 1
     query_blocks = int(queries.count() * forest.visits / forest.leaves // BLOCK) + 1
     own = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
