@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.runtime import ship
+from gristmill.llm.scan import slices
+from gristmill.runtime import cut, ship, small_side
 
 ship(__name__)
+ship("gristmill.llm.scan")
 
 HIDDEN = 8
 WINDOW = 64
@@ -175,12 +177,20 @@ def train(examples: list[tuple[str, bytes]], seed: int = SEED, steps: int = STEP
 
 
 def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """The bounded training sample: excerpts of labelled documents outside the held-out fold, by hash."""
-    chosen = docs.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = F.xxhash64("doc_id")
-    start = F.pmod(order, F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1) + 1
-    rows = chosen.select("lang", "doc_id", order.alias("h"), F.substring("text", start.cast("int"), F.lit(EXCERPT)).alias("part"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))).where(F.col("rank") <= PER_LANGUAGE)
+    """The bounded training sample: excerpts of labelled documents outside the held-out fold, by hash.
+
+    A threshold on the hash, set from each language's count, lets about half as many again through
+    as are taken, so what is ranked follows the sample and not the table; rows of one id count once.
+    """
+    chosen = docs.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull())
+    counts = cut(chosen.groupBy("lang").agg(F.count("*").alias("_n")))
+    share = F.least(F.lit(1.0), F.lit(1.5 * PER_LANGUAGE) / F.col("_n"))
+    limits = counts.select("lang", F.when(share < 1, ((share - F.lit(0.5)) * F.lit(2.0**64)).cast("long")).otherwise(F.lit((1 << 63) - 1)).alias("_limit"))
+    rows = chosen.where(F.length("text") > 0).select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    few = rows.join(small_side(limits, counts.count()), "lang").where(F.col("h") <= F.col("_limit"))
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1) + 1
+    parts = few.select("lang", "h", F.substring("text", start.cast("int"), F.lit(EXCERPT)).alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part"))
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= PER_LANGUAGE)
     return [(x.lang, x.part.encode()) for x in ranked.orderBy("rank", "lang").limit(SAMPLE_DOCS).collect()]
 
 
@@ -211,7 +221,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of `docs` (doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = predict(net, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -229,7 +239,7 @@ def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = predict(net, batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
 
