@@ -107,8 +107,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=LISTED) -> DataFrame:
     rule, says = listed_rule(F.col("host"), F.col("path"), rules)
     known = cut(parts.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")))
     mined = mine(labelled(known, labels))
-    caught = matched(known.where("rule IS NULL").select("tokens").distinct(), mined).withColumn("mined", F.lit(True))
-    joined = known.join(caught, "tokens", "left")
+    caught = cut(matched(known.where("rule IS NULL").select("tokens").distinct(), mined).withColumn("mined", F.lit(True)))
+    joined = known.join(small_side(caught, caught.count()), "tokens", "left")
     verdict = F.coalesce("says", F.when(F.col("mined"), "block").otherwise("allow"))
     by = F.when(F.col("says") == "block", "listed").when(F.col("says").isNull() & F.col("mined"), "mined")
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), by.alias("blocked_by"))
