@@ -30,9 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm import near_copies
 from gristmill.llm.components import components
 from gristmill.llm.scan import slices
-from gristmill.runtime import cut, ship
+from gristmill.runtime import cut, ship, small_side
 
 ship(__name__)
 ship("gristmill.llm.scan")
@@ -132,14 +133,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: the one with the smallest doc_id (null last), then row hash.
+    """`docs` with one row of each group of near copies: the one with the smallest doc_id (null last), then row hash.
 
-    Rows equal in every column are combined before the shuffle and count as one.
+    Near copies share 0.8 or more of their 5-word shingles (`near_copies`); the settings above are op2's
+    alone. Rows equal in every column are combined before the shuffle and count as one.
     """
     names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(*names)).dropDuplicates(["doc_id", "_row"])
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    known = cut(fingerprints(docs, ["doc_id", F.xxhash64(*names).alias("_row")]).distinct())
-    kept = fingerprint_components(known, order).select(F.col("component.doc_id").alias("_id"), F.col("component._row").alias("_kept")).distinct()
-    same = (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return keyed.join(kept, same, "left_semi").select(*names)
+    rowed = docs.withColumns({"_row": F.xxhash64(*names), "_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    keyed = rowed.dropDuplicates(["_doc", "_row"])  # dealt once by what the last join needs
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_doc", "_row")
+    known = cut(near_copies.sketches(rowed, ["doc_id", "_doc", "_row"]))
+    least = cut(known.groupBy("set").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        one = cut(least.join(wanted, "set").select("set", "least._doc", "least._row"))
+        found = rowed.select("_doc", "_row", "text").join(small_side(one, one.count()), ["_doc", "_row"]).dropDuplicates(["set"])
+        return near_copies.shingle_sets(found, ["set"])
+
+    roots = components(near_copies.links(least, texts)).select(F.col("node").alias("set"), "root")
+    joined = least.select("set", "least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    kept = joined.groupBy("root").agg(F.min("least").alias("first")).select("first._doc", "first._row")
+    return keyed.join(kept, ["_doc", "_row"], "left_semi").select(*names)
