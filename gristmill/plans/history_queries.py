@@ -179,6 +179,13 @@ def insert_or_ignore(spark, sf_dir):
     return history.insert_new(e.where("event_id % 90 = 1"), e.where("event_id % 3 = 0"), "user_id").select("event_id", "user_id")
 
 
+@query("""SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 <> 0 AND user_id IS NOT NULL)""")
+def insert_or_ignore_whole(spark, sf_dir):
+    """Every event is on one side: odd ones are stored, even ones come in."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return history.insert_new(e.where("event_id % 2 <> 0"), e.where("event_id % 2 = 0"), "user_id").select("event_id", "user_id")
+
+
 @query("""SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS month, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE value > 50 GROUP BY ALL""")
 def claim_once_per_month(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value > 50")
@@ -261,6 +268,18 @@ def window_scoring(spark, sf_dir):
     return experiments.window_scores(li, hunks)
 
 
+@query("""WITH f AS (SELECT DISTINCT l_suppkey % 50 AS "case", CASE WHEN l_linenumber % 2 = 0 THEN 'parent' ELSE 'fix' END AS side, l_partkey % 10 AS path, l_orderkey % 400 AS line, l_returnflag AS family FROM lineitem),
+h AS (SELECT DISTINCT s_suppkey % 50 AS "case", s_suppkey % 10 AS path, CAST((s_suppkey * 13) % 380 AS BIGINT) AS f, 'R' AS family FROM supplier),
+n AS (SELECT "case", bool_or(side = 'parent') AS p, bool_or(side = 'fix') AS x FROM f JOIN h USING ("case", path, family) WHERE line BETWEEN f - 20 AND f + 3 + 20 GROUP BY ALL)
+SELECT DISTINCT h."case", coalesce(p, false) AS registered, coalesce(p, false) AND NOT coalesce(x, false) AS discriminating FROM h LEFT JOIN n USING ("case")""")
+def window_scoring_whole(spark, sf_dir):
+    """All of lineitem; repeated findings are combined before the join."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("case"), F.when(F.col("l_linenumber") % 2 == 0, "parent").otherwise("fix").alias("side"), (F.col("l_partkey") % 10).alias("path"), (F.col("l_orderkey") % 400).alias("line"), F.col("l_returnflag").alias("family"))
+    s = F.col("s_suppkey")
+    hunks = table(spark, sf_dir, "supplier").select((s % 50).alias("case"), (s % 10).alias("path"), ((s * 13) % 380).alias("first"), ((s * 13) % 380 + 3).alias("last"), F.lit("R").alias("family")).distinct()
+    return experiments.window_scores(li.distinct(), hunks)
+
+
 @query("""SELECT coalesce(a.ord, b.ord) AS ord, a.v AS left_value, b.v AS right_value FROM (SELECT n_nationkey AS ord, n_name AS v FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_nationkey AS ord, CASE WHEN n_nationkey % 4 = 0 THEN 'X' ELSE n_name END AS v FROM nation WHERE n_nationkey > 2) b USING (ord) WHERE a.v IS DISTINCT FROM b.v""")
 def list_drift(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("value"))
