@@ -3,8 +3,8 @@
 A page's URL is cut into tokens (scheme, host with its position-free labels, path words, query
 keys; digits become #). Labelled pages (the document number in the path joined to `labels`) are
 transactions of tokens plus an item for a bad label. FP-growth finds token combinations that imply
-the bad label; rules below `MIN_CONFIDENCE`, below the support of `MIN_SUPPORT` or of `MIN_PAGES`
-pages, or with a proper subset rule that is as sure, are pruned. A URL is blocked if it holds all
+the bad label; rules below `MIN_CONFIDENCE`, below the support of `MIN_PAGES` pages, whatever
+the number of labelled pages, or with a proper subset rule that is as sure, are pruned. A URL is blocked if it holds all
 tokens of a rule: tokens are joined to an inverted index (token -> rule) and hits are counted per
 distinct token set, so pages that share their tokens are matched once.
 
@@ -27,6 +27,7 @@ from gristmill.runtime import cut, small_side
 #: Listed rules: (verdict, host and path).
 LISTED = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 MIN_CONFIDENCE = 0.5
+#: Share of pages up to which support once grew; only the tests read it.
 MIN_SUPPORT = 0.002
 #: Pages a rule must hold on, whatever the share.
 MIN_PAGES = 30
@@ -81,7 +82,7 @@ def mine(examples: DataFrame) -> DataFrame:
     schema = "rule long, antecedent array<string>, confidence double"
     if n < MIN_PAGES:
         return spark.createDataFrame([], schema)
-    support = max(MIN_SUPPORT, MIN_PAGES / n)
+    support = (MIN_PAGES - 0.5) / n  # rounded up to MIN_PAGES pages at every n
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(items).associationRules
     rules = cut(found.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence"))
     smaller = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
