@@ -13,7 +13,6 @@ from gristmill.runtime import cut
 
 # Fixed values.
 LAYOUTS = ("_layout.tsx", "_layout.ts", "_layout.jsx", "_layout.js")
-DEEPEST = 64
 CALL_DEPTH = 3
 # End of fixed values.
 
@@ -30,7 +29,7 @@ def prefix_covers(prefix: Column, path: Column) -> Column:
     return prefix.isin("/", "") | (path == "<dynamic>") | (path == bare) | path.startswith(F.concat(bare, F.lit("/")))
 
 
-def chains(mounts: DataFrame, depth: int = DEEPEST) -> DataFrame:
+def chains(mounts: DataFrame) -> DataFrame:
     """receiver, prefix, through from mounts (parent, child, prefix): every way from a receiver up to a root.
 
     Each round adds one parent to the chains that still have one, so it runs as deep as the deepest
@@ -39,15 +38,14 @@ def chains(mounts: DataFrame, depth: int = DEEPEST) -> DataFrame:
     up = mounts.select(F.col("child").alias("_child"), F.col("parent").alias("_parent"), F.col("prefix").alias("_prefix"))
     open_ = cut(mounts.select(F.col("child").alias("receiver"), F.col("parent").alias("top"), F.col("prefix").alias("prefix"), F.array("parent").alias("through"), F.array("child", "parent").alias("seen")).withColumn("looped", F.col("top") == F.col("receiver")))
     done = None
-    for _ in range(depth):
+    while True:
         joined = open_.where("NOT looped").join(up, F.col("top") == F.col("_child"), "left")
         ended = joined.where("_parent IS NULL").select("receiver", "prefix", "through").unionByName(open_.where("looped").select("receiver", "prefix", "through"))
         done = ended if done is None else done.unionByName(ended)
         more = joined.where("_parent IS NOT NULL").select("receiver", F.col("_parent").alias("top"), join_path(F.col("_prefix"), F.col("prefix")).alias("prefix"), F.concat(F.array("_parent"), "through").alias("through"), F.concat("seen", F.array("_parent")).alias("seen"), F.array_contains("seen", F.col("_parent")).alias("looped"))
         open_ = cut(more)
         if open_.isEmpty():
-            break
-    return done
+            return done
 
 
 def mounted_routes(routes: DataFrame, mounts: DataFrame) -> DataFrame:
