@@ -37,6 +37,12 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(names: list[str], stem: str) -> str:
+    """A column name that none of `names` equals, whatever their case."""
+    taken = {n.lower() for n in names}
+    return next(n for n in (f"_{stem}{i or ''}" for i in range(len(names) + 1)) if n not in taken)
+
+
 def hashed_sample(rows: DataFrame, total: int, n: int) -> DataFrame:
     """About the `n` distinct rows of `rows` (`total` in all) with the smallest hashes: the same for the same rows.
 
