@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gristmill.llm import near_copies
 from gristmill.llm.components import components
 from gristmill.llm.scan import slices
-from gristmill.runtime import cut, ship, small_side
+from gristmill.runtime import cut, fresh, ship, small_side
 
 ship(__name__)
 ship("gristmill.llm.scan")
@@ -136,21 +136,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near copies: the one with the smallest doc_id (null last), then row hash.
 
     Near copies share 0.8 or more of their 5-word shingles (`near_copies`); the settings above are op2's
-    alone. Rows equal in every column are combined before the shuffle and count as one.
+    alone. Rows equal in every column are combined before the shuffle and count as one, so that many
+    such rows don't meet in one task. Columns of any name keep their values: the helper's names are
+    chosen apart from them. Null and empty texts are copies of each other; an empty table gives no rows.
     """
     names = docs.columns
-    rowed = docs.withColumns({"_row": F.xxhash64(*names), "_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    keyed = rowed.dropDuplicates(["_doc", "_row"])  # dealt once by what the last join needs
+    row, doc = fresh(names, "row"), fresh(names, "doc")
+    rowed = docs.withColumns({row: F.xxhash64(*names), doc: F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    keyed = rowed.dropDuplicates([doc, row])  # dealt once by what the last join needs
+    narrow = rowed.select("doc_id", F.col(doc).alias("_doc"), F.col(row).alias("_row"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_doc", "_row")
-    known = cut(near_copies.sketches(rowed, ["doc_id", "_doc", "_row"]))
-    least = cut(known.groupBy("set").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    known = cut(near_copies.sketches(narrow, ["doc_id", "_doc", "_row"]))
+    least = cut(known.groupBy("set").agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in ("n", "bands", "bits"))))
 
     def texts(wanted: DataFrame) -> DataFrame:
         one = cut(least.join(wanted, "set").select("set", "least._doc", "least._row"))
-        found = rowed.select("_doc", "_row", "text").join(small_side(one, one.count()), ["_doc", "_row"]).dropDuplicates(["set"])
+        found = narrow.drop("doc_id").join(small_side(one, one.count()), ["_doc", "_row"]).dropDuplicates(["set"])
         return near_copies.shingle_sets(found, ["set"])
 
     roots = components(near_copies.links(least, texts)).select(F.col("node").alias("set"), "root")
     joined = least.select("set", "least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    kept = joined.groupBy("root").agg(F.min("least").alias("first")).select("first._doc", "first._row")
-    return keyed.join(kept, ["_doc", "_row"], "left_semi").select(*names)
+    kept = joined.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._doc").alias(doc), F.col("first._row").alias(row))
+    return keyed.join(kept, [doc, row], "left_semi").select(*names)

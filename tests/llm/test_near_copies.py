@@ -56,7 +56,7 @@ def test_links_of_small_and_large_buckets(spark, make, hot):
     base = near_texts(random.Random(6), 4, 30)
     docs = make(list(enumerate(base)))
     known = N.sketches(docs, ["doc_id"]).cache()
-    distinct = known.groupBy("set").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = known.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "bands", "bits")))
     sets = known.select("set", "doc_id").join(N.shingle_sets(docs, ["doc_id"]), "doc_id").dropDuplicates(["set"]).select("set", "shingles")
     found = N.links(distinct, lambda wanted: sets.join(wanted, "set", "left_semi"), hot).collect()
     of = {r.set: r.doc_id for r in known.collect()}
@@ -66,6 +66,25 @@ def test_links_of_small_and_large_buckets(spark, make, hot):
     assert len({least.get(s, s) for s in of}) == len(groups(base))
 
 
+def test_bitmaps_bound_what_sets_share():
+    r = random.Random(7)
+    for _ in range(300):
+        size, common = r.randint(1, 900), r.random()
+        a = np.array([r.getrandbits(64) for _ in range(size)], np.uint64)
+        b = np.concatenate([a[: int(common * size)], np.array([r.getrandbits(64) for _ in range(r.randint(0, size))], np.uint64)])
+        lacking = lambda x, y: sum(int(v).bit_count() for v in (N.bitmap(x).view(np.uint64) & ~N.bitmap(y).view(np.uint64)))
+        shared = len(set(a.tolist()) & set(b.tolist()))
+        assert shared <= min(len(a) - lacking(a, b), len(b) - lacking(b, a))
+
+
+def test_keep_one_keeps_every_column(spark):
+    """Helper names are no reason to change or lose a column; repeated rows and null ids count once."""
+    rows = [(1, "a b c d e f g h", 7, "x", 3), (2, "a b c d e f g h", 8, "y", 4), (2, "a b c d e f g h", 8, "y", 4), (3, None, 9, "z", 5), (None, "", 1, "w", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, _Doc string, row int")
+    got = S.keep_one(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[3]]
+
+
 def test_short_texts_have_no_bands():
     assert N.bands(N.shingles(b"a b c")) == [] and len(N.shingles(b"")) == 0 and len(N.shingles(b"One two")) == 1
     assert len(N.bands(np.arange(5, dtype=np.uint64))) == N.BANDS

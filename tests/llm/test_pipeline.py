@@ -3,10 +3,15 @@ from collections import Counter
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from gristmill.llm import language_id, mixing, pii, simhash
+from gristmill.llm import language_id, mixing, pii
 from gristmill.llm.queries import TOKENIZER
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1 if words else 0))}
+
+
 def test_stages_equal_their_operators(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = [r.asDict() for r in docs.collect()]
@@ -19,14 +24,14 @@ def test_stages_equal_their_operators(spark, sf):
     assert Counter(r.doc_id for r in known.collect()) == Counter(r["doc_id"] for r in keep)
 
     single = stage["near_duplicates"](spark, known, sf).cache()
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"].encode()) for r in keep}
-    root = {i: i for i in prints}
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in keep}
+    root = {i: i for i in sets}
     changed = True
     while changed:  # all pairs, until nothing changes
         changed = False
-        for a in prints:
-            for b in prints:
-                if root[a] > root[b] and bin(prints[a] ^ prints[b]).count("1") <= 3:
+        for a in sets:
+            for b in sets:
+                if root[a] > root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[a], changed = root[b], True
     assert sorted(r.doc_id for r in single.collect()) == sorted(i for i in root if root[i] == i)
 
