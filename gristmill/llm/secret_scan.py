@@ -69,16 +69,24 @@ class Scanner:
         # from a sink no byte leads on and nothing is accepted
         self.sinks = [{s for s, row in enumerate(d.rows) if not d.marks[s] and all(t == s for t in row)} for d in self.ends]
 
-    def starts(self, data: bytes) -> list[tuple[int, int]]:
-        """(offset, rules that have a match starting there), last offset first: the one byte pass."""
+    def starts(self, data: bytes) -> list[list[int]]:
+        """[first, last, rules]: runs of offsets at which the same rules have a match, last run first. The one byte pass.
+
+        A long run of hex digits starts a match at nearly every byte; it is held as one run.
+        """
         rows, least, found = self.rows, self.first_mark, []
-        row, at = rows[self.start], len(data)
+        row, at, run = rows[self.start], len(data), [-1, -1, 0]
         for b in reversed(data):
             at -= 1
             s = row[b]
             row = rows[s]
             if s >= least:
-                found.append((at, self.marks[s]))
+                mark = self.marks[s]
+                if run[0] == at + 1 and run[2] == mark:
+                    run[0] = at
+                else:
+                    run = [at, at, mark]
+                    found.append(run)
         return found
 
     def longest(self, rule: int, data: bytes, start: int) -> int:
@@ -98,13 +106,15 @@ class Scanner:
         if not found:
             return []
         free, out = [0] * len(self.rules), []
-        for at, mark in reversed(found):
+        for first, last, mark in reversed(found):
             for i, rule in enumerate(self.rules):
-                if mark >> i & 1 and at >= free[i]:
+                at = max(first, free[i])
+                while mark >> i & 1 and at <= last:
                     end = free[i] = self.longest(i, data, at)
                     length = self.value_length(data[at:end]) if rule.kind == "assign" else end - at
                     if length >= (LEAST_VALUE if rule.kind == "assign" else LEAST.get(rule.kind, 0)):
                         out.append((rule.kind, at, end))
+                    at = max(end, at + 1)
         return out
 
     @staticmethod

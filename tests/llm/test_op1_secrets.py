@@ -38,6 +38,14 @@ def test_added_kinds_and_minimal_automaton():
     assert ends == [4, 6]
 
 
+def test_long_runs_of_hex_are_held_as_runs():
+    scanner = S.Scanner()
+    data = b"0123456789abcdef" * 20_000 + b" " + b"AKIA" + b"A1" * 5000 + b" " + b"f" * 30
+    found = scanner.starts(data)
+    assert len(found) <= 8 and sum(last - first + 1 for first, last, _ in found) > 300_000
+    assert [x for x in scanner.spans(data) if x[0] in S.BASE] == [("hex", 0, 320_000), ("access", 320_001, 330_005), ("hex", 330_006, 330_036)]
+
+
 def test_edges(spark, make, awkward, empty, clashing):
     got = {(r.doc_id, r.spans) for r in S.find_secrets(awkward).collect()}
     assert (1, "") in got and (None, "") in got and len(S.find_secrets(awkward).collect()) == 10
