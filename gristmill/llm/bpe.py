@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 
@@ -35,10 +36,26 @@ ship("gristmill.llm.scan")
 
 #: Parts up to which the array is scanned.
 SHORT = 128
-#: Words kept encoded by a Python worker; at the limit it starts afresh.
-CACHE = 200_000
+#: Words kept encoded by a Python worker, the bytes that they may take by a rough count, and the longest one kept; at a limit it starts afresh.
+CACHE, CACHE_BYTES, KEPT_LENGTH = 200_000, 96_000_000, 1_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
+# Where Python's and regex's character tables are older or newer than the tokenizers library's.
+#: Upper-case letters that Python does not know yet: first, last, and the first one's lower case (others follow).
+LATER_CASE = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+#: Letters and numbers of regex's tables that the library takes for neither: first, last.
+NO_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+# End of fixed values.
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -62,11 +79,16 @@ class WordBpe:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.letters = byte_letters()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}"))
+        odd = "".join(f"{chr(a)}-{chr(b)}" for a, b in NO_LETTERS)
+        rule = split["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", f"[[^{WHITE}\\p{{L}}\\p{{N}}][{odd}]]").replace(r"[\p{L}]", f"[\\p{{L}}--[{odd}]]").replace(r"|[\p{N}]|", f"|[\\p{{N}}--[{odd}]]|")
+        self.pieces = regex.compile(rule, regex.V1)
+        self.odd_case = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in LATER_CASE) + "]")
+        self.later = {a + i: low + i for a, b, low in LATER_CASE for i in range(b - a + 1)}
         self.white = regex.compile(f"[{WHITE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, tuple[bytes, str, int]] = {}
         self.known_pieces: dict[str, list[int]] = {}
+        self.held = 0
 
     def parts(self, piece: str) -> list[str]:
         """Tokens of one piece of a text, before ids."""
@@ -107,25 +129,38 @@ class WordBpe:
                     heapq.heappush(heap, (r, a))
         return [s for s in symbols if s]
 
+    def keep(self, length: int, ids: int) -> bool:
+        """Whether a word or piece is kept; both caches start afresh when they would outgrow their limits."""
+        if length > KEPT_LENGTH:
+            return False
+        self.held += 300 + 8 * length + 40 * ids  # text, digest and list, generously
+        if self.held > CACHE_BYTES or len(self.known) >= CACHE or len(self.known_pieces) >= CACHE:
+            self.known.clear()
+            self.known_pieces.clear()
+            self.held = 300 + 8 * length + 40 * ids
+        return True
+
     def piece(self, piece: str) -> list[int]:
         got = self.known_pieces.get(piece)
         if got is None:
-            if len(self.known_pieces) >= CACHE:
-                self.known_pieces.clear()
-            got = self.known_pieces[piece] = [self.vocab[t] for t in self.parts(piece)]
+            got = [self.vocab[t] for t in self.parts(piece)]
+            if self.keep(len(piece), len(got)):
+                self.known_pieces[piece] = got
         return got
 
     def word(self, word: str) -> tuple[bytes, str, int]:
         """(ids as bytes, their decoded text, number of ids) of a string without white space."""
-        if len(self.known) >= CACHE:
-            self.known.clear()
         ids = [i for piece in self.pieces.findall(word) for i in self.piece(piece)]
-        got = self.known[word] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids), len(ids))
+        got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids), len(ids)
+        if self.keep(len(word), len(ids)):
+            self.known[word] = got
         return got
 
     def words(self, text: str) -> list[str]:
         """The normal form of a text, cut at white space."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter for itself: no final sigma
+        if not text.isascii() and self.odd_case.search(text):
+            text = text.translate(self.later)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for str.split(), but not white space
             return [w for w in self.white.split(text) if w]
         return text.split()

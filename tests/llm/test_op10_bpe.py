@@ -35,6 +35,23 @@ def test_equals_the_library(ours, theirs):
         same(ours, theirs, "".join(r.choice(letters) for _ in range(r.randint(0, 40))))
 
 
+def test_every_code_point_equals_the_library(ours, theirs):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for frame in ("{}", "a{}a", "1{}."):
+        for at in range(0, len(every), 50_000):
+            texts = [frame.format(c) for c in every[at : at + 50_000]]
+            bad = [t for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)) if e.ids != ours.encode(t)]
+            assert not bad, bad[:10]
+
+
+def test_long_words_are_not_kept(ours):
+    fresh = B.WordBpe(open(TOKENIZER, encoding="utf-8").read())
+    for i in range(30):
+        text = f"{i}" + "ab" * 3000
+        assert fresh.encode(text) == ours.encode(text)
+    assert sum(map(len, fresh.known)) < 100 and sum(map(len, fresh.known_pieces)) < 100
+
+
 def test_heap_equals_scan(ours):
     r = random.Random(6)
     for _ in range(300):
@@ -47,6 +64,8 @@ def test_cache_limit_changes_nothing(ours, monkeypatch):
     fresh = B.WordBpe(open(TOKENIZER, encoding="utf-8").read())
     text = "one two three four five six one two three " * 3
     assert fresh.encode(text) == ours.encode(text) and len(fresh.known) <= 3
+    monkeypatch.setattr(B, "CACHE_BYTES", 1000)
+    assert fresh.encode(text) == ours.encode(text) and len(fresh.known) <= 4
 
 
 def test_edges(make, awkward, empty, clashing):
