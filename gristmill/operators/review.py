@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -87,39 +88,32 @@ def import_block(content: Column, most: int = IMPORT_LINES) -> Column:
     return F.when(first > 0, F.array_join(F.transform(block, lambda x: x["line"]), "\n")).otherwise("")
 
 
+#: Comments and strings, which hide braces, then braces. A string ends with its line at the latest.
+BRACES = re.compile(r"""/\*.*?(?:\*/|\Z)|//[^\r\n]*|(["'`])(?:\\[^\r\n]|(?!\1)[^\\\r\n])*(?:\1|\\?(?=[\r\n]|\Z))|[{}]""", re.S)
+
+
 def blocks_of(text: str) -> list[tuple[int, int]]:
-    """(first, last) lines of brace blocks, outside strings and comments; strings end with their line."""
-    out, opened, comment = [], [], False
-    for n, line in enumerate(re.split(r"\r?\n", text), 1):
-        quote, i = "", 0
-        while i < len(line):
-            two = line[i : i + 2]
-            if comment:
-                comment, i = two != "*/", i + (2 if two == "*/" else 1)
-            elif quote:
-                quote, i = ("" if line[i] == quote else quote), i + (2 if line[i] == "\\" else 1)
-            elif two == "//":
-                break
-            elif two == "/*":
-                comment, i = True, i + 2
-            else:
-                quote = line[i] if line[i] in "\"'`" else ""
-                if line[i] == "{":
-                    opened.append(n)
-                elif line[i] == "}" and opened:
-                    out.append((opened.pop(), n))
-                i += 1
-    return out
+    """(first, last) lines of brace blocks, outside strings and comments, in the order in which they close."""
+    breaks = [m.end() for m in re.finditer("\n", text)]
+    braces = [(m[0], bisect.bisect_right(breaks, m.start()) + 1) for m in BRACES.finditer(text) if m[0] in "{}"]
+    open_lines: list[int] = []
+    closed = []
+    for brace, line in braces:
+        if brace == "{":
+            open_lines.append(line)
+        elif open_lines:
+            closed.append((open_lines.pop(), line))
+    return closed
 
 
 def window_around(text: str, anchor: int) -> tuple[int, int]:
     """The innermost block around a line that a function head opens, padded; else the lines around."""
     lines = re.split(r"\r?\n", text)
     at = min(max(anchor, 1), len(lines))
-    for first, last in sorted((b for b in blocks_of(text) if b[0] <= at <= b[1]), key=lambda b: (-b[0], b[1])):
-        if BLOCK_HEAD.search("\n".join(lines[max(0, first - 2) : first])):
-            return max(1, first - BLOCK_PAD), min(len(lines), last + BLOCK_PAD)
-    return max(1, at - LINE_PAD), min(len(lines), at + LINE_PAD)
+    heads = lambda first: BLOCK_HEAD.search("\n".join(lines[max(0, first - 2) : first]))
+    around = (b for b in blocks_of(text) if b[0] <= at <= b[1] and heads(b[0]))  # inner blocks close first
+    first, last, pad = next(((*b, BLOCK_PAD) for b in around), (at, at, LINE_PAD))
+    return max(1, first - pad), min(len(lines), last + pad)
 
 
 @F.pandas_udf(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
