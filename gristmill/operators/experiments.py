@@ -11,7 +11,8 @@ from gristmill.operators.findings import first_wins
 # Fixed values.
 CLASSES = tuple(f"{a}-{c}" for a in ("vulnerable", "safe") for c in ("high", "medium", "low"))
 PAIR_HIT, PAIR_FAIL, NOISE = 4, 1, 3
-GATE_RUNS, GATE_ACCEPTED, NOISE_TENTHS = 5, 8, 3
+GATE_RUNS, GATE_ACCEPTED, GATE_HITS, CLEAN_TENTHS = 5, 8, 4, 3
+MOST_FIX_HITS, CLEAN_RUNS = 1, 4
 WINDOW_SLACK = 20
 # End of fixed values.
 
@@ -72,15 +73,57 @@ def paired_label(pairs: DataFrame, clean_flags: Column) -> DataFrame:
     return g.withColumn("label", F.when(F.col("hits") >= PAIR_HIT, "PASS").when(F.col("hits") <= PAIR_FAIL, "FAIL").otherwise("INCONCLUSIVE")).withColumn("noisy", clean_flags > NOISE)
 
 
-def gate_label(accepted: Column, hits: Column, clean: Column, clean_flagged: Column) -> Column:
-    """Precondition, then noise budget of three tenths of the clean cases, then hits."""
-    return F.when(accepted < GATE_ACCEPTED, "PRECONDITION_FAILED").when(clean_flagged > F.floor(clean * NOISE_TENTHS / 10), "NOISY").when(hits * 2 >= accepted, "PASS").otherwise("FAIL")
+def case_scores(cases: DataFrame, runs: DataFrame) -> DataFrame:
+    """`cases` (set, case, accepted, has_fix) with their runs (set, case, state, hit, voided, unreviewable) scored.
+
+    Five runs a state make a case complete. It is hit if it was accepted, is complete, has a fix side,
+    and at least four vulnerable and at most one fix run hit; voided runs never hit.
+    """
+    of = lambda state, cond: F.count_if((F.col("state") == state) & cond)
+    live = F.col("hit") & ~F.col("voided")
+    g = runs.groupBy("set", "case").agg(
+        of("vulnerable", F.lit(True)).alias("vulnerable_runs"), of("fix", F.lit(True)).alias("fix_runs"), of("vulnerable", live).alias("vulnerable_hits"), of("fix", live).alias("fix_hits"),
+        F.count_if(F.col("voided") & F.col("state").isin("vulnerable", "fix")).alias("voided"), F.count_if(F.col("unreviewable") & F.col("state").isin("vulnerable", "fix")).alias("unreviewable"),
+    )
+    counted = ["vulnerable_runs", "fix_runs", "vulnerable_hits", "fix_hits", "voided", "unreviewable"]
+    joined = cases.join(g, ["set", "case"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counted})
+    complete = (F.col("vulnerable_runs") == GATE_RUNS) & (~F.col("has_fix") | (F.col("fix_runs") == GATE_RUNS))
+    hit = F.col("accepted") & complete & F.col("has_fix") & (F.col("vulnerable_hits") >= PAIR_HIT) & (F.col("fix_hits") <= MOST_FIX_HITS)
+    return joined.withColumns({"complete": complete, "hit": hit})
+
+
+def clean_scores(planned: DataFrame, runs: DataFrame) -> DataFrame:
+    """`planned` clean changes (case) with runs (case, any_finding, voided, unreviewable): flagged if four of exactly five runs found something."""
+    g = runs.groupBy("case").agg(F.count("*").alias("runs"), F.count_if(F.col("any_finding") & ~F.col("voided")).alias("flagged_runs"), F.count_if("unreviewable").alias("unreviewable"))
+    joined = planned.join(g, "case", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("runs", "flagged_runs", "unreviewable")})
+    return joined.withColumn("flagged", (F.col("runs") == GATE_RUNS) & (F.col("flagged_runs") >= CLEAN_RUNS))
+
+
+def gate_label(accepted: Column, hits: Column, clean_flags: Column, planned_clean: Column, voided: Column, complete: Column) -> Column:
+    """Label of a series: precondition, then a voided series, then missing runs, then hits and at most three tenths of the clean changes flagged."""
+    passed = (hits >= GATE_HITS) & (clean_flags <= F.floor(planned_clean * CLEAN_TENTHS / 10))
+    return (
+        F.when(accepted < GATE_ACCEPTED, "AGENTIC-PRECONDITION-FAILED")
+        .when(voided, "AGENTIC-STOP")
+        .when(~complete, "AGENTIC-INCOMPLETE")
+        .when(passed, "AGENTIC-CONTINUE")
+        .otherwise("AGENTIC-STOP")
+    )
+
+
+def proxy_label(complete: Column, passes: Column, hits: Column) -> Column:
+    """Label of a proxy series from its recall: only five passes are labelled; fewer complete ones are preliminary."""
+    return (
+        F.when(~complete, "PROXY-INCOMPLETE").when(passes != GATE_RUNS, "PROXY-PRELIMINARY").when(hits >= PAIR_HIT, "PROXY-PASS").when(hits <= PAIR_FAIL, "PROXY-FAIL").otherwise("PROXY-INCONCLUSIVE")
+    )
 
 
 def window_scores(findings: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Per case from findings (case, side, path, line, family) and hunks (case, path, first, last, family):
-    registered if the parent has a finding of the family within a hunk or 20 lines of it; discriminating if the fix has none."""
-    near = findings.join(hunks, ["case", "path", "family"]).where(F.col("line").between(F.col("first") - WINDOW_SLACK, F.col("last") + WINDOW_SLACK))
+    """Per case from findings (case, side, path, line, family) and hunks (case, side, path, first, last, family):
+    registered if the parent has a finding of the family within one of the parent's hunks or 20 lines of it;
+    discriminating if the fix has none within the fix's own hunks. Repeated findings are combined before the join."""
+    once = findings.select("case", "side", "path", "line", "family").distinct()
+    near = once.join(hunks, ["case", "side", "path", "family"]).where(F.col("line").between(F.col("first") - WINDOW_SLACK, F.col("last") + WINDOW_SLACK))
     hit = near.groupBy("case").agg(F.bool_or(F.col("side") == "parent").alias("p"), F.bool_or(F.col("side") == "fix").alias("x"))
     every = hunks.select("case").distinct()
     false = lambda c: F.coalesce(c, F.lit(False))

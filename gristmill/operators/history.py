@@ -27,6 +27,15 @@ def visible(runs: DataFrame, installation, repos: list) -> DataFrame:
     return runs.where((F.col("installation") == F.lit(installation)) & F.col("repo").isin(*repos)) if repos else runs.limit(0)
 
 
+def lookup(asked: DataFrame, runs: DataFrame, grants: DataFrame) -> DataFrame:
+    """`asked` (ask, installation, run_id) with the run each may see, if any: of its installation, in a granted repository (installation, repo).
+
+    The scope is part of the join, so a foreign run is as absent as a missing one.
+    """
+    g = grants.select("installation", "repo").distinct()
+    return asked.join(runs.join(g, ["installation", "repo"], "left_semi"), ["installation", "run_id"])
+
+
 def newest(runs: DataFrame, n: int = 100) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), "run_id").limit(n)
 
@@ -97,9 +106,13 @@ def scan_estimate(files: Column, route_files: Column, detectors: int = 6) -> tup
     return expected, expected + files * ROUTE_CALLS * CALL_USD, files * (FILE_SECONDS + detectors * CALL_SECONDS)
 
 
-def newer_run(by: list[str]) -> Column:
-    """Whether a later run of the same group exists: its latest start is after this one's."""
-    return F.max("started_at").over(Window.partitionBy(*by)) > F.col("started_at")
+def newer_run(runs: DataFrame, by: list[str]) -> DataFrame:
+    """`runs` with `superseded`: whether a run of the same group (installation, repository and pull request) started later.
+
+    Latest starts are combined before they are joined back; no task holds a group's runs.
+    """
+    latest = runs.groupBy(*by).agg(F.max("started_at").alias("_latest"))
+    return runs.join(latest, by).withColumn("superseded", F.col("_latest") > F.col("started_at")).drop("_latest")
 
 
 def sweep(runs: DataFrame, now: Column, by: list[str], limit: int | None = SWEEP_LIMIT) -> DataFrame:
@@ -139,9 +152,9 @@ def first_deliveries(deliveries: DataFrame, key: str = "delivery_id", order: lis
     return known.unionByName(deliveries.where(F.col(key).isNull()))
 
 
-def insert_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows of `incoming` whose key is not there yet: an insert that ignores conflicts."""
-    return incoming.join(existing.select(key), key, "left_anti")
+def insert_new(existing: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows of `incoming` whose key is not there yet, of several with one key the first: an insert that ignores conflicts."""
+    return first_wins(incoming, [key], order).join(existing.select(key).distinct(), key, "left_anti")
 
 
 def upsert_latest(existing: DataFrame, incoming: DataFrame, key: str, seen: str) -> DataFrame:

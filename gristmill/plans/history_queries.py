@@ -50,15 +50,20 @@ def visible_scans(spark, sf_dir):
     return history.visible(r, first, ["repo1", "repo2", "repo5"]).select("run_id", "repo")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS run_id, CAST(NULL AS VARCHAR) AS repo WHERE false")
+@query(f"WITH {S.RUNS_SQL} SELECT run_id, repo FROM runs WHERE installation = 7 AND list_contains([]::VARCHAR[], repo)")
 def visible_scans_none(spark, sf_dir):
     return history.visible(S.runs(spark, sf_dir), 7, []).select("run_id", "repo")
 
 
-@query(f"""WITH {S.RUNS_SQL} SELECT run_id, repo, status FROM runs WHERE run_id = 33 AND installation = (SELECT installation FROM runs WHERE run_id = 33) LIMIT 1""")
+@query(f"""WITH {S.RUNS_SQL}, asked AS (SELECT o_orderkey AS ask, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS installation, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS run_id FROM orders)
+SELECT ask, a.run_id, r.installation, r.repo, r.status FROM asked a JOIN runs r ON r.run_id = a.run_id AND r.installation = a.installation AND CAST(substr(r.repo, 5) AS INTEGER) IN (a.installation % 7, (a.installation + 2) % 7, (a.installation + 3) % 7)""")
 def scan_point_lookup(spark, sf_dir):
-    r = S.runs(spark, sf_dir)
-    return r.where("run_id = 33").limit(1).select("run_id", "repo", "status")
+    """Every order asks for a run: own ones, those of the next tenant, missing ones; three repositories are granted to each tenant."""
+    k = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(k.alias("ask"), F.when(k % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("installation"), F.when(k % 5 == 0, k + 1).otherwise(k).alias("run_id"))
+    i = F.col("installation")
+    grants = asked.select("installation").distinct().select(i, F.explode(F.array(i % 7, (i + 2) % 7, (i + 3) % 7)).alias("n")).select("installation", F.concat(F.lit("repo"), F.col("n").cast("string")).alias("repo"))
+    return history.lookup(asked, S.runs(spark, sf_dir), grants).select("ask", "run_id", "installation", "repo", "status")
 
 
 @query(f"""WITH {S.LEDGER_SQL} SELECT c_custkey AS org_id, CAST(coalesce(sum(cost_usd) FILTER (WHERE recorded_at >= TIMESTAMP '1996-01-01'), 0) AS BIGINT) AS recent, CAST(coalesce(sum(cost_usd), 0) AS BIGINT) AS total, count(entry) AS rows FROM customer LEFT JOIN ledger ON org_id = c_custkey GROUP BY 1""")
@@ -110,24 +115,24 @@ def scan_cost_estimate(spark, sf_dir):
     return n.select("files", "route_files", F.round(usd, 6).alias("expected"), F.round(worst, 6).alias("worst"), F.round(s, 3).alias("seconds"))
 
 
-@query(f"WITH {S.RUNS_SQL} SELECT run_id, max(started_at) OVER (PARTITION BY installation, repo) > started_at AS superseded FROM runs")
+@query(f"WITH {S.RUNS_SQL} SELECT run_id, EXISTS (SELECT 1 FROM runs n WHERE n.installation = r.installation AND n.repo = r.repo AND n.pull = r.pull AND n.started_at > r.started_at) AS superseded FROM runs r")
 def newer_run_exists(spark, sf_dir):
-    return S.runs(spark, sf_dir).select("run_id", history.newer_run(["installation", "repo"]).alias("superseded"))
+    return history.newer_run(S.runs(spark, sf_dir), ["installation", "repo", "pull"]).select("run_id", "superseded")
 
 
-SWEEP = """WITH {runs}, n AS (SELECT installation, repo, max(started_at) AS latest FROM runs GROUP BY ALL)
+SWEEP = """WITH {runs}, n AS (SELECT installation, repo, pull, max(started_at) AS latest FROM runs GROUP BY ALL)
 SELECT run_id, CASE WHEN latest > started_at THEN 'superseded' WHEN status = 'retrying' THEN 'abandoned' ELSE 'retry' END AS decision
-FROM runs JOIN n USING (installation, repo) WHERE finished_at IS NULL AND status <> 'completed' AND started_at < TIMESTAMP '1998-08-01' - INTERVAL 10 MINUTE {limit}"""
+FROM runs JOIN n USING (installation, repo, pull) WHERE finished_at IS NULL AND status <> 'completed' AND started_at < TIMESTAMP '1998-08-01' - INTERVAL 10 MINUTE {limit}"""
 
 
 @query(SWEEP.format(runs=S.RUNS_SQL, limit="ORDER BY started_at, run_id LIMIT 20"))
 def sweep_decision(spark, sf_dir):
-    return history.sweep(S.runs(spark, sf_dir), F.lit("1998-08-01").cast("timestamp"), ["installation", "repo"]).select("run_id", "decision")
+    return history.sweep(S.runs(spark, sf_dir), F.lit("1998-08-01").cast("timestamp"), ["installation", "repo", "pull"]).select("run_id", "decision")
 
 
 @query(SWEEP.format(runs=S.RUNS_SQL, limit=""))
 def sweep_decision_all(spark, sf_dir):
-    return history.sweep(S.runs(spark, sf_dir), F.lit("1998-08-01").cast("timestamp"), ["installation", "repo"], None).select("run_id", "decision")
+    return history.sweep(S.runs(spark, sf_dir), F.lit("1998-08-01").cast("timestamp"), ["installation", "repo", "pull"], None).select("run_id", "decision")
 
 
 @query("""WITH e AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'view' THEN 'retrying' WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'completed' ELSE 'running' END ELSE CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'pending' END END AS state FROM events),
@@ -173,17 +178,11 @@ def installation_upsert(spark, sf_dir):
     return history.upsert_latest(c.where("seen % 2 = 0"), c.where("seen % 2 = 1"), "inst", "seen")
 
 
-@query("""SELECT event_id, user_id FROM events WHERE event_id % 3 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 90 = 1)""")
+@query("""WITH e AS (SELECT event_id, event_id // 3 AS k FROM events) SELECT k, min(event_id) AS event_id FROM e WHERE event_id % 5 <> 0 AND k NOT IN (SELECT k FROM e WHERE event_id % 5 = 0) GROUP BY k""")
 def insert_or_ignore(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    return history.insert_new(e.where("event_id % 90 = 1"), e.where("event_id % 3 = 0"), "user_id").select("event_id", "user_id")
-
-
-@query("""SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 <> 0 AND user_id IS NOT NULL)""")
-def insert_or_ignore_whole(spark, sf_dir):
-    """Every event is on one side: odd ones are stored, even ones come in."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    return history.insert_new(e.where("event_id % 2 <> 0"), e.where("event_id % 2 = 0"), "user_id").select("event_id", "user_id")
+    """Every event is on one side: each fifth is stored, the others come in, three to a key; the first of a key goes in."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 3).alias("k"), "event_id")
+    return history.insert_new(e.where("event_id % 5 = 0"), e.where("event_id % 5 <> 0"), "k", ["event_id"])
 
 
 @query("""SELECT user_id, CAST(date_trunc('month', ts) AS DATE) AS month, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE value > 50 GROUP BY ALL""")
@@ -251,35 +250,83 @@ def paired_label(spark, sf_dir):
     return experiments.paired_label(_pairs(spark, sf_dir), F.lit(2))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 12 < 8 THEN 'PRECONDITION_FAILED' WHEN event_id % 7 > floor((event_id % 20) * 3 / 10) THEN 'NOISY' WHEN (event_id % 10) * 2 >= event_id % 12 THEN 'PASS' ELSE 'FAIL' END AS label FROM events""")
+#: Trial runs from events: ten to a case, five a state; some voided or of another state, so that cases are incomplete.
+TRIALS_SQL = """r AS (SELECT event_id // 10 AS "case", CASE (event_id // 10) % 3 WHEN 0 THEN 'held-out' WHEN 1 THEN 'post-cutoff' ELSE 'clean' END AS "set",
+  CASE WHEN event_id % 97 = 0 THEN 'other' WHEN event_id % 10 < 5 THEN 'vulnerable' ELSE 'fix' END AS state, CASE WHEN event_id % 10 < 5 THEN event_id % 7 <> 0 ELSE event_id % 11 = 0 END AS hit,
+  event_id % 31 = 0 AS voided, event_id % 43 = 0 AS unreviewable FROM events),
+k AS (SELECT DISTINCT "set", "case", "case" % 8 <> 0 AS accepted, "case" % 5 <> 1 AS has_fix FROM r),
+g AS (SELECT "set", "case", count(*) FILTER (state = 'vulnerable') AS vulnerable_runs, count(*) FILTER (state = 'fix') AS fix_runs, count(*) FILTER (state = 'vulnerable' AND hit AND NOT voided) AS vulnerable_hits, count(*) FILTER (state = 'fix' AND hit AND NOT voided) AS fix_hits,
+  count(*) FILTER (voided AND state <> 'other') AS voided, count(*) FILTER (unreviewable AND state <> 'other') AS unreviewable FROM r GROUP BY ALL),
+c AS (SELECT k.*, vulnerable_runs, fix_runs, vulnerable_hits, fix_hits, voided, unreviewable, vulnerable_runs = 5 AND (NOT has_fix OR fix_runs = 5) AS complete,
+  accepted AND vulnerable_runs = 5 AND fix_runs = 5 AND has_fix AND vulnerable_hits >= 4 AND fix_hits <= 1 AS hit FROM k JOIN g USING ("set", "case"))"""
+
+
+def _trials(spark, sf_dir):
+    e, case = F.col("event_id"), F.floor(F.col("event_id") / 10)
+    early = e % 10 < 5
+    name = F.when(case % 3 == 0, "held-out").when(case % 3 == 1, "post-cutoff").otherwise("clean")
+    return table(spark, sf_dir, "events").select(case.alias("case"), name.alias("set"), F.when(e % 97 == 0, "other").when(early, "vulnerable").otherwise("fix").alias("state"), F.when(early, e % 7 != 0).otherwise(e % 11 == 0).alias("hit"), (e % 31 == 0).alias("voided"), (e % 43 == 0).alias("unreviewable"), e.alias("event_id"))
+
+
+def _cases(spark, sf_dir):
+    runs = _trials(spark, sf_dir)
+    planned = runs.select("set", "case").distinct().withColumn("accepted", F.col("case") % 8 != 0).withColumn("has_fix", F.col("case") % 5 != 1)
+    return experiments.case_scores(planned, runs)
+
+
+@query(f"WITH {TRIALS_SQL} SELECT * FROM c")
+def case_scoring(spark, sf_dir):
+    return _cases(spark, sf_dir)
+
+
+CLEAN_SQL = """w AS (SELECT event_id, event_id // 5 + CASE WHEN event_id % 55 = 0 THEN 1 ELSE 0 END AS "case" FROM events),
+cl AS (SELECT "case", count(*) AS runs, count(*) FILTER (event_id % 4 <> 0 AND event_id % 29 <> 0) AS flagged_runs, count(*) FILTER (event_id % 43 = 0) AS unreviewable, count(*) = 5 AND count(*) FILTER (event_id % 4 <> 0 AND event_id % 29 <> 0) >= 4 AS flagged FROM w GROUP BY ALL)"""
+
+
+def _clean(spark, sf_dir):
+    """Clean changes, five events each as their runs; some runs count for the next change, which then has six."""
+    e = F.col("event_id")
+    case = F.floor(e / 5) + F.when(e % 55 == 0, 1).otherwise(0)
+    rows = table(spark, sf_dir, "events").select(case.alias("case"), (e % 4 != 0).alias("any_finding"), (e % 29 == 0).alias("voided"), (e % 43 == 0).alias("unreviewable"))
+    return experiments.clean_scores(rows.select("case").distinct(), rows)
+
+
+@query(f"WITH {CLEAN_SQL} SELECT * FROM cl")
+def clean_scoring(spark, sf_dir):
+    return _clean(spark, sf_dir)
+
+
+@query(f"""WITH {TRIALS_SQL}, {CLEAN_SQL}, h AS (SELECT ("case" // 3) % 25 AS series, count(*) FILTER (accepted) AS accepted, count(*) FILTER (hit) AS hits, bool_and(complete) FILTER (accepted) AS complete, sum(voided) > 4 AS void FROM c WHERE "set" = 'held-out' GROUP BY ALL),
+q AS (SELECT "case" % 25 AS series, count(*) AS planned, count(*) FILTER (flagged) AS flags FROM cl GROUP BY ALL)
+SELECT series, accepted, hits, flags, planned, CASE WHEN accepted < 8 THEN 'AGENTIC-PRECONDITION-FAILED' WHEN void THEN 'AGENTIC-STOP' WHEN NOT complete THEN 'AGENTIC-INCOMPLETE' WHEN hits >= 4 AND flags <= floor(planned * 3 / 10) THEN 'AGENTIC-CONTINUE' ELSE 'AGENTIC-STOP' END AS label FROM h JOIN q USING (series)""")
 def gate_label(spark, sf_dir):
+    held = _cases(spark, sf_dir).where(F.col("set") == "held-out")
+    h = held.groupBy((F.floor(F.col("case") / 3) % 25).alias("series")).agg(F.count_if("accepted").alias("accepted"), F.count_if("hit").alias("hits"), F.bool_and(F.when(F.col("accepted"), F.col("complete"))).alias("complete"), (F.sum("voided") > 4).alias("void"))
+    q = _clean(spark, sf_dir).groupBy((F.col("case") % 25).alias("series")).agg(F.count("*").alias("planned"), F.count_if("flagged").alias("flags"))
+    label = experiments.gate_label(F.col("accepted"), F.col("hits"), F.col("flags"), F.col("planned"), F.col("void"), F.col("complete"))
+    return h.join(q, "series").select("series", "accepted", "hits", "flags", "planned", label.alias("label"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'PROXY-INCOMPLETE' WHEN event_id % 4 + 2 <> 5 THEN 'PROXY-PRELIMINARY' WHEN event_id % 7 >= 4 THEN 'PROXY-PASS' WHEN event_id % 7 <= 1 THEN 'PROXY-FAIL' ELSE 'PROXY-INCONCLUSIVE' END AS label FROM events""")
+def proxy_label(spark, sf_dir):
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", experiments.gate_label(e % 12, e % 10, e % 20, e % 7).alias("label"))
+    return table(spark, sf_dir, "events").select("event_id", experiments.proxy_label(e % 9 != 0, e % 4 + 2, e % 7).alias("label"))
 
 
-@query("""WITH f AS (SELECT l_suppkey % 50 AS "case", CASE WHEN l_linenumber % 2 = 0 THEN 'parent' ELSE 'fix' END AS side, l_partkey % 10 AS path, l_orderkey % 400 AS line, l_returnflag AS family FROM lineitem WHERE l_quantity = 7),
-h AS (SELECT DISTINCT s_suppkey % 50 AS "case", s_suppkey % 10 AS path, CAST((s_suppkey * 13) % 380 AS BIGINT) AS f, 'R' AS family FROM supplier),
-n AS (SELECT "case", bool_or(side = 'parent') AS p, bool_or(side = 'fix') AS x FROM f JOIN h USING ("case", path, family) WHERE line BETWEEN f - 20 AND f + 3 + 20 GROUP BY ALL)
+@query("""WITH f AS (SELECT DISTINCT l_suppkey % 50 AS "case", CASE WHEN l_linenumber % 2 = 0 THEN 'parent' ELSE 'fix' END AS side, l_partkey % 10 AS path, l_orderkey % 4000 AS line, l_returnflag AS family FROM lineitem),
+h AS (SELECT DISTINCT s_suppkey % 50 AS "case", s_suppkey % 10 AS path, x.side, CAST((s_suppkey * 13) % 3800 + x.shift AS BIGINT) AS f, 'R' AS family FROM supplier, (VALUES ('parent', 0), ('fix', 45)) x(side, shift)),
+n AS (SELECT "case", bool_or(side = 'parent') AS p, bool_or(side = 'fix') AS x FROM f JOIN h USING ("case", side, path, family) WHERE line BETWEEN f - 20 AND f + 3 + 20 GROUP BY ALL)
 SELECT DISTINCT h."case", coalesce(p, false) AS registered, coalesce(p, false) AND NOT coalesce(x, false) AS discriminating FROM h LEFT JOIN n USING ("case")""")
 def window_scoring(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_quantity = 7").select((F.col("l_suppkey") % 50).alias("case"), F.when(F.col("l_linenumber") % 2 == 0, "parent").otherwise("fix").alias("side"), (F.col("l_partkey") % 10).alias("path"), (F.col("l_orderkey") % 400).alias("line"), F.col("l_returnflag").alias("family"))
+    """All of lineitem as findings; the fix's hunks lie 45 lines below the parent's."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("case"), F.when(F.col("l_linenumber") % 2 == 0, "parent").otherwise("fix").alias("side"), (F.col("l_partkey") % 10).alias("path"), (F.col("l_orderkey") % 4000).alias("line"), F.col("l_returnflag").alias("family"))
     s = F.col("s_suppkey")
-    hunks = table(spark, sf_dir, "supplier").select((s % 50).alias("case"), (s % 10).alias("path"), ((s * 13) % 380).alias("first"), ((s * 13) % 380 + 3).alias("last"), F.lit("R").alias("family")).distinct()
+    sides = F.explode(F.array(F.struct(F.lit("parent").alias("side"), F.lit(0).alias("shift")), F.struct(F.lit("fix").alias("side"), F.lit(45).alias("shift"))))
+    first = (s * 13) % 3800 + F.col("x.shift")
+    hunks = table(spark, sf_dir, "supplier").withColumn("x", sides).select((s % 50).alias("case"), (s % 10).alias("path"), "x.side", first.alias("first"), (first + 3).alias("last"), F.lit("R").alias("family")).distinct()
     return experiments.window_scores(li, hunks)
 
 
-@query("""WITH f AS (SELECT DISTINCT l_suppkey % 50 AS "case", CASE WHEN l_linenumber % 2 = 0 THEN 'parent' ELSE 'fix' END AS side, l_partkey % 10 AS path, l_orderkey % 400 AS line, l_returnflag AS family FROM lineitem),
-h AS (SELECT DISTINCT s_suppkey % 50 AS "case", s_suppkey % 10 AS path, CAST((s_suppkey * 13) % 380 AS BIGINT) AS f, 'R' AS family FROM supplier),
-n AS (SELECT "case", bool_or(side = 'parent') AS p, bool_or(side = 'fix') AS x FROM f JOIN h USING ("case", path, family) WHERE line BETWEEN f - 20 AND f + 3 + 20 GROUP BY ALL)
-SELECT DISTINCT h."case", coalesce(p, false) AS registered, coalesce(p, false) AND NOT coalesce(x, false) AS discriminating FROM h LEFT JOIN n USING ("case")""")
-def window_scoring_whole(spark, sf_dir):
-    """All of lineitem; repeated findings are combined before the join."""
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("case"), F.when(F.col("l_linenumber") % 2 == 0, "parent").otherwise("fix").alias("side"), (F.col("l_partkey") % 10).alias("path"), (F.col("l_orderkey") % 400).alias("line"), F.col("l_returnflag").alias("family"))
-    s = F.col("s_suppkey")
-    hunks = table(spark, sf_dir, "supplier").select((s % 50).alias("case"), (s % 10).alias("path"), ((s * 13) % 380).alias("first"), ((s * 13) % 380 + 3).alias("last"), F.lit("R").alias("family")).distinct()
-    return experiments.window_scores(li.distinct(), hunks)
-
-
 @query("""SELECT coalesce(a.ord, b.ord) AS ord, a.v AS left_value, b.v AS right_value FROM (SELECT n_nationkey AS ord, n_name AS v FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_nationkey AS ord, CASE WHEN n_nationkey % 4 = 0 THEN 'X' ELSE n_name END AS v FROM nation WHERE n_nationkey > 2) b USING (ord) WHERE a.v IS DISTINCT FROM b.v""")
 def list_drift(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("value"))

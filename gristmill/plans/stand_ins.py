@@ -111,10 +111,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as scan runs."""
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", F.when(F.col("o_orderkey") % 3 == 0, "retrying").otherwise("running")).otherwise("pending")
-    return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("installation"), F.concat(F.lit("repo"), (F.col("o_orderkey") % 7).cast("string")).alias("repo"), status.alias("status"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("finished_at"), (F.col("o_orderkey") % 5).alias("findings"))
+    return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("installation"), F.concat(F.lit("repo"), (F.col("o_orderkey") % 7).cast("string")).alias("repo"), (F.col("o_orderkey") % 3).alias("pull"), status.alias("status"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("finished_at"), (F.col("o_orderkey") % 5).alias("findings"))
 
 
-RUNS_SQL = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS installation, 'repo' || (o_orderkey % 7) AS repo,
+RUNS_SQL = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS installation, 'repo' || (o_orderkey % 7) AS repo, o_orderkey % 3 AS pull,
   CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'retrying' ELSE 'running' END ELSE 'pending' END AS status,
   o_orderdate AS started_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS finished_at, o_orderkey % 5 AS findings FROM orders)"""
 
