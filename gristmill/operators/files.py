@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.catalog import Pattern
 from gristmill.functions.globs import ignore_regexes
 from gristmill.functions.text import extension, language_of, normal_path
+from gristmill.runtime import cut
 
 # Fixed values.
 SCANNED = ("ts", "tsx", "js", "jsx", "py", "go")
@@ -98,8 +99,11 @@ def systematic_sample(files: DataFrame, order: list[str], over: int = SAMPLE_OVE
 
 
 def numbered(rows: DataFrame, order: list[str], into: str = "_n") -> DataFrame:
-    """`rows` with their 1-based place in `order`: numbered within range partitions and shifted by the counts before."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """`rows` with their 1-based place in `order`: numbered within range partitions and shifted by the counts before.
+
+    The partitioned rows are written once, so that counts and numbers go by the same boundaries.
+    """
+    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_c"))  # one row per partition
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))

@@ -14,10 +14,8 @@ HIT = "array<struct<pattern_id:string,ord:int,tier:string,pos:int,line:int,text:
 
 def first_position(content: Column, pattern: Pattern) -> Column:
     """1-based position of the first match, null without one."""
-    at = F.regexp_instr(content, F.lit(pattern.regex)).cast("int")
-    if pattern.lead:
-        at = at + F.substring(content, at, F.lit(1)).isin("\n", "\r").cast("int")
-    return F.when(content.rlike(pattern.regex), at)
+    at = F.nullif(F.regexp_instr(content, F.lit(pattern.regex)).cast("int"), F.lit(0))
+    return at + F.substring(content, at, F.lit(1)).isin("\n", "\r").cast("int") if pattern.lead else at
 
 
 def earliest_hit(files: DataFrame, patterns: list[Pattern], into: str = "hit") -> DataFrame:
@@ -67,14 +65,18 @@ def _matches(content: str, pattern: Pattern) -> str:
 
 
 def all_hits(files: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """One row per match of each pattern: path, role, pattern_id, ord, pos, line, match, text (its line, 200 characters)."""
+    """One row per match of each pattern: path, role, pattern_id, ord, pos, line, match, text (its line, 200 characters).
+
+    A content is cut into lines once, and its hits take their lines' texts before they become rows.
+    """
 
     def tagged(p: Pattern) -> Column:
         return F.when(allowed(p, F.col("path")), F.expr(f"CASE WHEN rlike(content, {_quoted(p.regex)}) THEN {_matches('content', p)} END"))
 
-    per = [tagged(p) for p in patterns]
-    hits = files.select("path", "content", F.explode(F.flatten(F.filter(F.array(*per), lambda x: x.isNotNull()))).alias("h"))
-    return hits.select("path", "h.*", line_text(F.col("content"), F.col("h.line")).alias("text"))
+    hits = F.flatten(F.filter(F.array(*map(tagged, patterns)), lambda x: x.isNotNull()))
+    texts = lambda lines: F.transform(hits, lambda h: F.struct(h.alias("h"), F.substring(F.trim(F.coalesce(F.get(lines, h["line"] - 1), F.lit(""))), 1, 200).alias("text")))
+    rows = F.flatten(F.transform(F.array(lines_of(F.col("content"))), texts))
+    return files.select("path", F.explode(rows).alias("r")).select("path", "r.h.*", "r.text")
 
 
 def line_hits(files: DataFrame, patterns: list[Pattern]) -> DataFrame:

@@ -62,5 +62,5 @@ def comments(findings: DataFrame) -> DataFrame:
 
 
 def append_by_month(rows: DataFrame, path: str, ts: str) -> None:
-    """Appends rows to a table partitioned by month, so reads of a period list only its folders."""
-    rows.withColumn("month", F.date_format(ts, "yyyy-MM")).repartition("month").write.mode("append").partitionBy("month").parquet(path)
+    """Appends rows to a table partitioned by month, so reads of a period list only its folders. A large month is split over tasks."""
+    rows.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
