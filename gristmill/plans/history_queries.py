@@ -11,16 +11,7 @@ from gristmill.streaming import events as streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+query = S.registrar(QUERIES, ORACLE_SQL)
 
 
 @query(f"""WITH {S.RUNS_SQL}, b AS (SELECT date_trunc('week', max(started_at)) AS last FROM runs), r AS (SELECT *, CAST(installation % 4 AS BIGINT) AS org FROM runs),

@@ -11,16 +11,7 @@ from gristmill.runtime import table
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 Q = S.sql_literal
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+query = S.registrar(QUERIES, ORACLE_SQL)
 
 
 ROUTE_FILE = "x\nrouter.get('/users/:id', h)\nrouter.post('/users/:id/', h)\napp.route('/users')\napi.get('/api/users/:id', h)\napp.all('/', z)\n"

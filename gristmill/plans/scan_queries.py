@@ -19,14 +19,7 @@ DETECTOR_CASE = "CASE type " + " ".join(f"WHEN {Q(t)} THEN {Q(d)}" for t, d in f
 RANK_CASE = "CASE {} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 END"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+query = S.registrar(QUERIES, ORACLE_SQL)
 
 
 def admitted(p: Pattern) -> str:

@@ -70,6 +70,21 @@ SCANNED_SQL = [
 ]
 
 
+def registrar(queries: dict, oracles: dict):
+    """A decorator that registers a query under its name, with its SQL if there is one."""
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
 def sql_literal(x) -> str:
     if x is None:
         return "NULL"

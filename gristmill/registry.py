@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from gristmill.plans import history_queries, review_queries, scan_queries
+from gristmill.plans import account_queries, composed_queries, history_queries, review_queries, scan_queries
 
-QUERIES: dict = {**scan_queries.QUERIES, **history_queries.QUERIES, **review_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scan_queries.ORACLE_SQL, **history_queries.ORACLE_SQL, **review_queries.ORACLE_SQL}
+MODULES = (scan_queries, history_queries, review_queries, composed_queries, account_queries)
+QUERIES: dict = {n: f for m in MODULES for n, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {n: sql for m in MODULES for n, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "scan_outcomes"
