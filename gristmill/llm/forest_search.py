@@ -2,15 +2,21 @@
 
 Each tree halves a bounded sample (`SAMPLE` distinct vectors, by hash) along the line between two
 random members until `LEAF` are left; every vector of the table is then indexed in the leaf it falls
-into, in each tree. A query walks all trees through one shared priority queue, always into the open
-node whose crossed hyperplanes are nearest, and takes the first leaves that it reaches. How many
-leaves is calibrated on the sample against brute force (`GOAL` recall), so clustered vectors need few
-and patternless ones many. Candidates of a leaf are ranked by exact double-precision distance on
-the original vectors, and each leaf passes on its nearest only, not its pairs.
+into, in each tree. A query walks all trees through one shared priority queue: the open node whose
+crossed hyperplanes cost least comes next, where a crossing costs the square of the margin by which
+the query lies on the other side. It takes the first leaves that it reaches. How many is calibrated
+on the whole table: some probes' true neighbours are found by brute force (one pass, one row per
+probe and batch), and the number of leaves is the least at which `GOAL` of them are met, so clustered
+vectors need few and patternless ones many. Candidates are ranked by exact double-precision distance
+on the original vectors, and a group of leaves passes on its nearest only, not its pairs.
+
+Trees are fitted on executors, one task a tree; the driver holds hyperplanes in single precision
+(`TREES` x `SAMPLE` / `LEAF` of them), which is broadcast. The leaves of a tree are dealt in runs of
+neighbouring ones of about `BLOCK` vectors; a query goes to the runs that hold leaves of its own,
+once each. Leaves that are larger than that are split into blocks, and so are their queries.
 
 Equal vectors are indexed once, with their smallest ids: a group of copies, however large, is one
-entry, and no id beyond the smallest `k` + 1 can be among anyone's nearest `k`. Leaves with many rows
-or queries are split into blocks, so a task holds at most `BLOCK` of each.
+entry, and no id beyond the smallest `k` + 1 can be among anyone's nearest `k`.
 
 Edge cases: vectors that are null, zero, of another length than the most common one, or that hold
 null or non-finite components take no part, nor do rows with a null id; repeated rows count once;
@@ -20,6 +26,7 @@ ties go to the smaller id; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -30,14 +37,15 @@ from gristmill.runtime import cut, hashed_sample, ship
 
 ship(__name__)
 
-TREES, SAMPLE, LEAF, SEED = 12, 8192, 32, 11
-GOAL, PROBES = 0.985, 100
-BLOCK = 20_000
+TREES, SAMPLE, LEAF, SEED = 12, 32_768, 16, 11
+GOAL, PROBES = 0.93, 120
+#: Vectors, and queries, that a task holds of one run of leaves.
+BLOCK = 8_192
 SCHEMA = "query_id long, vec_id long, score double"
 
 
 class Tree:
-    """Hyperplanes of one tree: children >= 0 are nodes, -1 - i is leaf i."""
+    """Hyperplanes of one tree: children >= 0 are nodes, -1 - i is leaf i; leaves count from left to right."""
 
     def __init__(self, x: np.ndarray, rng: np.random.Generator):
         normals, offsets, children, self.leaves = [], [], [], 0
@@ -56,21 +64,22 @@ class Tree:
             return me
 
         self.root = grow(np.arange(len(x)))
-        self.normals = np.array(normals).reshape(-1, x.shape[1])
+        self.normals = np.array(normals, np.float32).reshape(-1, x.shape[1])
         self.offsets, self.children = np.array(offsets), children
 
     @staticmethod
     def split(x: np.ndarray, idx: np.ndarray, rng: np.random.Generator):
         """(normal, median) between two random members, or None if ten tries split nothing off."""
         for _ in range(10):
-            a, b = rng.choice(idx, 2, replace=False)
-            normal = x[a] - x[b]
+            a, b = rng.choice(len(idx), 2, replace=False)
+            normal = x[idx[a]] - x[idx[b]]
             size = np.linalg.norm(normal)
             if size > 0:
-                p = x[idx] @ (normal / size)
+                normal = (normal / size).astype(np.float32)
+                p = x[idx] @ normal
                 middle = np.median(p)
                 if 0 < (p <= middle).sum() < len(p):
-                    return normal / size, middle
+                    return normal, middle
         return None
 
     def route(self, x: np.ndarray) -> np.ndarray:
@@ -87,44 +96,50 @@ class Tree:
 
 
 class Forest:
-    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.trees = [Tree(x, rng) for _ in range(trees)]
-        self.leaves = sum(t.leaves for t in self.trees)
-        self.visits = self.calibrate(x, rng)
+    """Trees fitted on a sample, and the number of leaves that a query visits (all, until calibrated)."""
+
+    def __init__(self, trees: list[Tree]):
+        self.trees = trees
+        self.leaves = self.visits = sum(t.leaves for t in trees)
 
     def walk(self, q: np.ndarray):
-        """(tree, leaf) in the order in which the shared queue reaches them."""
-        margins = [t.normals @ q - t.offsets for t in self.trees]
+        """(tree, leaf) in the order in which the shared queue reaches them: least sum of squared crossings first."""
+        margins = [(t.normals @ q - t.offsets).tolist() for t in self.trees]
+        children = [t.children for t in self.trees]
         heap = [(0.0, i, t.root) for i, t in enumerate(self.trees)]
         heapq.heapify(heap)
         while heap:
-            far, i, node = heapq.heappop(heap)
-            if node < 0:
-                yield i, -1 - node
-                continue
-            m = float(margins[i][node])
-            for child, crossed in zip(self.trees[i].children[node], (m, -m)):
-                heapq.heappush(heap, (max(far, crossed), i, child))
-
-    def calibrate(self, x: np.ndarray, rng: np.random.Generator, k: int = 10) -> int:
-        """Leaves to visit for `GOAL` recall of `PROBES` sample vectors among the sample, plus a tenth."""
-        if len(x) <= k + 1:
-            return self.leaves
-        where = np.stack([t.route(x) for t in self.trees])
+            cost, i, node = heapq.heappop(heap)
+            while node >= 0:  # down on the query's own side, which costs nothing more
+                m = margins[i][node]
+                left, right = children[i][node]
+                heapq.heappush(heap, (cost + m * m, i, right if m <= 0 else left))
+                node = left if m <= 0 else right
+            yield i, -1 - node
+
+    def calibrate(self, probes: np.ndarray, neighbours: list[np.ndarray]) -> int:
+        """Leaves to visit so that `GOAL` of the probes' neighbours (one array of vectors each) are met."""
         needed = []  # per probe and neighbour: the visit that first holds it
-        for p in rng.choice(len(x), min(PROBES, len(x)), replace=False):
-            d = np.square(x - x[p]).sum(axis=1)
-            d[p] = np.inf
-            near = np.argsort(d, kind="stable")[:k]
-            visit = {key: n for n, key in enumerate(self.walk(x[p]), 1)}
-            needed += [min(visit[i, int(where[i, v])] for i in range(len(self.trees))) for v in near]
-        return min(self.leaves, int(np.quantile(needed, GOAL) * 1.1) + 1)
+        for q, x in zip(probes, neighbours):
+            if len(x):
+                holds = {}
+                for i, t in enumerate(self.trees):
+                    for n, leaf in enumerate(t.route(x)):
+                        holds.setdefault((i, int(leaf)), []).append(n)
+                first = {}
+                for visit, key in enumerate(self.walk(q), 1):
+                    for n in holds.get(key, ()):
+                        first.setdefault(n, visit)
+                    if len(first) == len(x):
+                        break
+                needed += first.values()
+        return min(self.leaves, int(np.quantile(needed, GOAL)) + 1) if needed else self.leaves
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id and v (array of double) of the rows that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id and v (the vector, in the precision it came in) of the rows that take part."""
+    kind = table.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
     return rows.where(finite & F.exists("v", lambda x: x != 0))
@@ -148,6 +163,46 @@ def nearest(q: np.ndarray, query_id: int, x: np.ndarray, ids: list, k: int) -> l
     return [(query_id, vec_id, float(s)) for s, vec_id in found]
 
 
+def fit(sample: np.ndarray, spark) -> Forest:
+    """`TREES` trees on the rows of `sample`, each grown by a task of its own from its own seed."""
+    shared = spark.sparkContext.broadcast(sample.astype(np.float32))
+
+    def grow(frames):
+        for p in frames:
+            for i in p["id"]:
+                yield pd.DataFrame({"id": [i], "tree": [pickle.dumps(Tree(shared.value, np.random.default_rng([SEED, int(i)])).__dict__)]})
+
+    trees = []
+    for r in spark.range(0, TREES, 1, TREES).mapInPandas(grow, "id long, tree binary").orderBy("id").collect():
+        tree = Tree.__new__(Tree)
+        tree.__dict__ = pickle.loads(r.tree)
+        trees.append(tree)
+    return Forest(trees)
+
+
+def true_neighbours(unique: DataFrame, probes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k vectors of `unique` (v) nearest to each probe but not equal to it: exact, `k` per batch and probe at most."""
+    shared = unique.sparkSession.sparkContext.broadcast(probes)
+
+    def best(frames):
+        for p in frames:
+            if len(p):
+                x = _matrix(p["v"])
+                for i, q in enumerate(shared.value):
+                    d = np.square(x - q).sum(axis=1)
+                    d[d == 0] = np.inf
+                    near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+                    near = near[np.isfinite(d[near])]
+                    yield pd.DataFrame({"probe": i, "d": d[near], "v": list(p["v"].iloc[near])})
+
+    found = unique.select("v").mapInPandas(best, "probe int, d double, v array<double>")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy("d", "v"))).where(F.col("rank") <= k)
+    out = [[] for _ in probes]
+    for r in ranked.select("probe", "v").collect():  # probes x k rows
+        out[r.probe].append(r.v)
+    return [np.array(x, np.float64).reshape(len(x), probes.shape[1]) for x in out]
+
+
 def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of `table` (vec_id, embedding) whose id `every` divides."""
     spark = table.sparkSession
@@ -155,20 +210,27 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = cut(rows.where(F.size("v") == size["n"]))
+    rows = rows.where(F.size("v") == size["n"])
     unique = cut(distinct_vectors(rows, k))
     n_unique = unique.count()
-    taken = hashed_sample(unique.select("v"), n_unique, SAMPLE).toPandas()
-    forest = Forest(_matrix(taken["v"]))
-    shared = spark.sparkContext.broadcast({"trees": [(t.normals, t.offsets, t.children, t.root, t.leaves) for t in forest.trees], "visits": forest.visits})
+    taken = _matrix(hashed_sample(unique.select("v"), n_unique, SAMPLE).toPandas()["v"])
+    forest = fit(taken, spark)
+    probes = taken[:: max(1, len(taken) // PROBES)][:PROBES]  # the sample comes in hash order, so these are any
+    forest.visits = forest.calibrate(probes, true_neighbours(unique, probes, k))
+    shared = spark.sparkContext.broadcast(pickle.dumps({"trees": [t.__dict__ for t in forest.trees], "visits": forest.visits}))
+    per_tree = max(t.leaves for t in forest.trees)
+    runs = max(1, min(per_tree, round(n_unique / BLOCK)))  # runs of neighbouring leaves a tree
+    width = -(-per_tree // runs)
 
     def held() -> Forest:
-        f = Forest.__new__(Forest)
-        f.trees, f.visits = [], shared.value["visits"]
-        for parts in shared.value["trees"]:
+        parts = pickle.loads(shared.value)
+        trees = []
+        for own in parts["trees"]:
             t = Tree.__new__(Tree)
-            t.normals, t.offsets, t.children, t.root, t.leaves = parts
-            f.trees.append(t)
+            t.__dict__ = own
+            trees.append(t)
+        f = Forest(trees)
+        f.visits = parts["visits"]
         return f
 
     def index(frames):
@@ -177,34 +239,45 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             if len(p):
                 x = _matrix(p["v"])
                 for i, t in enumerate(trees):
-                    yield pd.DataFrame({"tree": i, "leaf": t.route(x), "v": p["v"], "ids": p["ids"]})
+                    leaf = t.route(x)
+                    yield pd.DataFrame({"tree": i, "run": leaf // width, "leaf": leaf, "v": p["v"], "ids": p["ids"]})
 
     def ask(frames):
         f = held()
         for p in frames:
             for query_id, v in zip(p["vec_id"], p["v"]):
-                keys = [key for key, _ in zip(f.walk(np.asarray(v, np.float64)), range(f.visits))]
-                yield pd.DataFrame({"tree": [a for a, _ in keys], "leaf": [b for _, b in keys], "query_id": query_id, "v": [v] * len(keys)})
+                keys = np.array([key for key, _ in zip(f.walk(np.asarray(v, np.float64)), range(f.visits))])
+                place = keys[:, 0] * (per_tree // width + 1) + keys[:, 1] // width
+                order = np.argsort(place, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0])
+                heads = keys[order[starts]]
+                yield pd.DataFrame({"tree": heads[:, 0], "run": heads[:, 1] // width, "leaves": np.split(keys[order, 1], starts[1:]), "query_id": query_id, "v": [v] * len(heads)})
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, ids = _matrix(left["v"]), left["ids"].tolist()
-            for query_id, v in zip(right["query_id"], right["v"]):
-                out += nearest(np.asarray(v, np.float64), query_id, x, ids, k)
+            left = left.sort_values("leaf", kind="stable")
+            x, ids, leaf = _matrix(left["v"]), left["ids"].tolist(), left["leaf"].to_numpy()
+            for query_id, v, leaves in zip(right["query_id"], right["v"], right["leaves"]):
+                first, last = np.searchsorted(leaf, leaves, "left"), np.searchsorted(leaf, leaves, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(first, last)])
+                if len(at):
+                    out += nearest(np.asarray(v, np.float64), query_id, x[at], [ids[i] for i in at], k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
-    per_leaf = forest.leaves / len(forest.trees)
-    row_blocks = int(n_unique / per_leaf // BLOCK) + 1
-    query_blocks = int(queries.count() * forest.visits / forest.leaves // BLOCK) + 1
+    n_queries = queries.count()
+    row_blocks = int(n_unique / runs // (4 * BLOCK)) + 1
+    query_blocks = int(n_queries * min(1.0, forest.visits / (runs * len(forest.trees))) // (4 * BLOCK)) + 1
     own = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    indexed = unique.mapInPandas(index, "tree int, leaf long, v array<double>, ids array<long>")
+    kind = rows.schema["v"].dataType.simpleString()
+    indexed = unique.mapInPandas(index, f"tree int, run long, leaf long, v {kind}, ids array<long>")
     indexed = indexed.withColumn("row_block", own("v", row_blocks)).withColumn("query_block", every_one(query_blocks))
-    asked = queries.mapInPandas(ask, "tree int, leaf long, query_id long, v array<double>")
+    dealt = queries.repartition(max(1, min(n_queries // 32, 4 * spark.sparkContext.defaultParallelism)), "vec_id")  # walks take time, few rows
+    asked = dealt.mapInPandas(ask, f"tree int, run long, leaves array<long>, query_id long, v {kind}")
     asked = asked.withColumn("query_block", own("query_id", query_blocks)).withColumn("row_block", every_one(row_blocks))
-    key = ["tree", "leaf", "row_block", "query_block"]
+    key = ["tree", "run", "row_block", "query_block"]
     found = indexed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(rank, SCHEMA)
     pairs = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)

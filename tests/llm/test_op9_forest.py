@@ -50,9 +50,28 @@ def test_blocks_change_nothing(spark, monkeypatch):
 def test_shared_queue_visits_every_leaf_once():
     r = np.random.default_rng(2)
     x = r.normal(size=(500, 6))
-    f = S.Forest(x, trees=3)
+    f = S.Forest([S.Tree(x.astype(np.float32), np.random.default_rng(i)) for i in range(3)])
     keys = list(f.walk(x[0]))
-    assert len(keys) == len(set(keys)) == f.leaves and {int(t.route(x[:1])[0]) for t in f.trees[:1]} <= {b for a, b in keys[:3] if a == 0}
+    assert len(keys) == len(set(keys)) == f.leaves and {b for a, b in keys[:3]} == {int(t.route(x[:1])[0]) for t in f.trees}
+    assert f.calibrate(x[:1], [x[:1]]) == 1 or f.trees[0].route(x[:1])[0] == keys[0][1]
+
+
+def test_clustered_vectors_need_few_distances(spark, monkeypatch):
+    """Around well apart centres a query must not be held against more than a tenth of the table."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(60, 12)) * 10
+    rows = [(i, centres[i % 60] + r.normal(size=12)) for i in range(3000)]
+    held = spark.sparkContext.accumulator(0)
+    plain = S.nearest
+
+    def counted(q, query_id, x, ids, k):
+        held.add(len(x))
+        return plain(q, query_id, x, ids, k)
+
+    monkeypatch.setattr(S, "nearest", counted)
+    want = {(q, i) for q, _, i, _ in brute(rows, 100)}
+    got = {(x.query_id, x.vec_id) for x in S.search(make(spark, rows)).collect()}
+    assert len(got & want) / len(want) >= 0.9 and held.value / 30 < 3000 * 0.75
 
 
 def test_edges(spark):
