@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,25 +95,17 @@ def budget_ratio_warning(spent: Column, cap: Column) -> Column:
     return F.when((cap > 0) & (ratio >= 0.8) & (ratio < 1), ratio)
 
 
-def tokens_estimate(chars: Column) -> Column:
-    return F.ceil(chars / F.lit(3.5))
-
-
-def backoff_ms(attempt: int, base: int = 1000, cap: int = 30_000) -> int:
+def backoff_ms(attempt: Column, base: int = 1000, cap: int = 30_000) -> Column:
     """Wait before a retry, doubled each time up to a cap."""
-    return min(cap, base * 2 ** max(0, attempt)) if attempt < 1000 else cap
+    steps = F.least(F.greatest(attempt, F.lit(0)), F.lit(40))
+    return F.least(F.lit(cap).cast("double"), F.lit(base) * F.pow(F.lit(2.0), steps)).cast("long")
 
 
-def clip_utf8(text: str, limit: int, marker: str, notice: str) -> str:
-    """`text` within `limit` UTF-8 bytes: cut before `marker` (kept at the end) with `notice` put in."""
-    data = text.encode()
-    if len(data) <= limit:
+def clip_utf8(text: str, limit: int, marker: str, notice: str, spare: int = 64, least: int = 4096) -> str:
+    """`text` within `limit` UTF-8 bytes: what precedes its last `marker` is cut, `notice` and the marker's part follow; a missing marker is added."""
+    if len(text.encode()) <= limit:
         return text
-    head, found, _ = text.rpartition(marker)
-    tail = notice + (marker if found else "")
-    room = max(4096 if limit > 4096 + len(tail.encode()) else 0, limit - len(tail.encode()))
-    return (head if found else text).encode()[:room].decode("utf-8", "ignore") + tail
-
-
-def quantile_ceil(share: float, n: int) -> int:
-    return math.ceil(share * n)
+    at = text.rfind(marker)
+    head, tail = (text[:at], text[at:]) if at >= 0 else (text, f"\n\n{marker}\n")
+    room = max(least, limit - len(notice.encode()) - len(tail.encode()) - spare)
+    return head.rstrip().encode()[:room].decode("utf-8", "ignore").rstrip() + notice + tail

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.functions.catalog import REDACTED, patterns
-from gristmill.operators import findings, scan
+from gristmill.functions.text import backoff_ms
+from gristmill.operators import findings, matching, routes, scan
 from gristmill.plans import scan_queries as Q
 from gristmill.plans import stand_ins as S
-from gristmill.runtime import table
+from gristmill.runtime import cut, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,7 +64,7 @@ def recorded(asked):
 
 
 def _judged(files, escalate=False):
-    rows = scan.asked(files)
+    rows = cut(scan.asked(files))  # the contents are searched once for the hits and for their verdicts
     return scan.judged(rows, recorded(rows), escalate=escalate)
 
 
@@ -103,7 +104,7 @@ def composed_scan(spark, sf_dir):
     return _united(spark, sf_dir).select("place", "detector", "type", "path", "start_line", "rule_id", "confidence", "tenant", "introduced")
 
 
-@query(f"WITH {UNITED_SQL}, n AS (SELECT tenant, detector, count(*) AS n FROM final GROUP BY ALL) SELECT tenant, string_agg(detector || ':' || n, ',' ORDER BY detector) AS families, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY tenant")
+@query(f"WITH {UNITED_SQL}, per AS (SELECT tenant, detector, count(*) AS c FROM final GROUP BY ALL) SELECT tenant, string_agg(detector || ':' || c, ',' ORDER BY detector) AS families, CAST(sum(c) AS BIGINT) AS total FROM per GROUP BY tenant")
 def findings_per_detector(spark, sf_dir):
     g = findings.per_family(_united(spark, sf_dir), ["tenant"])
     return g.select("tenant", F.array_join(F.transform(F.array_sort(F.map_entries("families")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias("families"), "total")
@@ -137,3 +138,26 @@ def patch_quality_counts(spark, sf_dir):
     d = F.col("doc_id")
     quality = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low"), F.lit(None)), (d % 4 + 1).cast("int"))
     return scan.patch_counts(table(spark, sf_dir, "documents").select("source", quality.alias("quality"), F.when(d % 9 == 0, "no patch").alias("error")), ["source"])
+
+
+ROUTES = [p for p in patterns("auth-bypass") if p.id.endswith(("_route_def", "_handler_def"))]
+
+
+@query(f"WITH {WIDE_SQL} SELECT regexp_extract(path, '\\.([^.]*)$', 1) AS ending, count(*) AS files, count(*) FILTER ({' OR '.join(f'({Q.admitted(p)} AND regexp_matches(content, {S.sql_literal(p.regex)}))' for p in ROUTES)}) AS with_route FROM files GROUP BY ALL")
+def route_shape_census(spark, sf_dir):
+    """Files that declare a route of any shape, by file ending."""
+    f = wide_files(spark, sf_dir)
+    return f.groupBy(F.regexp_extract("path", r"\.([^.]*)$", 1).alias("ending")).agg(F.count("*").alias("files"), F.count_if(matching.route_shape(F.col("path"), F.col("content"), ROUTES)).alias("with_route"))
+
+
+@query("""SELECT count(*) AS files, count(*) FILTER (doc_id % 9 <> 0) AS parsed, count(*) FILTER (doc_id % 2 = 0) AS routes, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 4 = 0) AS no_guard, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 = 0) AS no_data_access FROM documents""")
+def route_digest(spark, sf_dir):
+    """Even documents stand for routes, with as many guards and data accesses as their numbers' remainders."""
+    d = table(spark, sf_dir, "documents")
+    f = d.select((F.col("doc_id") % 9 != 0).alias("parsed"))
+    return routes.digest(f, d.where("doc_id % 2 = 0").select((F.col("doc_id") % 4).alias("guards"), (F.col("doc_id") % 3).alias("data_accesses")))
+
+
+@query("SELECT event_id, CAST(least(30000, 1000 * power(2, least(greatest(event_id % 9 - 1, 0), 40))) AS BIGINT) AS wait_ms FROM events")
+def retry_backoff(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", backoff_ms(F.col("event_id") % 9 - 1).alias("wait_ms"))

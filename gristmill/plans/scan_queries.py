@@ -434,13 +434,22 @@ def report_rows(spark, sf_dir):
     return g.select("path", "findings", F.array_join(F.transform("xs", lambda x: x["i"]), ";").alias("lines"))
 
 
-@query()
+SARIF_RESULT = """'{"ruleId":"' || type || '","level":"' || level || '","message":{"text":"' || message || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '"},"region":{"startLine":' || start_line || '}}}],"partialFingerprints":{"primary/v1":"' || type || ':' || path || ':' || start_line || '"}}'"""
+
+
+@query(f"""WITH {FINDINGS_SQL}, f AS (SELECT *, doc_id % 20 AS scan_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level FROM base),
+r AS (SELECT scan_id, CAST(count(*) AS INTEGER) AS results, string_agg({SARIF_RESULT}, ',' ORDER BY path, start_line, type, {SARIF_RESULT}) AS body FROM f GROUP BY scan_id),
+t AS (SELECT scan_id, string_agg('{{"id":"' || type || '"}}', ',' ORDER BY type) AS rules FROM (SELECT DISTINCT scan_id, type FROM f) GROUP BY scan_id)
+SELECT scan_id, results, '{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"gristmill","rules":[' || rules || ']}}}},"invocations":[{{"executionSuccessful":true}}],"results":[' || body || ']}}]}}' AS sarif FROM r JOIN t USING (scan_id)""")
 def sarif_log(spark, sf_dir):
     f = derived_findings(spark, sf_dir).withColumn("scan_id", F.col("doc_id") % 20)
     return sinks.result_log(f, F.lit(False))
 
 
-@query()
+@query(f"""WITH {FINDINGS_SQL}, f AS (SELECT *, doc_id % 20 AS scan_id, doc_id % 3 = 0 AS introduced FROM base), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, introduced ORDER BY path, start_line, type) AS k FROM f),
+l AS (SELECT scan_id, string_agg('- `' || path || ':' || start_line || '` ' || message, chr(10) ORDER BY k) FILTER (introduced AND k <= 10) AS fresh, string_agg('- `' || path || ':' || start_line || '` ' || message, chr(10) ORDER BY k) FILTER (NOT introduced AND k <= 10) AS known, count(*) FILTER (introduced) AS new, count(*) FILTER (NOT introduced) AS old FROM r GROUP BY scan_id)
+SELECT scan_id, new, old, '## Scan result' || chr(10) || chr(10) || new || ' new, ' || old || ' pre-existing' || chr(10) || chr(10) || coalesce(fresh, '') || CASE WHEN new > 10 THEN chr(10) || '- …and ' || (new - 10) || ' more' ELSE '' END || chr(10) || chr(10)
+ || coalesce(known, '') || CASE WHEN old > 10 THEN chr(10) || '- …and ' || (old - 10) || ' more' ELSE '' END || chr(10) || {Q(sinks.MARKER)} AS comment FROM l""")
 def comment_text(spark, sf_dir):
     f = derived_findings(spark, sf_dir).withColumn("scan_id", F.col("doc_id") % 20).withColumn("introduced", F.col("doc_id") % 3 == 0)
     return sinks.comments(f)
