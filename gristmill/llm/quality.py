@@ -9,8 +9,14 @@ ever gathered: a hot group is a few hundred partial sums per task. Two starts ru
 (quartiles; all rows) and the smaller determinant wins. Documents beyond `CUTOFF` squared
 Mahalanobis distance are rejected, only on the bad side of the centre.
 
-Groups under `LEAST` documents are pooled per language, then altogether; a pool that is still
-smaller judges nothing (kept).
+Estimates are made alike at three levels: language and source, language, and all documents. Each
+level's estimate is drawn towards the next wider one's with the weight of `PRIOR_DOCS` documents, and
+that of all documents towards a fixed broad one (`USUAL`). So a large group speaks for itself, a
+small one borrows from its language, and nothing changes abruptly at any size.
+
+The statistics of repeated words and duplicate lines can hardly reject on their own: what the base
+rule leaves of the first lies within four floors of nothing, and the second needs a duplicate line
+every four words. They count beside the others.
 
 Edge cases: a null or empty text has no words and fails the base rule; null languages and
 sources are groups like any other; repeated rows count as often as they occur; texts of any
@@ -46,8 +52,10 @@ PRIOR_WORDS, PRIOR_LETTERS = 50.0, 5.0
 FLOOR = (0.05, 0.04, 0.04, 0.04)
 #: Share of a group that a concentration step keeps, and number of steps.
 NEAREST, STEPS = 0.75, 4
-#: Documents that a group needs for an estimate of its own.
-LEAST = 30
+#: Documents that the next wider level's estimate counts for.
+PRIOR_DOCS = 30.0
+#: Mean and standard deviation of each part where nothing is known: words of five letters, little of the rest.
+USUAL = ((math.log(5.0), 0.3), (0.02, 0.15), (0.02, 0.15), (0.02, 0.15))
 #: Squared distance (chi-square of 4 degrees: one in a million or so) beyond which a text is rejected.
 CUTOFF = 33.4
 #: Distance bins: this many per unit of the logarithm, up to the outermost.
@@ -114,15 +122,9 @@ def base_failed() -> Column:
 
 
 def grouped(stats: DataFrame) -> DataFrame:
-    """`stats` with `g`: language and source, or the pool of those with fewer than `LEAST` judged rows."""
+    """`stats` with `levels`: the names of its groups, from language and source over language to all."""
     name = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    sizes = cut(stats.where(~base_failed()).groupBy("lang", "source").agg(F.count("*").alias("n")))
-    small = F.col("n") < LEAST
-    pooled = sizes.withColumn("pool", F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("lang")))
-    g = F.when(~small, name("lang", "source")).when(F.col("pool") >= LEAST, name("lang")).otherwise(F.lit("{}"))
-    groups = pooled.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), g.alias("g"))
-    same = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    return stats.join(small_side(groups, sizes.count()), same, "left").drop("_l", "_s")
+    return stats.withColumn("levels", F.array(name("lang", "source"), name("lang"), F.lit("{}")))
 
 
 def _distance() -> Column:
@@ -147,7 +149,8 @@ def consistency(share: float) -> float:
     return share / (1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
 
 
-PARAMS = "g string, start int, mean array<double>, inv array<double>, det double"
+PARAMS = "g string, start int, mean array<double>, inv array<double>, cov array<double>, det double"
+PACKED = tuple(zip(*MOMENTS))
 
 
 def estimates(sums: DataFrame, factor: float) -> DataFrame:
@@ -163,7 +166,7 @@ def estimates(sums: DataFrame, factor: float) -> DataFrame:
                     cov[:, i, j] = cov[:, j, i] = p[f"q{i}{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
                 cov = cov * factor + np.diag(np.square(FLOOR))
                 inv = np.linalg.inv(cov)
-                yield pd.DataFrame({"g": p["g"], "start": p["start"], "mean": list(mean), "inv": [m[tuple(zip(*MOMENTS))] for m in inv], "det": np.linalg.det(cov)})
+                yield pd.DataFrame({"g": p["g"], "start": p["start"], "mean": list(mean), "inv": [m[PACKED] for m in inv], "cov": [m[PACKED] for m in cov], "det": np.linalg.det(cov)})
 
     return sums.select("g", "start", *[c for c in sums.columns if c not in ("g", "start")]).mapInPandas(run, PARAMS)
 
@@ -175,8 +178,9 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     mean = F.array(*(F.col(x)[1] for x in PARTS))
     spread = [F.pow((F.col(x)[2] - F.col(x)[0]) / F.lit(1.349), 2) + F.lit(f * f) for x, f in zip(PARTS, FLOOR)]
     inv = F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i, j in MOMENTS))
+    cov = F.array(*(spread[i] if i == j else F.lit(0.0) for i, j in MOMENTS))
     det = spread[0] * spread[1] * spread[2] * spread[3]
-    robust = robust.select("g", F.lit(0).alias("start"), mean.alias("mean"), inv.alias("inv"), det.alias("det"))
+    robust = robust.select("g", F.lit(0).alias("start"), mean.alias("mean"), inv.alias("inv"), cov.alias("cov"), det.alias("det"))
     return robust.unionByName(estimates(rows.groupBy("g").agg(*_moments()).withColumn("start", F.lit(1)), 1.0))
 
 
@@ -192,24 +196,55 @@ def concentrate(rows: DataFrame, params: DataFrame, n_params: int) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """g, mean, inv for each group of `rows` (g, x0..x3): the smaller determinant of both starts."""
+    """g, mean, cov for each group of `rows` (g, x0..x3): the smaller determinant of both starts."""
     params = cut(first_estimates(rows))
     n = params.count()
     for _ in range(STEPS):
         params = cut(concentrate(rows, params, n))
-    best = params.groupBy("g").agg(F.min_by(F.struct("mean", "inv"), F.struct("det", "start")).alias("best"))
-    return best.select("g", F.col("best.mean").alias("mean"), F.col("best.inv").alias("inv"))
+    best = params.groupBy("g").agg(F.min_by(F.struct("mean", "cov"), F.struct("det", "start")).alias("best"))
+    return best.select("g", F.col("best.mean").alias("mean"), F.col("best.cov").alias("cov"))
+
+
+def drawn(levels: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse covariance from (mean, packed covariance, documents) of the levels, the widest first.
+
+    A blend's covariance holds what its two means differ by.
+    """
+    mean = np.array([m for m, _ in USUAL])
+    cov = np.diag(np.square([d for _, d in USUAL]))
+    for own, packed, n in levels:
+        c = np.zeros((4, 4))
+        c[PACKED] = packed
+        c = c + np.triu(c, 1).T
+        w, d = n / (n + PRIOR_DOCS), own - mean
+        mean, cov = w * own + (1 - w) * mean, w * c + (1 - w) * cov + w * (1 - w) * np.outer(d, d)
+    return mean, np.linalg.inv(cov)[PACKED]
+
+
+def blended(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """g (language and source), mean, inv: each group's estimate drawn towards its wider ones, of `rows` (levels) and `found` (g, mean, cov)."""
+    sizes = rows.groupBy("levels").agg(F.count("*").alias("n"))  # a row a group: few
+    every = sizes.select("n", F.posexplode("levels").alias("level", "g"))
+    counted = every.groupBy("level", "g").agg(F.sum("n").alias("n")).join(found, "g").select("g", F.struct("level", "mean", "cov", "n").alias("e"))
+    parts = sizes.select(F.col("levels")[0].alias("own"), F.explode("levels").alias("g")).join(counted, "g")
+    gathered = parts.groupBy("own").agg(F.sort_array(F.collect_list("e"), asc=False).alias("es"))
+
+    def run(frames):
+        for p in frames:
+            if len(p):
+                made = [drawn([(np.array(e["mean"]), np.array(e["cov"]), float(e["n"])) for e in es]) for es in p["es"]]
+                yield pd.DataFrame({"g": p["own"], "mean": [m for m, _ in made], "inv": [i for _, i in made]})
+
+    return gathered.mapInPandas(run, "g string, mean array<double>, inv array<double>")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, statistics, base_failed, distance and kept for all rows of `docs` (doc_id, text, lang, source)."""
     stats = cut(measure(docs))
     known = cut(grouped(stats).select("*", base_failed().alias("base_failed"), *vector()))
-    enough = known.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *PARTS)
-    params = cut(robust_estimates(enough))
-    sizes = enough.groupBy("g").agg(F.count("*").alias("_n"))
-    scored = known.join(small_side(params.join(sizes, "g"), params.count()), "g", "left")
+    judged = known.where(~F.col("base_failed"))
+    params = cut(blended(judged, robust_estimates(judged.select(F.explode("levels").alias("g"), *PARTS))))
+    scored = known.withColumn("g", F.col("levels")[0]).join(small_side(params, params.count()), "g", "left").withColumn("distance", _distance())
     worse = F.greatest(*(F.abs(F.col("x0") - F.col("mean")[0]) if i == 0 else F.col(x) - F.col("mean")[i] for i, x in enumerate(PARTS))) > 0
-    odd = F.coalesce((F.col("_n") >= LEAST) & worse & (F.col("distance") > CUTOFF), F.lit(False))
-    scored = scored.withColumn("distance", _distance())
+    odd = F.coalesce(worse & (F.col("distance") > CUTOFF), F.lit(False))
     return scored.select("doc_id", *[x.split()[0] for x in STATS.split(", ")], "base_failed", "distance", (~F.col("base_failed") & ~odd).alias("kept"))
