@@ -179,14 +179,15 @@ def train(examples: list[tuple[str, bytes]], seed: int = SEED, steps: int = STEP
 def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
     """The bounded training sample: excerpts of labelled documents outside the held-out fold, by hash.
 
-    A threshold on the hash, set from each language's count, lets about half as many again through
-    as are taken, so what is ranked follows the sample and not the table; rows of one id count once.
+    A threshold on the hash, set from the number of each language's ids that have a text (estimated
+    within a few hundredths), lets about half as many again through as are taken, so what is ranked
+    follows the sample and not the table; rows of one id count once.
     """
-    chosen = docs.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull())
-    counts = cut(chosen.groupBy("lang").agg(F.count("*").alias("_n")))
+    chosen = docs.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = cut(chosen.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")))
     share = F.least(F.lit(1.0), F.lit(1.5 * PER_LANGUAGE) / F.col("_n"))
     limits = counts.select("lang", F.when(share < 1, ((share - F.lit(0.5)) * F.lit(2.0**64)).cast("long")).otherwise(F.lit((1 << 63) - 1)).alias("_limit"))
-    rows = chosen.where(F.length("text") > 0).select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    rows = chosen.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"))
     few = rows.join(small_side(limits, counts.count()), "lang").where(F.col("h") <= F.col("_limit"))
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1) + 1
     parts = few.select("lang", "h", F.substring("text", start.cast("int"), F.lit(EXCERPT)).alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part"))
