@@ -117,9 +117,9 @@ def shape(token: str, before: str, after: str) -> list[int]:
 
 
 def same_key(token: str) -> str | None:
-    """What repeated or similar tokens have in common: their digits if these are many, else the bare word."""
-    digits = only_digits(token)
-    return digits if len(digits) >= 6 else token.strip(".,;:!?\"'#*$%&()").casefold() if "@" in token else None
+    """What repeated or similar tokens have in common: their digits if these are many, else the bare word of an address."""
+    digits, core = only_digits(token), token.strip(".,;:!?\"'#*$%&()").casefold()
+    return digits if len(digits) >= 6 else core if "@" in token or (core.count(".") == 3 and digits) else None
 
 
 @dataclass
@@ -241,7 +241,8 @@ def train(texts: list[str]) -> Field | None:
 def sample(docs: DataFrame) -> list[str]:
     """The bounded training sample, by hash; texts that hold a candidate."""
     rows = docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@+]")).select("doc_id", "text")
-    return [x.text for x in hashed_sample(rows, rows.count(), SAMPLE_DOCS).collect()]
+    distinct = rows.agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n")).first()["n"]  # repeated rows count once
+    return [x.text for x in hashed_sample(rows, distinct, SAMPLE_DOCS).collect()]
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
