@@ -11,9 +11,13 @@ vectors need few and patternless ones many. Candidates are ranked by exact doubl
 on the original vectors, and a group of leaves passes on its nearest only, not its pairs.
 
 Trees are fitted on executors, one task a tree; the driver holds hyperplanes in single precision
-(`TREES` x `SAMPLE` / `LEAF` of them), which is broadcast. The leaves of a tree are dealt in runs of
-neighbouring ones of about `BLOCK` vectors; a query goes to the runs that hold leaves of its own,
-once each. Leaves that are larger than that are split into blocks, and so are their queries.
+(trees x `SAMPLE` / `LEAF` of them), which is broadcast. The index has one of two layouts, by the
+counted vectors, with the same candidates for the same trees. Up to `HOME_BLOCKS` blocks of `HOME`
+vectors, each vector lies in one block with its leaf in each tree, and a query with its leaves goes
+to every block once: a candidate of several trees is ranked once, and more trees cost no copies.
+Beyond that, each tree's leaves are dealt in runs of neighbouring ones of about `BLOCK` vectors, a
+copy of the vectors for each tree; a query goes to the runs that hold leaves of its own, once each,
+however many there are. Leaves larger than that are split into blocks, and so are their queries.
 
 Equal vectors are indexed once, with their smallest ids: a group of copies, however large, is one
 entry, and no id beyond the smallest `k` + 1 can be among anyone's nearest `k`.
@@ -37,10 +41,12 @@ from gristmill.runtime import cut, hashed_sample, ship
 
 ship(__name__)
 
-TREES, SAMPLE, LEAF, SEED = 12, 32_768, 16, 11
-GOAL, PROBES = 0.93, 120
-#: Vectors, and queries, that a task holds of one run of leaves.
-BLOCK = 8_192
+SAMPLE, LEAF, SEED = 32_768, 16, 11
+GOAL, PROBES = 0.925, 150
+#: Trees, and vectors of a block, where each vector lies in one block only; and the most such blocks.
+HOME_TREES, HOME, HOME_BLOCKS = 24, 4_096, 64
+#: Trees, and vectors, and queries, that a task holds of one run of leaves.
+TREES, BLOCK = 12, 8_192
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -163,8 +169,8 @@ def nearest(q: np.ndarray, query_id: int, x: np.ndarray, ids: list, k: int) -> l
     return [(query_id, vec_id, float(s)) for s, vec_id in found]
 
 
-def fit(sample: np.ndarray, spark) -> Forest:
-    """`TREES` trees on the rows of `sample`, each grown by a task of its own from its own seed."""
+def fit(sample: np.ndarray, trees: int, spark) -> Forest:
+    """`trees` trees on the rows of `sample`, each grown by a task of its own from its own seed."""
     shared = spark.sparkContext.broadcast(sample.astype(np.float32))
 
     def grow(frames):
@@ -172,12 +178,12 @@ def fit(sample: np.ndarray, spark) -> Forest:
             for i in p["id"]:
                 yield pd.DataFrame({"id": [i], "tree": [pickle.dumps(Tree(shared.value, np.random.default_rng([SEED, int(i)])).__dict__)]})
 
-    trees = []
-    for r in spark.range(0, TREES, 1, TREES).mapInPandas(grow, "id long, tree binary").orderBy("id").collect():
+    grown = []
+    for r in spark.range(0, trees, 1, trees).mapInPandas(grow, "id long, tree binary").orderBy("id").collect():
         tree = Tree.__new__(Tree)
         tree.__dict__ = pickle.loads(r.tree)
-        trees.append(tree)
-    return Forest(trees)
+        grown.append(tree)
+    return Forest(grown)
 
 
 def true_neighbours(unique: DataFrame, probes: np.ndarray, k: int) -> list[np.ndarray]:
@@ -214,9 +220,12 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     unique = cut(distinct_vectors(rows, k))
     n_unique = unique.count()
     taken = _matrix(hashed_sample(unique.select("v"), n_unique, SAMPLE).toPandas()["v"])
-    forest = fit(taken, spark)
+    blocks = -(-n_unique // HOME)
+    at_home = blocks <= HOME_BLOCKS
+    forest = fit(taken, HOME_TREES if at_home else TREES, spark)
     probes = taken[:: max(1, len(taken) // PROBES)][:PROBES]  # the sample comes in hash order, so these are any
     forest.visits = forest.calibrate(probes, true_neighbours(unique, probes, k))
+    forest_leaves = forest.leaves
     shared = spark.sparkContext.broadcast(pickle.dumps({"trees": [t.__dict__ for t in forest.trees], "visits": forest.visits}))
     per_tree = max(t.leaves for t in forest.trees)
     runs = max(1, min(per_tree, round(n_unique / BLOCK)))  # runs of neighbouring leaves a tree
@@ -233,6 +242,38 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         f.visits = parts["visits"]
         return f
 
+    def offsets(trees: list[Tree]) -> np.ndarray:
+        return np.cumsum([0] + [t.leaves for t in trees])
+
+    def index_home(frames):
+        trees = held().trees
+        starts = offsets(trees)
+        for p in frames:
+            if len(p):
+                x = _matrix(p["v"])
+                leaves = np.stack([t.route(x) + s for t, s in zip(trees, starts)], 1).astype(np.int32)
+                yield pd.DataFrame({"block": p["block"], "leaves": list(leaves), "v": p["v"], "ids": p["ids"]})
+
+    def ask_home(frames):
+        f = held()
+        starts = offsets(f.trees)
+        for p in frames:
+            if len(p):
+                visited = [np.array([starts[i] + leaf for (i, leaf), _ in zip(f.walk(np.asarray(v, np.float64)), range(f.visits))], np.int32) for v in p["v"]]
+                yield pd.DataFrame({"visited": visited, "query_id": p["vec_id"], "v": p["v"]})
+
+    def rank_home(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            x, ids, leaves = _matrix(left["v"]), left["ids"].tolist(), np.stack(left["leaves"].to_numpy())
+            for query_id, v, visited in zip(right["query_id"], right["v"], right["visited"]):
+                seen = np.zeros(forest_leaves, bool)
+                seen[visited] = True
+                at = np.flatnonzero(seen[leaves].any(axis=1))
+                if len(at):
+                    out += nearest(np.asarray(v, np.float64), query_id, x[at], [ids[i] for i in at], k)
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
     def index(frames):
         trees = held().trees
         for p in frames:
@@ -267,18 +308,24 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     n_queries = queries.count()
-    row_blocks = int(n_unique / runs // (4 * BLOCK)) + 1
-    query_blocks = int(n_queries * min(1.0, forest.visits / (runs * len(forest.trees))) // (4 * BLOCK)) + 1
     own = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kind = rows.schema["v"].dataType.simpleString()
-    indexed = unique.mapInPandas(index, f"tree int, run long, leaf long, v {kind}, ids array<long>")
-    indexed = indexed.withColumn("row_block", own("v", row_blocks)).withColumn("query_block", every_one(query_blocks))
     dealt = queries.repartition(max(1, min(n_queries // 32, 4 * spark.sparkContext.defaultParallelism)), "vec_id")  # walks take time, few rows
-    asked = dealt.mapInPandas(ask, f"tree int, run long, leaves array<long>, query_id long, v {kind}")
-    asked = asked.withColumn("query_block", own("query_id", query_blocks)).withColumn("row_block", every_one(row_blocks))
-    key = ["tree", "run", "row_block", "query_block"]
-    found = indexed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(rank, SCHEMA)
+    if at_home:
+        query_blocks = n_queries // (4 * BLOCK) + 1
+        indexed = unique.withColumn("block", own("v", max(1, blocks))).mapInPandas(index_home, f"block int, leaves array<int>, v {kind}, ids array<long>").withColumn("query_block", every_one(query_blocks))
+        asked = dealt.mapInPandas(ask_home, f"visited array<int>, query_id long, v {kind}").withColumn("query_block", own("query_id", query_blocks)).withColumn("block", every_one(max(1, blocks)))
+        found = indexed.groupBy("block", "query_block").cogroup(asked.groupBy("block", "query_block")).applyInPandas(rank_home, SCHEMA)
+    else:
+        row_blocks = int(n_unique / runs // (4 * BLOCK)) + 1
+        query_blocks = int(n_queries * min(1.0, forest.visits / (runs * len(forest.trees))) // (4 * BLOCK)) + 1
+        indexed = unique.mapInPandas(index, f"tree int, run long, leaf long, v {kind}, ids array<long>")
+        indexed = indexed.withColumn("row_block", own("v", row_blocks)).withColumn("query_block", every_one(query_blocks))
+        asked = dealt.mapInPandas(ask, f"tree int, run long, leaves array<long>, query_id long, v {kind}")
+        asked = asked.withColumn("query_block", own("query_id", query_blocks)).withColumn("row_block", every_one(row_blocks))
+        key = ["tree", "run", "row_block", "query_block"]
+        found = indexed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(rank, SCHEMA)
     pairs = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
