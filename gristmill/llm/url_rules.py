@@ -9,8 +9,8 @@ about these pages (one host with its labels and its fixed path is one item, howe
 has). FP-growth finds the combinations of items that at least `MIN_BAD` bad pages share, a count that
 is the same at every size. Each is then held against all labelled pages by an inverted index on its
 rarest token. It becomes a rule if the odds of a bad page under it are at least `MIN_ODDS` times those
-of all labelled pages and the lower Wilson bound of its confidence lies above their share; so the bar
-follows the base rate. A rule that contains another one's items is pruned: it blocks nothing more.
+of all labelled pages and the lower Wilson bound of its confidence, four standard errors wide as many
+combinations are tried, lies above their share; so the bar follows the base rate. A rule that contains another one's items is pruned: it blocks nothing more.
 What is mined grows with the combinations of items that are not nested; d items of which each lies
 on a part of the pages of the one before still cost 2^d combinations.
 
@@ -41,7 +41,8 @@ MIN_BAD = 5
 MIN_ODDS = 4.0
 #: Rows and bytes of tokens up to which a side is broadcast.
 INDEX_ROWS, INDEX_BYTES = 100_000, 16_000_000
-Z95 = 1.959963984540054
+#: Standard errors of the Wilson bound: of 30,000 combinations of chance about one passes.
+Z = 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,9 +86,9 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _low(k: Column, n: Column) -> Column:
-    """Lower bound of the Wilson 95 % interval of k in n."""
-    p, z2 = k / n, F.lit(Z95 * Z95)
-    return (p + z2 / (2 * n) - F.lit(Z95) * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    """Lower Wilson bound of k in n, `Z` standard errors wide."""
+    p, z2 = k / n, F.lit(Z * Z)
+    return (p + z2 / (2 * n) - F.lit(Z) * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
 def _set_id(tokens: Column) -> list[Column]:

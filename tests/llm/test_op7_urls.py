@@ -44,8 +44,8 @@ def enumerated(rows):
             k, n = sum(holds), len(holds)
             if k < U.MIN_BAD or any(s < need for s in sure):
                 continue
-            p, z2 = k / n, U.Z95**2
-            low = (p + z2 / (2 * n) - U.Z95 * (p * (1 - p) / n + z2 / (4 * n * n)) ** 0.5) / (1 + z2 / n)
+            p, z2 = k / n, U.Z**2
+            low = (p + z2 / (2 * n) - U.Z * (p * (1 - p) / n + z2 / (4 * n * n)) ** 0.5) / (1 + z2 / n)
             if k * (1 - base) >= U.MIN_ODDS * base * (n - k) and low > base:
                 sure.append(need)
     return sure
@@ -85,11 +85,11 @@ def test_long_shared_paths_are_one_item(spark, pages):
 
 
 def test_few_labels_and_one_kind_of_label(spark, pages):
-    table = pages([f"http://{'bad' if i < 6 else 'fine'}.test/{i}" for i in range(20)])
-    labels = lambda bad: spark.createDataFrame([(i, int(i not in bad), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    table = pages([f"http://{'bad' if i < 6 else 'fine'}.test/{i}" for i in range(60)])
+    labels = lambda bad: spark.createDataFrame([(i, int(i not in bad), 0) for i in range(60)], "doc_id long, quality int, toxic int")
     assert {x.page_id for x in U.judge(table, labels(range(6))).where("verdict = 'block'").collect()} == set(range(6))
     assert U.judge(table, labels(range(4))).where("verdict = 'block'").count() == 0  # too few bad pages for any rule
-    assert U.judge(table, labels(range(20))).where("verdict = 'block'").count() == 0  # nothing stands out
+    assert U.judge(table, labels(range(60))).where("verdict = 'block'").count() == 0  # nothing stands out
 
 
 def test_edges(spark, pages, no_labels):
