@@ -154,7 +154,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
         found = narrow.drop("doc_id").join(small_side(one, one.count()), ["_doc", "_row"]).dropDuplicates(["set"])
         return near_copies.shingle_sets(found, ["set"])
 
-    roots = components(near_copies.links(least, texts)).select(F.col("node").alias("set"), "root")
-    joined = least.select("set", "least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    joined = least.select("set", "least").join(near_copies.groups(least, texts), "set", "left").withColumn("root", F.coalesce("root", "set"))
     kept = joined.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._doc").alias(doc), F.col("first._row").alias(row))
     return keyed.join(kept, [doc, row], "left_semi").select(*names)
