@@ -59,3 +59,17 @@ def test_run_and_empty_table(spark, sf, empty, monkeypatch):
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
     assert P.run(spark, sf).count() > 0
+
+
+def test_awkward_rows_and_clashing_columns_pass_every_stage(spark, sf, awkward, monkeypatch):
+    monkeypatch.setattr(language_id, "BATCH", 32)
+    docs = awkward.selectExpr("*", "doc_id + 1 AS _row", "'x' AS _doc", "2.5 AS copies", "lang AS shard")
+    columns = docs.columns
+    rows = {tuple(r) for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+        if name == "near_duplicates":
+            kept = [tuple(r) for r in docs.collect()]
+            assert set(kept) <= rows and len(kept) == len(set(kept))
+    assert P.STAGES[-1][1](spark, docs, sf).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
