@@ -156,7 +156,7 @@ def test_sinks(spark):
     text = clip_utf8("é" * 40_000 + sinks.MARKER, sinks.COMMENT_BYTES, sinks.MARKER, sinks.NOTICE)
     assert len(text.encode()) <= sinks.COMMENT_BYTES and text.endswith(sinks.MARKER) and sinks.NOTICE in text
     bare = clip_utf8("word " * 20_000, sinks.COMMENT_BYTES, sinks.MARKER, sinks.NOTICE)
-    assert bare.endswith(f"word{sinks.NOTICE}\n\n{sinks.MARKER}\n") and sinks.COMMENT_BYTES - 80 <= len(bare.encode()) <= sinks.COMMENT_BYTES - 60
+    assert bare.startswith("word word") and bare.endswith(f"{sinks.NOTICE}\n\n{sinks.MARKER}\n") and f" {sinks.NOTICE}" not in bare and sinks.COMMENT_BYTES - 80 <= len(bare.encode()) <= sinks.COMMENT_BYTES - 60
     body = spark.createDataFrame([("a.ts", 2, "w|y", "medium", "x\n\n``` code\nlast")], "path string, line int, why string, severity string, content string")
     md = sinks.report_lines(body).first().markdown
     assert "````\n``` code\nlast\n````" in md and r"w\|y" in md
