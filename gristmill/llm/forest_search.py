@@ -42,7 +42,7 @@ from gristmill.runtime import cut, hashed_sample, ship
 ship(__name__)
 
 SAMPLE, LEAF, SEED = 32_768, 16, 11
-GOAL, PROBES = 0.925, 150
+GOAL, PROBES = 0.935, 150
 #: Trees, and vectors of a block, where each vector lies in one block only; and the most such blocks.
 HOME_TREES, HOME, HOME_BLOCKS = 24, 4_096, 64
 #: Trees, and vectors, and queries, that a task holds of one run of leaves.
