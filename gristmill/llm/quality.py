@@ -173,7 +173,7 @@ def estimates(sums: DataFrame, factor: float) -> DataFrame:
 
 def first_estimates(rows: DataFrame) -> DataFrame:
     """Start 0: medians, and variances from the quartiles; start 1: mean and covariance of all rows."""
-    quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(x) for x in PARTS]
+    quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], 2_000).alias(x) for x in PARTS]
     robust = rows.groupBy("g").agg(*quartiles)
     mean = F.array(*(F.col(x)[1] for x in PARTS))
     spread = [F.pow((F.col(x)[2] - F.col(x)[0]) / F.lit(1.349), 2) + F.lit(f * f) for x, f in zip(PARTS, FLOOR)]
