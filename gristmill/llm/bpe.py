@@ -36,8 +36,8 @@ ship("gristmill.llm.scan")
 
 #: Parts up to which the array is scanned.
 SHORT = 128
-#: Words kept encoded by a Python worker, the bytes that they may take by a rough count, and the longest one kept; at a limit it starts afresh.
-CACHE, CACHE_BYTES, KEPT_LENGTH = 200_000, 96_000_000, 1_000
+#: Words, and pieces, kept encoded by a Python worker, the bytes that either may take by a rough count, and the longest one kept; at a limit it starts afresh.
+CACHE, CACHE_BYTES, KEPT_LENGTH = 200_000, 80_000_000, 1_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 # Where Python's and regex's character tables are older or newer than the tokenizers library's.
@@ -88,7 +88,7 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, tuple[bytes, str, int]] = {}
         self.known_pieces: dict[str, list[int]] = {}
-        self.held = 0
+        self.held = [0, 0]
 
     def parts(self, piece: str) -> list[str]:
         """Tokens of one piece of a text, before ids."""
@@ -129,31 +129,28 @@ class WordBpe:
                     heapq.heappush(heap, (r, a))
         return [s for s in symbols if s]
 
-    def keep(self, length: int, ids: int) -> bool:
-        """Whether a word or piece is kept; both caches start afresh when they would outgrow their limits."""
-        if length > KEPT_LENGTH:
-            return False
-        self.held += 300 + 8 * length + 40 * ids  # text, digest and list, generously
-        if self.held > CACHE_BYTES or len(self.known) >= CACHE or len(self.known_pieces) >= CACHE:
-            self.known.clear()
-            self.known_pieces.clear()
-            self.held = 300 + 8 * length + 40 * ids
-        return True
+    def keep(self, place: int, cache: dict, key: str, value, ids: int) -> None:
+        """Puts a word (place 0) or a piece (1) into its cache, which starts afresh when it would outgrow its limits."""
+        if len(key) <= KEPT_LENGTH:
+            size = 200 + 3 * len(key) + 16 * ids  # the key, the ids and their text
+            if self.held[place] + size > CACHE_BYTES or len(cache) >= CACHE:
+                cache.clear()
+                self.held[place] = 0
+            cache[key] = value
+            self.held[place] += size
 
     def piece(self, piece: str) -> list[int]:
         got = self.known_pieces.get(piece)
         if got is None:
             got = [self.vocab[t] for t in self.parts(piece)]
-            if self.keep(len(piece), len(got)):
-                self.known_pieces[piece] = got
+            self.keep(1, self.known_pieces, piece, got, len(got))
         return got
 
     def word(self, word: str) -> tuple[bytes, str, int]:
         """(ids as bytes, their decoded text, number of ids) of a string without white space."""
         ids = [i for piece in self.pieces.findall(word) for i in self.piece(piece)]
         got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids), len(ids)
-        if self.keep(len(word), len(ids)):
-            self.known[word] = got
+        self.keep(0, self.known, word, got, len(ids))
         return got
 
     def words(self, text: str) -> list[str]:
