@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, forest_search, language_id, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
+from gristmill.llm import bpe, forest_search, language_id, merkle, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
 from gristmill.runtime import table
 
 
@@ -52,6 +52,10 @@ def op10_bpe_rank_array(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_automaton": op1_secret_automaton,
     "op2_simhash_blocks": op2_simhash_blocks,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_projection_forest": op9_projection_forest,
     "op10_bpe_rank_array": op10_bpe_rank_array,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -90,5 +95,46 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
   CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies,
   CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
+""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE e AS (
+  SELECT doc_id, lang, coalesce('+' || lang, '') AS g, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, g, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || CAST(m AS VARCHAR), '-') || tail) AS altered
+  FROM (SELECT *, n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS m FROM e)),
+r AS (SELECT *, row_number() OVER (ORDER BY g, doc_id, leaf) AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS total FROM l),
+n AS (
+  SELECT g, 0 AS level, pos, leaf AS h, total FROM r
+  UNION ALL
+  SELECT a.g, a.level + 1, a.pos // 2, sha256(a.h || coalesce(b.h, '')), (a.total + 1) // 2
+  FROM n a LEFT JOIN n b ON a.g = b.g AND b.pos = a.pos + 1
+  WHERE a.pos % 2 = 0 AND a.total > 1),
+s AS (SELECT g, h, level AS depth, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS total FROM n WHERE total = 1),
+t AS (
+  SELECT 0 AS level, pos, h, total FROM s
+  UNION ALL
+  SELECT a.level + 1, a.pos // 2, sha256(a.h || coalesce(b.h, '')), (a.total + 1) // 2
+  FROM t a LEFT JOIN t b ON b.pos = a.pos + 1
+  WHERE a.pos % 2 = 0 AND a.total > 1),
+p AS (
+  SELECT r.id, r.g, 0 AS level, r.pos, r.altered AS f, '' AS beside FROM r
+  UNION ALL
+  SELECT p.id, p.g, p.level + 1, p.pos // 2, CASE WHEN n.h IS NULL THEN sha256(p.f) WHEN p.pos % 2 = 1 THEN sha256(n.h || p.f) ELSE sha256(p.f || n.h) END, p.beside || coalesce(n.h, '')
+  FROM p JOIN s ON p.g = s.g LEFT JOIN n ON n.g = p.g AND n.level = p.level AND n.pos = p.pos + 1 - 2 * (p.pos % 2)
+  WHERE p.level < s.depth),
+q AS (
+  SELECT p.id, 0 AS level, s.pos, p.f, p.beside FROM p JOIN s ON p.g = s.g AND p.level = s.depth
+  UNION ALL
+  SELECT q.id, q.level + 1, q.pos // 2, CASE WHEN t.h IS NULL THEN sha256(q.f) WHEN q.pos % 2 = 1 THEN sha256(t.h || q.f) ELSE sha256(q.f || t.h) END, q.beside || coalesce(t.h, '')
+  FROM q LEFT JOIN t ON t.level = q.level AND t.pos = q.pos + 1 - 2 * (q.pos % 2)
+  WHERE q.level < (SELECT max(level) FROM t))
+SELECT r.doc_id, r.leaf, s.h AS subroot, t.h AS root, sha256(q.beside) AS proof_sha256, q.f AS folded_root, q.f = t.h AS verified, r.lang
+FROM r JOIN s ON r.g = s.g JOIN q ON q.id = r.id AND q.level = (SELECT max(level) FROM t) CROSS JOIN (SELECT h FROM t WHERE total = 1) t
 """,
 }
