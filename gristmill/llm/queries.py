@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, forest_search, language_id, merkle, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
+from gristmill.llm import bpe, forest_search, language_id, maxent, merkle, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
 from gristmill.runtime import table
 
 
@@ -56,6 +56,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_maxent_scores(spark, sf_dir):
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_automaton": op1_secret_automaton,
     "op2_simhash_blocks": op2_simhash_blocks,
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_projection_forest": op9_projection_forest,
     "op10_bpe_rank_array": op10_bpe_rank_array,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_maxent_scores": op13_maxent_scores,
 }
 
 ORACLE_SQL = {
