@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gristmill.llm import bpe, forest_search, language_id, maxent, merkle, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
+from gristmill.llm import alignment, bpe, forest_search, language_id, maxent, merkle, mixing, pii, quality, secret_scan, sharding, simhash, url_rules
 from gristmill.runtime import table
 
 
-#: Where the tokenizer file of op10 lies; a parameter of the operator.
+#: Where the tokenizer files of op10 and op11 lie; parameters of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZERS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secret_automaton(spark, sf_dir):
@@ -52,6 +53,10 @@ def op10_bpe_rank_array(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), *TOKENIZERS)
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_projection_forest": op9_projection_forest,
     "op10_bpe_rank_array": op10_bpe_rank_array,
+    "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_maxent_scores": op13_maxent_scores,
 }
