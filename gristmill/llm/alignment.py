@@ -21,12 +21,13 @@ get equal results and count apart; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.blocks import dealt
@@ -37,10 +38,13 @@ ship(__name__)
 #: Characters between which a blank begins a cell: none is white space for either tokenizer.
 SOLID = "[!-~¡-¬®-˿Ͱ-ԯぁ-ヿ一-鿿가-힣]"
 CELLS = f"(?<={SOLID})(?= {SOLID})"
+# Fixed value: how byte-level BPE cuts a text into pieces before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# End of fixed value.
 #: Distinct pairs up to which their counts are broadcast (about 40 bytes each).
 PAIRS = 2_000_000
 #: Bytes of text in a block.
-BLOCK = 20_000_000
+BLOCK = 12_000_000
 #: A pair's number: the id of A times this, plus the id of B.
 SECOND = 1 << 20
 #: A token in an array: its id, and from this bit on its bytes.
@@ -53,30 +57,32 @@ class Both:
     """Encoders of both tokenizers for cells, with the bytes of every token."""
 
     def __init__(self, a_json: str, b_model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         from gristmill.llm.bpe import byte_letters
 
-        self.a, self.b = Tokenizer.from_str(a_json), SentencePieceProcessor(model_proto=b_model)
-        self.a.encode_special_tokens = True  # their strings in a text are text
-        self.a.no_truncation()
-        self.a.no_padding()
+        spec = Tokenizer.from_str(a_json)
+        self.b = SentencePieceProcessor(model_proto=b_model)
         byte = {c: i for i, c in enumerate(byte_letters())}
-        self.a_bytes = {i: bytes(byte[c] for c in t) if set(t) <= byte.keys() else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        special = {t.content for t in spec.get_added_tokens_decoder().values() if t.special}  # their strings in a text are text
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec.get_vocab(with_added_tokens=True).items() if t not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})  # the file's vocabulary: ids are in the order of its merges
+        self.a_bytes = {i: t for t, i in ranks.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("cells need a piece vocabulary without pieces over a blank")
 
     def encode(self, cells: list[str]) -> pa.StructArray:
         """`SIDES` of each cell: no tokens where a tokenizer changes it."""
         sides = [], []
-        for cell, a, b in zip(cells, self.a.encode_batch_fast(cells, add_special_tokens=False), self.b.encode([c[1:] for c in cells], num_threads=1)):
-            raw, a = cell.encode(), a.ids
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            fine = b"".join(a_parts) == raw == b"".join(b_parts)
+        encode_a, a_bytes, b_bytes = self.a.encode_ordinary, self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        for cell, b in zip(cells, self.b.encode([c[1:] for c in cells], num_threads=1)):
+            a = encode_a(cell)
+            a_parts, b_parts = [*map(a_bytes, a)], [*map(b_bytes, b)]
+            fine = b"".join(a_parts) == cell.encode() == b"".join(b_parts)
             for out, ids, parts in zip(sides, (a, b), (a_parts, b_parts)):
                 out.append([i | len(p) << LENGTH_BIT for i, p in zip(ids, parts)] if fine else [])
         return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in sides], names=["a", "b"])
@@ -102,82 +108,112 @@ def encoder(df: DataFrame, a_path: str, b_path: str):
     return encode
 
 
-def places(tokens: DataFrame, key: list[str], sides: tuple[str, str], name: str) -> DataFrame:
-    """`tokens` (key, name, and an array of tokens for either side) as one row per place where a token begins.
+def places(tokens: DataFrame, key: list[str], sides: tuple[str, str]) -> DataFrame:
+    """`tokens` (key, and an array of tokens for either side) as one row per place where a token begins.
 
-    Columns: key, at, name (at place 0 only, so that long ones aren't copied), a and b (ids that begin there, else null), n_group (cuts so
-    far), over_a and over_b (the tokens that lie over the bytes from there on).
+    Columns: key, at, a and b (ids that begin there, else null), n_group (cuts so far), over_a and over_b (the tokens that lie over the
+    bytes from there on).
     """
-
-    def side(k: int) -> Column:
-        own = F.when(F.lit(k == 0), F.col(name))
-        return F.transform(F.col(sides[k]), lambda t, i: F.struct(F.lit(k).alias("side"), i.alias("pos"), t.alias("token"), F.when(i == 0, own).alias(name)))
-
-    token = F.col("t.token")
-    rows = tokens.select(*key, F.explode(F.concat(side(0), side(1))).alias("t"))
-    rows = rows.select(*key, "t.side", "t.pos", token.bitwiseAND((1 << LENGTH_BIT) - 1).alias("id"), F.shiftright(token, LENGTH_BIT).alias("len"), F.col(f"t.{name}").alias(name))
+    first, second = sides
+    rows = tokens.select(*key, F.size(first).alias("n"), F.posexplode(F.concat(first, second)).alias("pos", "token"))
+    rows = rows.select(*key, (F.col("pos") >= F.col("n")).alias("side"), "pos", F.col("token").bitwiseAND((1 << LENGTH_BIT) - 1).alias("id"), F.shiftright("token", LENGTH_BIT).alias("len"))
     before = Window.partitionBy(*key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     begun = rows.withColumn("at", F.sum("len").over(before) - F.col("len"))
-    of = lambda k: F.max(F.when(F.col("side") == k, F.col("id")))
-    joined = begun.groupBy(*key, "at").agg(of(0).alias("a"), of(1).alias("b"), F.max(name).alias(name))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))
+    joined = begun.groupBy(*key, "at").agg(of(False).alias("a"), of(True).alias("b"))  # both sides come from one scan: a grouping joins them
     so_far = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     cuts = F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")).over(so_far)
     return joined.withColumns({"n_group": cuts, "over_a": F.last("a", ignorenulls=True).over(so_far), "over_b": F.last("b", ignorenulls=True).over(so_far)})
 
 
-KEY = ["block", "h", "g"]
+#: 128 bits of a cell's hash come first: rows that a task sorts differ in them.
+KEY = ["h", "g", "block"]
 
 
 def cell_places(blocks: DataFrame, parts: int, encode) -> DataFrame:
-    """`places` of the distinct cells of every block, keyed by 128 bits of a cell's hash. Only the arrays of tokens are shuffled, to where their block's documents lie."""
+    """`places` of the distinct cells of every block. Only the arrays of tokens are shuffled, to where their block's documents lie."""
     text = F.element_at("doc", 2)
     cells = blocks.select("block", F.explode(F.split(F.concat(F.lit(" "), text), CELLS, -1)).alias("cell")).distinct()
     coded = cells.select("block", "cell", encode("cell").alias("t")).select("block", "cell", "t.*").repartition(parts, "block")
-    return places(coded.select("*", F.xxhash64("cell").alias("h"), F.xxhash64(F.lit(1), "cell").alias("g")), KEY, ("a", "b"), "cell")
+    return places(coded.select(F.xxhash64("cell").alias("h"), F.xxhash64(F.lit(1), "cell").alias("g"), "block", "a", "b"), KEY, ("a", "b"))
+
+
+class Cells(dict):
+    """Cell -> what `told` makes of its rows (their first and last), or None; `table` has the rows of all cells by h and g, in any order."""
+
+    def __init__(self, table: pa.Table, told):
+        super().__init__()
+        self.told = told
+        self.columns = {n: table.column(n).to_numpy() for n in table.column_names}
+        h, g = self.columns.pop("h"), self.columns.pop("g")
+        order = np.lexsort((self.columns["at"], g, h))
+        h, g = h[order], g[order]
+        self.columns = {n: c[order] for n, c in self.columns.items()}
+        firsts = np.flatnonzero((np.diff(h, prepend=0) != 0) | (np.diff(g, prepend=0) != 0)) if len(h) else []
+        if len(h) and (not len(firsts) or firsts[0]):
+            firsts = np.append(0, firsts)
+        lasts = np.append(firsts[1:], len(h)) if len(h) else []
+        self.place = dict(zip(zip(h[firsts].tolist(), g[firsts].tolist()), zip(firsts.tolist(), lasts.tolist()))) if len(h) else {}
+        self.seed = xxhash.xxh64_intdigest(b"\1\0\0\0", 42)
+
+    def __missing__(self, cell: str):
+        raw = cell.encode()
+        h, g = (x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(raw, 42), xxhash.xxh64_intdigest(raw, self.seed)))
+        at = self.place.get((h, g))
+        got = self[cell] = self.told(self.columns, *at) if at else None
+        return got
 
 
 def pair_counts(blocks: DataFrame, parts: int, encode) -> DataFrame:
     """a, b, n_docs, best: how many documents hold the pair linked, and whether no pair of that A has more."""
-    pairs = cell_places(blocks, parts, encode).groupBy(*KEY).agg(F.max("cell").alias("cell"), F.collect_set(F.col("over_a").cast("long") * SECOND + F.col("over_b")).alias("pairs"))
+    pairs = cell_places(blocks, parts, encode).select(F.col("block").alias("at_block"), "h", "g", "at", (F.col("over_a").cast("long") * SECOND + F.col("over_b")).alias("pair"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("cell").to_pylist(), right.column("pairs").to_pylist()))
+        known = Cells(right.drop_columns(["at_block"]), lambda columns, a, b: columns["pair"][a:b].tolist())
         docs: Counter = Counter()
         for doc in left.column("doc"):
-            cells = set(cells_of(doc[1].as_py()))
-            if cells <= known.keys():
-                docs.update(set().union(*map(known.__getitem__, cells)))
+            found = [known[c] for c in set(cells_of(doc[1].as_py()))]
+            if None not in found:
+                docs.update(set().union(*found))
         return pa.table({"pair": pa.array(docs.keys(), pa.int64()), "n": pa.array(docs.values(), pa.int64())})
 
-    held = blocks.groupBy("block").cogroup(pairs.select(F.col("block").alias("at_block"), "cell", "pairs").groupBy("at_block")).applyInArrow(run, "pair long, n long")
+    held = blocks.groupBy("block").cogroup(pairs.groupBy("at_block")).applyInArrow(run, "pair long, n long")
     counts = held.groupBy("pair").agg(F.sum("n").alias("n_docs"))
     a = F.expr(f"pair div {SECOND}").cast("int")
     best = F.col("n_docs") == F.max("n_docs").over(Window.partitionBy("a"))
     return counts.select(a.alias("a"), (F.col("pair") % SECOND).cast("int").alias("b"), "n_docs").withColumn("best", best)
 
 
+def _told(columns: dict, first: int, last: int) -> tuple:
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, the groups' ids) of a cell from its places."""
+    cell = {n: c[first:last].tolist() for n, c in columns.items()}
+    groups: list[tuple[list, list]] = []
+    for a, b, n in zip(cell["a"], cell["b"], cell["n_group"]):
+        if n > len(groups):
+            groups.append(([], []))
+        if a >= 0:
+            groups[-1][0].append(str(a))
+        if b >= 0:
+            groups[-1][1].append(str(b))
+    ids = ";".join(f"{','.join(a)}|{','.join(b)}" for a, b in groups)
+    return sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), last - first, sum(cell["best"]), sum(cell["n_docs"]), ids
+
+
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """`RESULT` for every row of `docs` (doc_id, text)."""
     encode = encoder(docs, a_path, b_path)
     counts = cut(pair_counts(*dealt(docs, BLOCK, 1, pack=True), encode)).select(F.col("a").alias("over_a"), F.col("b").alias("over_b"), "n_docs", "best")
     blocks, parts = dealt(docs, BLOCK, 1, pack=True)
     links = cell_places(blocks, parts, encode).join(small_side(counts, counts.count(), PAIRS), ["over_a", "over_b"], "left")
-    group = links.groupBy(*KEY, "n_group").agg(
-        F.max("cell").alias("cell"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"),
-        F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("at", "a")))).alias("as"), F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("at", "b")))).alias("bs"),
-    )
-    listed = lambda c, i: F.array_join(F.transform(c, lambda x: x[i].cast("string")), ",")
-    told = group.withColumn("told", F.struct("n_group", F.concat(listed(F.col("as"), "a"), F.lit("|"), listed(F.col("bs"), "b")).alias("ids")))
-    sums = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
-    cells = told.groupBy(*KEY).agg(F.max("cell").alias("cell"), *(F.sum(c).alias(c) for c in sums), F.count("*").alias("n_groups"), F.array_join(F.transform(F.array_sort(F.collect_list("told")), lambda x: x["ids"]), ";").alias("ids"))
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    absent = lambda c: F.coalesce(F.col(c), F.lit(-1)).alias(c)
+    rows = links.select(F.col("block").alias("at_block"), "h", "g", "at", absent("a"), absent("b"), "n_group", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("best", F.lit(False)).cast("int").alias("best"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("cell").to_pylist(), zip(*(right.column(c).to_pylist() for c in [*names, "ids"]))))
+        known = Cells(right.drop_columns(["at_block"]), _told)
         out = [[] for _ in range(8)]
         for doc in left.column("doc"):
             i, text = doc.as_py()
-            own = [known.get(c) for c in cells_of(text)]
+            own = [known[c] for c in cells_of(text)]
             row = [0] * 6 + [""]
             if own and None not in own:
                 *numbers, ids = zip(*own)
@@ -187,4 +223,4 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         kinds = [pa.int64()] * 7 + [pa.string()]
         return pa.table([pa.array(x, k) for x, k in zip(out, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return blocks.groupBy("block").cogroup(cells.select(F.col("block").alias("at_block"), "cell", *names, "ids").groupBy("at_block")).applyInArrow(run, RESULT)
+    return blocks.groupBy("block").cogroup(rows.groupBy("at_block")).applyInArrow(run, RESULT)
