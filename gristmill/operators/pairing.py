@@ -43,8 +43,8 @@ def nearest_pairs(hits: DataFrame, near: int = NEAR_LINES, most: int = MOST_PAIR
     seen = dealt.withColumn("_before", before).withColumn("_after", after).where("sink IS NOT NULL AND _strip = _own")
     nearest = F.array_min(F.array_compact(F.array(_within(F.col("line"), F.col("_before"), near), _within(F.col("line"), F.col("_after"), near))))
     found = seen.select("path", F.col("line").alias("sink_line"), "sink", nearest.alias("s")).where("s IS NOT NULL")
-    counts = found.groupBy("path").agg(F.count("*").alias("n"))
-    ranked = found.withColumn("pair_index", F.row_number().over(Window.partitionBy("path").orderBy("sink_line")) - 1).where(F.col("pair_index") < most)
-    return ranked.join(counts, "path").select(
+    of_path = Window.partitionBy("path")
+    ranked = found.withColumns({"pair_index": F.row_number().over(of_path.orderBy("sink_line")) - 1, "n": F.count("*").over(of_path)}).where(F.col("pair_index") < most)
+    return ranked.select(
         "path", "pair_index", F.col("s.pattern_id").alias("source_id"), F.col("s.line").alias("source_line"), F.col("sink.pattern_id").alias("sink_id"), "sink_line", F.col("s.distance").alias("distance"), F.greatest(F.col("n") - most, F.lit(0)).alias("truncated")
     )

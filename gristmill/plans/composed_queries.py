@@ -9,7 +9,7 @@ from gristmill.functions.text import backoff_ms
 from gristmill.operators import findings, matching, routes, scan
 from gristmill.plans import scan_queries as Q
 from gristmill.plans import stand_ins as S
-from gristmill.runtime import cut, table
+from gristmill.runtime import cut, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,7 +48,7 @@ files AS (SELECT doc_id || '/' || path AS path, text || chr(10) || content AS co
 
 
 def wide_files(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     paths, contents = (F.element_at(F.array(*(F.lit(x[i]) for x in S.SNIPPETS)), (F.col("doc_id") % len(S.SNIPPETS) + 1).cast("int")) for i in (0, 1))
     return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), paths).alias("path"), F.concat("text", F.lit("\n"), contents).alias("content"))
 

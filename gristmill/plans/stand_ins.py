@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.runtime import table
+from gristmill.runtime import spread, table
 
 #: Our own code snippets: path, content.
 SNIPPETS = [
@@ -116,7 +116,7 @@ SNIPPETS_SQL = values("files", "path, content", SNIPPETS)
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: path and content."""
-    return table(spark, sf_dir, "documents").select(F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), F.col("text").alias("content"))
 
 
 DOCUMENTS_SQL = "files AS (SELECT concat(source, '/', doc_id, '.', lang) AS path, text AS content FROM documents)"

@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table, dealt to all cores if its files give fewer tasks than there are; a larger one is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` as a broadcast side if its counted `rows` are within `limit`; else left to the planner."""
     return F.broadcast(df) if rows <= limit else df
