@@ -1,7 +1,6 @@
 """Route graphs over edge tables: mount chains, guards, layout ancestors and span tests.
 
-Reading modules into receivers, mounts and routes needs a parser of the scanned language; these
-operators start from its tables (or from the catalogue's route shapes).
+These operators start from tables of receivers, mounts, routes and uses; `modules` reads such from sources.
 """
 
 from __future__ import annotations
@@ -34,15 +33,20 @@ def chains(mounts: DataFrame) -> DataFrame:
 
     Each round adds one parent to the chains that still have one, so it runs as deep as the deepest
     mount. A receiver met again ends its chain. Receivers without mounts are not listed (prefix "").
+    If mounts have guards (an array), chains have those of their mounts, from the top down.
     """
-    up = mounts.select(F.col("child").alias("_child"), F.col("parent").alias("_parent"), F.col("prefix").alias("_prefix"))
-    open_ = cut(mounts.select(F.col("child").alias("receiver"), F.col("parent").alias("top"), F.col("prefix").alias("prefix"), F.array("parent").alias("through"), F.array("child", "parent").alias("seen")).withColumn("looped", F.col("top") == F.col("receiver")))
+    guarded = "guards" in mounts.columns
+    carried = ["guards"] if guarded else []
+    up = mounts.select(F.col("child").alias("_child"), F.col("parent").alias("_parent"), F.col("prefix").alias("_prefix"), *([F.col("guards").alias("_guards")] if guarded else []))
+    open_ = cut(mounts.select(F.col("child").alias("receiver"), F.col("parent").alias("top"), F.col("prefix").alias("prefix"), F.array("parent").alias("through"), F.array("child", "parent").alias("seen"), *carried).withColumn("looped", F.col("top") == F.col("receiver")))
+    ends = ["receiver", "prefix", "through", *carried]
     done = None
     while True:
         joined = open_.where("NOT looped").join(up, F.col("top") == F.col("_child"), "left")
-        ended = joined.where("_parent IS NULL").select("receiver", "prefix", "through").unionByName(open_.where("looped").select("receiver", "prefix", "through"))
+        ended = joined.where("_parent IS NULL").select(*ends).unionByName(open_.where("looped").select(*ends))
         done = ended if done is None else done.unionByName(ended)
-        more = joined.where("_parent IS NOT NULL").select("receiver", F.col("_parent").alias("top"), join_path(F.col("_prefix"), F.col("prefix")).alias("prefix"), F.concat(F.array("_parent"), "through").alias("through"), F.concat("seen", F.array("_parent")).alias("seen"), F.array_contains("seen", F.col("_parent")).alias("looped"))
+        above = [F.concat("_guards", "guards").alias("guards")] if guarded else []
+        more = joined.where("_parent IS NOT NULL").select("receiver", F.col("_parent").alias("top"), join_path(F.col("_prefix"), F.col("prefix")).alias("prefix"), F.concat(F.array("_parent"), "through").alias("through"), F.concat("seen", F.array("_parent")).alias("seen"), *above, F.array_contains("seen", F.col("_parent")).alias("looped"))
         open_ = cut(more)
         if open_.isEmpty():
             return done

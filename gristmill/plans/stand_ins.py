@@ -30,6 +30,20 @@ SNIPPETS = [
     ("src/consts.ts", "export const DEFAULT_ADMIN_ID = 7;\nconst ADMIN_EMAILS = ['a@x.test'];\nif (email === 'root@x.test') grant();\n"),
     ("src/far.ts", "const id = req.params.id;\n" + "// pad\n" * 199 + "Model.findById(id);\n" + "// pad\n" + "Model.destroy({ where: 1 });\n"),
 ]
+#: Our own small repo: path, content. Its exports run in circles, some names lead nowhere.
+MODULES = [
+    ("tsconfig.json", '{\n  // paths\n  "compilerOptions": { "baseUrl": ".", /* from the top */ "paths": { "@/*": ["./src/*"], "@lib": ["src/lib/index"], "@/deep/*": ["src/inner/*"], } }\n}\n'),
+    ("src/app.ts", 'import express from "express";\nimport { users as userRoutes, audit } from "./routes";\nimport * as guards from "@/guards";\nimport admin from "./routes/admin";\nimport { logger } from "@lib";\nconst app = express();\napp.use(logger);\napp.use("/api", guards.requireUser, userRoutes);\n// app.use("/old", userRoutes);\napp.use(\n  "/admin", audit,\n  admin);\napp.get("/health", ping);\nfunction ping(req, res) { res.send("ok"); }\nexport default app;\n'),
+    ("src/routes/index.ts", "export { router as users } from './users';\nexport * from '../shared';\nexport * from './loop';\n"),
+    ("src/routes/users.ts", 'import { Router } from "express";\nimport { requireOwner } from "@/guards";\nexport const router = Router();\nrouter.use("/:id", requireOwner);\nrouter.get("/", list);\nrouter.post("/:id/keys", requireOwner, limit(5), async (req, res) => {\n  const x = { a: [1, 2] };\n  res.json(x);\n});\nrouter.use(late);\nasync function list(req, res) { res.json([]); }\nconst late = list;\n'),
+    ("src/routes/admin.js", "const { Router } = require('express');\nconst { requireAdmin: need } = require('../guards');\nconst own = Router();\nown.get('/stats', need, (req, res) => res.json({}));\nmodule.exports = own;\n"),
+    ("src/guards.ts", 'export function requireUser(req, res, next) { next(); }\nexport const requireOwner = requireUser;\nasync function check(req, res, next) { if (req.user) { next(); } }\nexport { check as requireAdmin };\n'),
+    ("src/shared/index.ts", 'export { audit } from "./audit.js";\nexport * from "../routes/loop";\n'),
+    ("src/shared/audit.ts", "const trail = (req, res, next) => next();\nexport { trail as audit };\nexport default class Audit {}\n"),
+    ("src/routes/loop.ts", 'export * from "./index";\nexport * from "../shared";\n'),
+    ("src/lib/index.js", "export const logger = (req, res, next) => next();\n"),
+    ("src/inner/x.ts", 'import app from "../app";\nimport { users, gone } from "@/routes";\nimport { missing } from "@/guards";\nimport lost from "./lost";\nimport { deep } from "@/deep/x";\nconst log = require("@lib").logger;\nconst all = require("../shared");\nexport const deep = app;\n'),
+]
 #: Unified diffs: scan id, diff.
 DIFFS = [
     ("d1", "diff --git a/src/a.ts b/src/a.ts\n--- a/src/a.ts\n+++ b/src/a.ts\n@@ -1,3 +1,4 @@\n one\n+two\n three\n-four\n+five\n+++six\n+seven\ndiff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -10,2 +20,0 @@\n-gone\n-gone too\n@@ -40 +50,2 @@\n x\n+y\n\\ No newline at end of file\n"),
