@@ -83,3 +83,20 @@ def deadlines(runs: DataFrame, now: Column, minutes: int) -> DataFrame:
 def first_audit(audit: DataFrame) -> DataFrame:
     """One audit row per (org, action, delivery): repeated deliveries of one webhook don't repeat the trail."""
     return first_wins(audit, ["org", "action", "delivery"], ["seq"])
+
+
+def deadline_outcomes(events: DataFrame, now: Column, deadline_s: int, grace_s: int) -> DataFrame:
+    """run_id, outcome, at from events (run_id, ts, state: started or settled), as far as time has come.
+
+    A run is settled, or timed_out at its deadline. Its slot is then released by a later settling, or leaked after the grace. The first start
+    counts, and the first settling from it on; a settling at the very deadline is too late.
+    """
+    began = events.where("state = 'started'").groupBy("run_id").agg(F.min("ts").alias("start"))
+    ended = events.where("state = 'settled'").join(began, "run_id").where("ts >= start").groupBy("run_id").agg(F.min("ts").alias("settled"))
+    after = lambda s: F.col("start") + F.make_dt_interval(secs=F.lit(s))
+    runs = began.join(ended, "run_id", "left").withColumns({"due": after(deadline_s), "last": after(deadline_s + grace_s)})
+    row = lambda outcome, at, when: F.when(when, F.struct(F.lit(outcome).alias("outcome"), at.alias("at")))
+    settled, due, last = F.col("settled"), F.col("due"), F.col("last")
+    in_time = F.coalesce(settled < due, F.lit(False))
+    rows = F.array_compact(F.array(row("settled", settled, in_time), row("timed_out", due, ~in_time), row("released", settled, (settled >= due) & (settled < last)), row("leaked", last, settled.isNull() | (settled >= last))))
+    return runs.select("run_id", F.explode(rows).alias("r")).select("run_id", "r.*").where(F.col("at") <= now)

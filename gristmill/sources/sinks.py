@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from gristmill.functions.text import clip_utf8, ellipsis, fence, snippet, table_cell
 from gristmill.operators.findings import level_of, newest_per
-from gristmill.runtime import ship
+from gristmill.runtime import cut, ship
 
 ship("gristmill.functions.text")
 
@@ -64,3 +64,46 @@ def comments(findings: DataFrame) -> DataFrame:
 def append_by_month(rows: DataFrame, path: str, ts: str) -> None:
     """Appends rows to a table partitioned by month, so reads of a period list only its folders. A large month is split over tasks."""
     rows.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
+
+
+#: The column that holds a row's part of a merged table.
+PART = "_part"
+
+
+def merge(rows: DataFrame, path: str, key: list[str], version: list[str], first: bool = False, parts: int = 64) -> int:
+    """Merges rows into the table at `path` and says how many of its parts were written: of equal keys the one with the highest `version` stays.
+
+    With `first` rows whose key the table has are ignored, and of equal keys among `rows` the lowest version stays. Of equal versions the
+    table's own row stays, so a batch that is merged again changes nothing. The table is partitioned by a hash of the key; only parts that the rows touch are read, and overwritten after their new
+    content is written to the checkpoint folder, so a job that is lost half-way leaves the old parts. `parts` must not change.
+    """
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+    names = rows.columns
+    new = rows.select("*", part.alias(PART), F.lit(int(first)).alias("_held"))
+    touched = sorted(r[0] for r in new.select(PART).distinct().collect())  # `parts` at most
+    if not touched:
+        return 0
+    if _exists(spark, path):
+        new = spark.read.parquet(path).where(F.col(PART).isin(touched)).select(*names, PART, F.lit(int(not first)).alias("_held")).unionByName(new)
+    pick, order = (F.min, ["_held", *version]) if first else (F.max, [*version, "_held"])
+    best = new.groupBy(PART, *key).agg(pick(F.struct(*order, F.struct(*names).alias("row"))).alias("b"))
+    merged = cut(best.select("b.row.*", PART))
+    merged.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    return len(touched)
+
+
+def merged_rows(spark, path: str) -> DataFrame:
+    """The rows of a table that `merge` writes."""
+    return spark.read.parquet(path).drop(PART)
+
+
+def _exists(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def merge_stream(rows: DataFrame, path: str, key: list[str], version: list[str], checkpoint: str, first: bool = False):
+    """Merges every micro-batch of a stream; a batch that runs twice after a restart changes nothing the second time."""
+    write = lambda batch, _: merge(batch, path, key, version, first) and None
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
