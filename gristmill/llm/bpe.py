@@ -22,6 +22,7 @@ import json
 import re
 import struct
 import unicodedata
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -96,18 +97,20 @@ class WordBpe:
         symbols[-1] += self.end
         return self.scan(symbols) if len(symbols) <= SHORT else self.queue(symbols)
 
-    def scan(self, parts: list[str]) -> list[str]:
-        rank, none = self.ranks.get, len(self.ranks)
-        adjacent = [rank(pair, none) for pair in zip(parts, parts[1:])]
+    def scan(self, symbols: list[str]) -> list[str]:
+        """Merges by boundaries: part i lies between `at[i]` and `at[i + 1]`, and `adjacent[i]` ranks it with the next one."""
+        rank, none, text = self.ranks.get, len(self.ranks), "".join(symbols)
+        at = [0, *accumulate(map(len, symbols))]
+        adjacent = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
         while adjacent and (least := min(adjacent)) < none:
             i = adjacent.index(least)
-            merged = parts[i] = parts[i] + parts.pop(i + 1)
-            del adjacent[i]
+            del at[i + 1], adjacent[i]
+            merged = text[at[i] : at[i + 1]]
             if i < len(adjacent):
-                adjacent[i] = rank((merged, parts[i + 1]), none)
+                adjacent[i] = rank((merged, text[at[i + 1] : at[i + 2]]), none)
             if i:
-                adjacent[i - 1] = rank((parts[i - 1], merged), none)
-        return parts
+                adjacent[i - 1] = rank((text[at[i - 1] : at[i]], merged), none)
+        return [text[a:b] for a, b in zip(at, at[1:])]
 
     def queue(self, symbols: list[str]) -> list[str]:
         """The same merges for a long word: pairs wait in a heap by (rank, place); stale ones are skipped."""
