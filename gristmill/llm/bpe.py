@@ -37,8 +37,8 @@ ship("gristmill.llm.scan")
 
 #: Parts up to which the array is scanned.
 SHORT = 128
-#: Words, and pieces, kept encoded by a Python worker, the bytes that either may take by a rough count, and the longest one kept; at a limit it starts afresh.
-CACHE, CACHE_BYTES, KEPT_LENGTH = 200_000, 80_000_000, 1_000
+#: Words kept encoded by a Python worker, the bytes that they may take by a rough count, and the longest one kept; pieces get a third of both. At a limit either starts afresh.
+CACHE, CACHE_BYTES, KEPT_LENGTH = 600_000, 200_000_000, 1_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 # Where Python's and regex's character tables are older or newer than the tokenizers library's.
@@ -136,7 +136,7 @@ class WordBpe:
         """Puts a word (place 0) or a piece (1) into its cache, which starts afresh when it would outgrow its limits."""
         if len(key) <= KEPT_LENGTH:
             size = 200 + 3 * len(key) + 16 * ids  # the key, the ids and their text
-            if self.held[place] + size > CACHE_BYTES or len(cache) >= CACHE:
+            if self.held[place] + size > CACHE_BYTES // (1, 3)[place] or len(cache) >= max(CACHE // (1, 3)[place], 1):
                 cache.clear()
                 self.held[place] = 0
             cache[key] = value
