@@ -12,7 +12,7 @@ on the original vectors, and a group of leaves passes on its nearest only, not i
 
 Trees are fitted on executors, one task a tree; the driver holds hyperplanes in single precision
 (trees x `SAMPLE` / `LEAF` of them), which is broadcast. The index has one of two layouts, by the
-counted vectors, with the same candidates for the same trees. Up to `HOME_BLOCKS` blocks of `HOME`
+counted vectors, with the same number of trees and the same candidates. Up to `HOME_BLOCKS` blocks of `HOME`
 vectors, each vector lies in one block with its leaf in each tree, and a query with its leaves goes
 to every block once: a candidate of several trees is ranked once, and more trees cost no copies.
 Beyond that, each tree's leaves are dealt in runs of neighbouring ones of about `BLOCK` vectors, a
@@ -43,10 +43,12 @@ ship(__name__)
 
 SAMPLE, LEAF, SEED = 32_768, 16, 11
 GOAL, PROBES = 0.935, 150
-#: Trees, and vectors of a block, where each vector lies in one block only; and the most such blocks.
-HOME_TREES, HOME, HOME_BLOCKS = 24, 4_096, 64
-#: Trees, and vectors, and queries, that a task holds of one run of leaves.
-TREES, BLOCK = 12, 8_192
+#: Trees, at every size.
+TREES = 24
+#: Vectors of a block, where each vector lies in one block only; and the most such blocks.
+HOME, HOME_BLOCKS = 4_096, 64
+#: Vectors, and queries, that a task holds of one run of leaves.
+BLOCK = 8_192
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -222,7 +224,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     taken = _matrix(hashed_sample(unique.select("v"), n_unique, SAMPLE).toPandas()["v"])
     blocks = -(-n_unique // HOME)
     at_home = blocks <= HOME_BLOCKS
-    forest = fit(taken, HOME_TREES if at_home else TREES, spark)
+    forest = fit(taken, TREES, spark)
     probes = taken[:: max(1, len(taken) // PROBES)][:PROBES]  # the sample comes in hash order, so these are any
     forest.visits = forest.calibrate(probes, true_neighbours(unique, probes, k))
     forest_leaves = forest.leaves
