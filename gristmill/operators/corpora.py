@@ -13,10 +13,19 @@ SHA = "^[0-9a-f]{40}$"
 TOOLS = ("Read", "Glob", "Grep", "Agent", "Bash")
 COMMANDS = ("git diff", "git status", "git log", "git show", "git remote show")
 CHARS_PER_TOKEN = 3.5
+COMMAND_SEPARATORS = r"\s*(?:&&|\|\||;|\|)\s*"
+OUTSIDE_OPTION = r"(^|\s)--no-index(\s|$)"
+OPTION_NAME = r"^--?[\w-]+="
+OUTER_QUOTES = "^[\"']+|[\"']+$"
+ABSOLUTE_PATH = r"^(?:~|/|\\|[A-Za-z]:)"
+SIZE_REFUSAL = r"(?i)prompt is too long|input is too long for requested model"
+SIZE_REFUSAL_ERRORS = ("long_context_credits_required",)
+REFUSAL_CHARS = 120
 # End of fixed values.
 STREAM = (
-    "type string, subtype string, tools array<string>, is_error boolean, result string, num_turns int, total_cost_usd double, parent_tool_use_id string, modelUsage map<string,string>, "
-    "message struct<content:array<struct<type:string,name:string,text:string,input:struct<command:string,file_path:string,path:string,notebook_path:string,pattern:string,glob:string>>>>"
+    "type string, subtype string, tools array<string>, is_error boolean, result string, num_turns int, total_cost_usd double, parent_tool_use_id string, modelUsage map<string,string>, is_api_error_message boolean, api_error string, "
+    "usage struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>, "
+    "message struct<is_api_error_message:boolean,api_error:string,content:array<struct<type:string,name:string,text:string,input:struct<command:string,file_path:string,path:string,notebook_path:string,pattern:string,glob:string>>>>"
 )
 
 
@@ -68,31 +77,78 @@ def tool_calls(lines: DataFrame) -> DataFrame:
 
 def leaves_root(path: Column) -> Column:
     """Whether a path may reach outside the run's folder: from a root or home, or up more levels than it goes down before its first wildcard."""
-    s = F.regexp_replace(F.trim(path), "^[\"']+|[\"']+$", "")
+    s = F.regexp_replace(F.trim(path), OUTER_QUOTES, "")
     parts = F.filter(F.split(F.regexp_extract(s, r"^([^*?\[{]*)", 1), r"[/\\]"), lambda x: ~x.isin("", "."))
     depth = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda acc, x: F.struct((acc["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(acc["least"], acc["at"] + F.when(x == "..", -1).otherwise(1)).alias("least")))
-    return s.rlike(r"^(?:~|/|\\|[A-Za-z]:)") | (depth["least"] < 0)
+    return s.rlike(ABSOLUTE_PATH) | (depth["least"] < 0)
+
+
+def steps(command: Column) -> Column:
+    """The single commands of a shell line, without empty ones."""
+    return F.filter(F.split(F.trim(F.coalesce(command, F.lit(""))), COMMAND_SEPARATORS), lambda x: F.trim(x) != "")
+
+
+def unknown_tool(tool: Column, paths: Column, command: Column) -> Column:
+    """A tool that runs may not use."""
+    return ~F.coalesce(tool.isin(*TOOLS), F.lit(False))
+
+
+def stray_path(tool: Column, paths: Column, command: Column) -> Column:
+    """A path outside the run's folder."""
+    return F.exists(paths, leaves_root)
+
+
+def unlisted_command(tool: Column, paths: Column, command: Column) -> Column:
+    """A shell line with a command that isn't one of the reading ones, or with none."""
+    listed = "^(?:" + "|".join(COMMANDS) + ")(?: |$)"
+    return (tool == "Bash") & ((F.size(steps(command)) == 0) | F.exists(steps(command), lambda x: ~F.trim(x).rlike(listed)))
+
+
+def stray_argument(tool: Column, paths: Column, command: Column) -> Column:
+    """An argument of a shell command that leads outside the run's folder, or the option that lets it."""
+    words = F.flatten(F.transform(steps(command), lambda x: F.slice(F.split(F.trim(x), r"\s+"), 3, 1 << 30)))
+    bare = F.transform(words, lambda w: F.regexp_replace(w, OPTION_NAME, ""))
+    return (tool == "Bash") & (F.exists(bare, leaves_root) | F.exists(steps(command), lambda x: x.rlike(OUTSIDE_OPTION)))
+
+
+#: What voids a run, by name.
+VOIDING = {"tool": unknown_tool, "path": stray_path, "command": unlisted_command, "argument": stray_argument}
 
 
 def voiding(calls: DataFrame) -> DataFrame:
-    """The `calls` of `tool_calls` that void a run: another tool, a path outside the folder, or a command that isn't one of the reading git commands."""
-    parts = F.filter(F.transform(F.split(F.trim(F.coalesce("command", F.lit(""))), r"\s*(?:&&|\|\||;|\|)\s*"), F.trim), lambda x: x != "")
-    fits = lambda p: F.array_contains(F.transform(F.array(*map(F.lit, COMMANDS)), lambda a: (p == a) | p.startswith(F.concat(a, F.lit(" ")))), True)
-    arguments = lambda p: F.transform(F.slice(F.split(p, r"\s+"), 3, 100_000), lambda a: F.regexp_replace(a, r"^--?[\w-]+=", ""))
-    outside = F.exists(parts, lambda p: p.rlike(r"(^|\s)--no-index(\s|$)") | F.exists(arguments(p), leaves_root))
-    command = (F.col("name") == "Bash") & ((F.size(parts) == 0) | ~F.forall(parts, fits) | outside)
-    return calls.where(~F.col("name").isin(*TOOLS) | F.exists("paths", leaves_root) | command)
+    """The `calls` of `tool_calls` that void a run, and `why`: the names in `VOIDING` that hold for the call."""
+    holds = [F.when(F.coalesce(rule(F.col("name"), F.col("paths"), F.col("command")), F.lit(False)), F.lit(name)) for name, rule in VOIDING.items()]
+    return calls.withColumn("why", F.array_compact(F.array(*holds))).where(F.size("why") > 0)
+
+
+def size_refusal(e: Column) -> Column:
+    """What an event marked as the interface's error says, if that refuses a request for its size; a model's own words never count."""
+    marked = F.coalesce(e["is_api_error_message"], F.lit(False)) | F.coalesce(e["message"]["is_api_error_message"], F.lit(False))
+    error = F.coalesce(e["api_error"], e["message"]["api_error"], F.lit(""))
+    said = F.array_join(F.transform(F.filter(e["message"]["content"], lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), " ")
+    refuses = error.isin(*SIZE_REFUSAL_ERRORS) | F.coalesce(said.rlike(SIZE_REFUSAL), F.lit(False))
+    return F.when((e["type"] == "assistant") & marked & refuses, F.coalesce(F.nullif(error, F.lit("")), F.left(said, F.lit(REFUSAL_CHARS))))
 
 
 def run_results(lines: DataFrame) -> DataFrame:
-    """Per run of stream `lines` whether it ended well (ok, reason), its turns, cost, models and compactions. The last result counts."""
-    ev = events_of(lines)
-    is_result = F.col("e.type") == "result"
-    g = ev.groupBy("run").agg(F.max_by(F.when(is_result, F.col("e")), F.when(is_result, F.col("pos"))).alias("r"), F.count_if((F.col("e.type") == "system") & (F.col("e.subtype") == "compact_boundary")).alias("compactions"))
+    """Per run of stream `lines` whether it ended well (ok, reason), its turns, cost, models, tokens, offered tools, compactions, and the refusal for size of a failed run. The last result counts."""
+    ev = events_of(lines).withColumn("refused", size_refusal(F.col("e")))
+    system = lambda kind: (F.col("e.type") == "system") & (F.col("e.subtype") == kind)
+    newest = lambda value, where: F.max_by(F.when(where, value), F.when(where, F.col("pos")))
+    g = ev.groupBy("run").agg(
+        newest(F.col("e"), F.col("e.type") == "result").alias("r"), F.count_if(system("compact_boundary")).alias("compactions"),
+        newest(F.col("e.tools"), system("init") & F.col("e.tools").isNotNull()).alias("tools"), newest(F.col("refused"), F.col("refused").isNotNull()).alias("refused"),
+    )
     bad = F.coalesce(F.col("r.is_error"), F.lit(False)) | (F.coalesce(F.col("r.subtype"), F.lit("success")) != "success")
     models = F.coalesce(F.array_sort(F.map_keys("r.modelUsage")), F.array().cast("array<string>"))
     reason = F.when(F.col("r").isNull(), "no result event in the stream").when(bad, F.concat(F.lit("result subtype "), F.coalesce("r.subtype", F.lit("undefined")))).when(F.size(models) == 0, "the result reports no modelUsage")
-    return g.select("run", reason.isNull().alias("ok"), reason.alias("reason"), F.col("r.num_turns").alias("turns"), F.col("r.total_cost_usd").alias("cost_usd"), F.array_join(models, ",").alias("models"), "compactions")
+    ending = F.when(F.col("r.result").rlike(SIZE_REFUSAL), F.left("r.result", F.lit(REFUSAL_CHARS)))
+    tokens = {"input": "input_tokens", "output": "output_tokens", "cache_write": "cache_creation_input_tokens", "cache_read": "cache_read_input_tokens"}
+    return g.select(
+        "run", reason.isNull().alias("ok"), reason.alias("reason"), F.col("r.num_turns").alias("turns"), F.col("r.total_cost_usd").alias("cost_usd"), F.array_join(models, ",").alias("models"), "compactions",
+        F.when(F.col("r").isNotNull() & bad, F.coalesce("refused", ending)).alias("size_refusal"), F.array_join("tools", ",").alias("tools"),
+        *(F.when(reason.isNull(), F.coalesce(f"r.usage.{c}", F.lit(0))).alias(f"{n}_tokens") for n, c in tokens.items()),
+    )
 
 
 def volume(requests: DataFrame, by: list[str]) -> DataFrame:

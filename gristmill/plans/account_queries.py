@@ -142,35 +142,51 @@ def request_volume(spark, sf_dir):
 
 #: Recorded streams from events: ten lines to a run, with tool calls of several kinds and a result at the end of most.
 COMMANDS = ["git log -1", "git show HEAD:a.ts | git diff", "rm -rf x", "git diff --no-index a b", "git show ../../x", "git status", ""]
+REFUSED = "long_context_credits_required"
 STREAM_SQL = f"""st AS (SELECT event_id // 10 AS run, event_id % 10 AS pos, event_id AS i, CASE WHEN event_id % 10 = 9 AND event_id % 7 <> 0 THEN
-    '{{"type":"result","subtype":"' || CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'success' END || '","num_turns":' || (event_id % 5) || ',"total_cost_usd":0.5' || CASE WHEN event_id % 4 <> 0 THEN ',"modelUsage":{{"m' || (event_id % 2) || '":{{}}}}' ELSE '' END || '}}'
-  WHEN event_id % 10 = 4 THEN '{{"type":"system","subtype":"compact_boundary"}}' WHEN event_id % 10 = 5 THEN 'not json' ELSE
+    '{{"type":"result","subtype":"' || CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'success' END || '","num_turns":' || (event_id % 5) || ',"total_cost_usd":0.5' || CASE WHEN event_id % 4 <> 0 THEN ',"modelUsage":{{"m' || (event_id % 2) || '":{{}}}}' ELSE '' END
+      || ',"result":"' || CASE WHEN event_id // 10 % 5 = 0 THEN 'Input is too long for requested model' ELSE 'done' END || '","usage":{{"input_tokens":' || event_id || ',"output_tokens":7,"cache_read_input_tokens":3}}}}'
+  WHEN event_id % 10 = 4 THEN '{{"type":"system","subtype":"compact_boundary"}}' WHEN event_id % 10 = 5 THEN 'not json'
+  WHEN event_id % 10 = 2 AND event_id // 10 % 3 <> 0 THEN '{{"type":"system","subtype":"init","tools":["Read","T' || (event_id % 4) || '"]}}'
+  WHEN event_id % 10 = 6 AND event_id // 10 % 4 = 1 THEN '{{"type":"assistant","is_api_error_message":true,"api_error":"' || CASE WHEN event_id // 10 % 8 = 1 THEN '{REFUSED}' ELSE '' END || '","message":{{"content":[{{"type":"text","text":"Prompt is too long: ' || event_id || '"}}]}}}}'
+  WHEN event_id % 10 = 6 AND event_id // 10 % 4 = 2 THEN '{{"type":"assistant","message":{{"content":[{{"type":"text","text":"the prompt is too long"}}]}}}}' ELSE
     '{{"type":"assistant","message":{{"content":[{{"type":"text","text":"x"}},{{"type":"tool_use","name":"' || ['Read', 'Bash', 'Write', 'Grep'][event_id % 4 + 1] || '","input":{{"' || CASE WHEN event_id % 4 = 1 THEN 'command":"' || [{', '.join(map(Q, COMMANDS))}][event_id % 7 + 1] ELSE 'file_path":"' || ['src/a.ts', '../x', 'a/../b', '~/k', '/etc/p'][event_id % 5 + 1] END || '"}}}}]}}}}' END AS line FROM events)"""
 
 
 def streams(spark, sf_dir):
-    i = F.col("event_id")
+    i, run = F.col("event_id"), F.floor(F.col("event_id") / 10)
     pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n + 1).cast("int"))
     models = F.when(i % 4 != 0, F.concat(F.lit(',"modelUsage":{"m'), (i % 2).cast("string"), F.lit('":{}}'))).otherwise("")
-    result = F.concat(F.lit('{"type":"result","subtype":"'), F.when(i % 3 == 0, "error").otherwise("success"), F.lit('","num_turns":'), (i % 5).cast("string"), F.lit(',"total_cost_usd":0.5'), models, F.lit("}"))
+    result = F.concat(F.lit('{"type":"result","subtype":"'), F.when(i % 3 == 0, "error").otherwise("success"), F.lit('","num_turns":'), (i % 5).cast("string"), F.lit(',"total_cost_usd":0.5'), models, F.lit(',"result":"'), F.when(run % 5 == 0, "Input is too long for requested model").otherwise("done"), F.lit('","usage":{"input_tokens":'), i.cast("string"), F.lit(',"output_tokens":7,"cache_read_input_tokens":3}}'))
     given = F.when(i % 4 == 1, F.concat(F.lit('command":"'), pick(COMMANDS, i % 7))).otherwise(F.concat(F.lit('file_path":"'), pick(["src/a.ts", "../x", "a/../b", "~/k", "/etc/p"], i % 5)))
     call = F.concat(F.lit('{"type":"assistant","message":{"content":[{"type":"text","text":"x"},{"type":"tool_use","name":"'), pick(["Read", "Bash", "Write", "Grep"], i % 4), F.lit('","input":{"'), given, F.lit('"}}]}}'))
-    line = F.when((i % 10 == 9) & (i % 7 != 0), result).when(i % 10 == 4, '{"type":"system","subtype":"compact_boundary"}').when(i % 10 == 5, "not json").otherwise(call)
-    return table(spark, sf_dir, "events").select(F.floor(i / 10).alias("run"), (i % 10).alias("pos"), line.alias("line"))
+    init = F.concat(F.lit('{"type":"system","subtype":"init","tools":["Read","T'), (i % 4).cast("string"), F.lit('"]}'))
+    refused = F.concat(F.lit('{"type":"assistant","is_api_error_message":true,"api_error":"'), F.when(run % 8 == 1, REFUSED).otherwise(""), F.lit('","message":{"content":[{"type":"text","text":"Prompt is too long: '), i.cast("string"), F.lit('"}]}}'))
+    prose = F.lit('{"type":"assistant","message":{"content":[{"type":"text","text":"the prompt is too long"}]}}')
+    line = F.when((i % 10 == 9) & (i % 7 != 0), result).when(i % 10 == 4, '{"type":"system","subtype":"compact_boundary"}').when(i % 10 == 5, "not json").when((i % 10 == 2) & (run % 3 != 0), init).when((i % 10 == 6) & (run % 4 == 1), refused).when((i % 10 == 6) & (run % 4 == 2), prose).otherwise(call)
+    return table(spark, sf_dir, "events").select(run.alias("run"), (i % 10).alias("pos"), line.alias("line"))
 
 
 CALLS_SQL = STREAM_SQL + """, calls AS (SELECT run, pos, i, ['Read', 'Bash', 'Write', 'Grep'][i % 4 + 1] AS name, i % 7 AS c, i % 5 AS p FROM st WHERE line LIKE '%tool_use%')"""
 
 
-@query(f"""WITH {CALLS_SQL} SELECT run, count(*) AS calls, count(*) FILTER (name = 'Write' OR (name = 'Bash' AND c IN (2, 3, 4, 6)) OR (name <> 'Bash' AND p IN (1, 3, 4))) AS voiding FROM calls GROUP BY run""")
+WHY_SQL = "[x FOR x IN [CASE WHEN name = 'Write' THEN 'tool' END, CASE WHEN name <> 'Bash' AND p IN (1, 3, 4) THEN 'path' END, CASE WHEN name = 'Bash' AND c IN (2, 6) THEN 'command' END, CASE WHEN name = 'Bash' AND c IN (3, 4) THEN 'argument' END] IF x IS NOT NULL]"
+
+
+@query(f"""WITH {CALLS_SQL}, w AS (SELECT run, {WHY_SQL} AS why FROM calls) SELECT run, count(*) AS calls, count(*) FILTER (len(why) > 0) AS voiding, {', '.join(f"count(*) FILTER (list_contains(why, '{k}')) AS {k}_cases" for k in corpora.VOIDING)} FROM w GROUP BY run""")
 def tool_call_audit(spark, sf_dir):
+    """Calls of every run, those that void it, and how often each case holds."""
     calls = corpora.tool_calls(streams(spark, sf_dir))
-    bad = corpora.voiding(calls).groupBy("run").agg(F.count("*").alias("voiding"))
-    return calls.groupBy("run").agg(F.count("*").alias("calls")).join(bad, "run", "left").select("run", "calls", F.coalesce("voiding", F.lit(0)).alias("voiding"))
+    cases = [f"{k}_cases" for k in corpora.VOIDING]
+    bad = corpora.voiding(calls).groupBy("run").agg(F.count("*").alias("voiding"), *(F.count_if(F.array_contains("why", k)).alias(c) for k, c in zip(corpora.VOIDING, cases)))
+    return calls.groupBy("run").agg(F.count("*").alias("calls")).join(bad, "run", "left").select("run", "calls", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("voiding", *cases)))
 
 
-@query(f"""WITH {STREAM_SQL}, g AS (SELECT run, max(CASE WHEN line LIKE '%"result"%' THEN i END) AS i, count(*) FILTER (line LIKE '%compact_boundary%') AS compactions FROM st WHERE line <> 'not json' GROUP BY run)
-SELECT run, i IS NOT NULL AND i % 3 <> 0 AND i % 4 <> 0 AS ok, CASE WHEN i IS NULL THEN 'no result event in the stream' WHEN i % 3 = 0 THEN 'result subtype error' WHEN i % 4 = 0 THEN 'the result reports no modelUsage' END AS reason, CAST(i % 5 AS INTEGER) AS turns,
-CASE WHEN i IS NOT NULL THEN 0.5 END AS cost_usd, CASE WHEN i % 4 <> 0 THEN 'm' || (i % 2) ELSE '' END AS models, compactions FROM g""")
+@query(f"""WITH {STREAM_SQL}, g AS (SELECT run, max(CASE WHEN line LIKE '%"type":"result"%' THEN i END) AS i, count(*) FILTER (line LIKE '%compact_boundary%') AS compactions, max(CASE WHEN line LIKE '%is_api_error_message%' THEN i END) AS e, max(CASE WHEN line LIKE '%"init"%' THEN i END) AS t FROM st WHERE line <> 'not json' GROUP BY run),
+o AS (SELECT *, i IS NOT NULL AND i % 3 <> 0 AND i % 4 <> 0 AS ok FROM g)
+SELECT run, ok, CASE WHEN i IS NULL THEN 'no result event in the stream' WHEN i % 3 = 0 THEN 'result subtype error' WHEN i % 4 = 0 THEN 'the result reports no modelUsage' END AS reason, CAST(i % 5 AS INTEGER) AS turns,
+CASE WHEN i IS NOT NULL THEN 0.5 END AS cost_usd, CASE WHEN i % 4 <> 0 THEN 'm' || (i % 2) ELSE '' END AS models, compactions,
+CASE WHEN i % 3 = 0 THEN CASE WHEN e IS NOT NULL AND run % 8 = 1 THEN '{REFUSED}' WHEN e IS NOT NULL THEN 'Prompt is too long: ' || e WHEN run % 5 = 0 THEN 'Input is too long for requested model' END END AS size_refusal,
+'Read,T' || (t % 4) AS tools, CASE WHEN ok THEN i END AS input_tokens, CASE WHEN ok THEN 7 END::BIGINT AS output_tokens, CASE WHEN ok THEN 0 END::BIGINT AS cache_write_tokens, CASE WHEN ok THEN 3 END::BIGINT AS cache_read_tokens FROM o""")
 def recorded_runs(spark, sf_dir):
     return corpora.run_results(streams(spark, sf_dir))
