@@ -73,6 +73,31 @@ def paired_label(pairs: DataFrame, clean_flags: Column) -> DataFrame:
     return g.withColumn("label", F.when(F.col("hits") >= PAIR_HIT, "PASS").when(F.col("hits") <= PAIR_FAIL, "FAIL").otherwise("INCONCLUSIVE")).withColumn("noisy", clean_flags > NOISE)
 
 
+def planned_scores(targets: DataFrame, verdicts: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """Per series (`by`) the scores of `targets` (by, set, case, side, path) that were to be judged `n` times each, from `verdicts` (the same, run, emitted).
+
+    A target counts by the runs that were planned, not by those that came: a parent with its fix is a hit only
+    if both have all of theirs. A series in which a target lacks runs, or has too many, is INCOMPLETE.
+    """
+    enough = -(-4 * n // 5)
+    place = [*by, "set", "case", "path"]
+    got = verdicts.groupBy(*place, "side").agg(F.count("*").alias("_runs"), F.count_if("emitted").alias("_emits"))
+    per = targets.select(*place, "side").join(got, [*place, "side"], "left").fillna(0, ["_runs", "_emits"])
+    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    flagged = lambda c: F.count_if(c & (F.col("_emits") >= enough))
+    files = per.groupBy(*place).agg(
+        side("parent", "_runs").alias("_parent"), side("parent", "_emits").alias("_hits"), side("fix", "_runs").alias("_fix"), side("fix", "_emits").alias("_again"),
+        F.bool_and(F.col("_runs") == n).alias("_whole"), flagged(F.col("set") == "clean").alias("_clean"), flagged(F.col("side") == "fix").alias("_fixed"),
+    )
+    hit = F.coalesce((F.col("_parent") == n) & (F.col("_fix") == n) & (F.col("_hits") >= enough) & (F.col("_again") <= n - enough), F.lit(False))
+    held = (F.col("set") == "held-out") & F.col("_parent").isNotNull()
+    cases = files.groupBy(*by, "set", "case").agg(F.bool_or(held).alias("_held"), F.bool_or(held & hit).alias("_hit"), F.bool_and("_whole").alias("_whole"), F.sum("_clean").alias("_clean"), F.sum("_fixed").alias("_fixed"))
+    g = cases.groupBy(*by).agg(F.bool_and("_whole").alias("complete"), F.count_if("_held").alias("cases"), F.count_if("_hit").alias("hits"), F.sum("_clean").alias("clean_flags"), F.sum("_fixed").alias("fix_flags"))
+    recall = F.when(~F.col("complete"), "INCOMPLETE").when(F.col("hits") >= PAIR_HIT, "PASS").when(F.col("hits") <= PAIR_FAIL, "FAIL").otherwise("INCONCLUSIVE")
+    noise = F.when(~F.col("complete"), "INCOMPLETE").when(F.col("clean_flags") > NOISE, "TOO NOISY").otherwise("ok")
+    return g.withColumns({"recall": recall, "noise": noise})
+
+
 def case_scores(cases: DataFrame, runs: DataFrame) -> DataFrame:
     """`cases` (set, case, accepted, has_fix) with their runs (set, case, state, hit, voided, unreviewable) scored.
 
@@ -153,6 +178,39 @@ def reach(repos: DataFrame, pairs: DataFrame) -> DataFrame:
     return g.withColumn("low", F.round(wilson(F.col("hit_repos"), F.col("repos"), False), 6)).withColumn("high", F.round(wilson(F.col("hit_repos"), F.col("repos"), True), 6))
 
 
+def neighbours(hits: DataFrame, near: int) -> DataFrame:
+    """path and whether one of its sources lies within `near` lines of a sink. The closest two are next to each other among the lines that have either."""
+    role = lambda r: F.bool_or(F.col("role") == r)
+    lines = hits.groupBy("path", "line").agg(role("source").alias("source"), role("sink").alias("sink"))
+    after = lambda c: F.lead(c).over(Window.partitionBy("path").orderBy("line"))
+    beside = (after("line") - F.col("line") <= near) & ((F.col("source") & after("sink")) | (F.col("sink") & after("source")))
+    met = lines.select("path", (F.col("source") & F.col("sink")).alias("both"), F.coalesce(beside, F.lit(False)).alias("beside"))
+    return met.groupBy("path").agg(F.bool_or(F.col("both") | F.col("beside")).alias("predicted"))
+
+
+def reach_outcomes(files: DataFrame, hits: DataFrame, pairs: DataFrame, near: int) -> DataFrame:
+    """Every file of `files` (repo, path, error) with its outcome: failed, both, predicted only, real only or none; and the source of its first pair.
+
+    Real are the engine's `pairs`; predicted is a second reading of `hits` that shares no step with them
+    (`neighbours`). A file that could not be read is named as failed: it is no file without findings.
+    """
+    real = pairs.groupBy("path").agg(F.min_by("source_id", "pair_index").alias("source_id"))
+    seen = real.join(neighbours(hits, near), "path", "full")
+    predicted, found = F.coalesce("predicted", F.lit(False)), F.col("source_id").isNotNull()
+    outcome = F.when(F.col("error").isNotNull(), "failed").when(predicted & found, "both").when(predicted, "predicted only").when(found, "real only").otherwise("none")
+    return files.join(seen, "path", "left").select("repo", "path", "error", outcome.alias("outcome"), "source_id")
+
+
+def reach_totals(outcomes: DataFrame) -> DataFrame:
+    """One row of `reach_outcomes`: repositories and files, those reached, read failures, disagreements, the Wilson interval of the repository share, and whether the number may be trusted."""
+    hit, odd = F.col("outcome").isin("both", "real only"), F.col("outcome").isin("predicted only", "real only")
+    repos = outcomes.groupBy("repo").agg(F.count("*").alias("files"), F.count_if(hit).alias("hit"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(odd).alias("odd"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    g = repos.agg(F.count("*").alias("repos"), zero("files").alias("files"), F.count_if(F.col("hit") > 0).alias("hit_repos"), zero("hit").alias("hit_files"), zero("failed").alias("failed"), zero("odd").alias("disagreements"))
+    bound = lambda upper: F.round(wilson(F.col("hit_repos"), F.col("repos"), upper), 6)
+    return g.withColumns({"low": bound(False), "high": bound(True), "agreed": F.col("disagreements") == 0})
+
+
 def draw(rows: DataFrame, seed: str, key: Column, by: list[str], n: int) -> DataFrame:
     """The first `n` of each group in the order of SHA-256(seed and key): the same draw everywhere."""
     keyed = rows.withColumn("draw_key", F.sha2(F.concat(F.lit(seed), key), 256))
@@ -160,10 +218,29 @@ def draw(rows: DataFrame, seed: str, key: Column, by: list[str], n: int) -> Data
 
 
 def stratified(rows: DataFrame, key: str, strata: list[str], n: int) -> DataFrame:
-    """At most `n` of each stratum in the order of `key`, interleaved: first ones of all strata, then second ones; a key counts in its first stratum."""
+    """At most `n` of each stratum in the order of `key`, interleaved: first ones of all strata, then second ones; a key counts in its first stratum.
+
+    `position` keeps that order in the rows: a rank's rows are numbered apart (one a stratum) and shifted by the counts of earlier ranks (`n` rows).
+    """
     once = first_wins(rows, [key], strata)
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy(*strata).orderBy(key))).where(F.col("rank") <= n)
-    return ranked.orderBy("rank", *strata)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = ranked.groupBy("rank").agg(F.count("*").alias("_n")).select("rank", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("rank").orderBy(*strata))
+    return ranked.withColumn("_in", inside).join(F.broadcast(earlier), "rank").withColumn("position", F.col("_before") + F.col("_in")).drop("_before", "_in").orderBy("position")
+
+
+def selection_tally(rows: DataFrame, key: str, strata: list[str], n: int, reason: Column) -> DataFrame:
+    """Per stratum how many `rows` were kept by `stratified`, and how many were not and why: their `reason` (null for none), repeated keys, or more than `n`."""
+    named = rows.withColumn("outcome", reason)
+    refused = named.where("outcome IS NOT NULL").groupBy(*strata, "outcome").agg(F.count("*").alias("n"))
+    fit = named.where("outcome IS NULL").drop("outcome")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in strata]
+    once = first_wins(fit, [key], strata).groupBy(*strata).agg(F.count("*").alias("_once"))
+    counts = fit.groupBy(*strata).agg(F.count("*").alias("_all")).alias("a").join(once.alias("b"), same, "left").select(*(f"a.{c}" for c in strata), "_all", F.coalesce("_once", F.lit(0)).alias("_once"))
+    fates = {"kept": F.least("_once", F.lit(n)), "repeated": F.col("_all") - F.col("_once"), "surplus": F.greatest(F.col("_once") - n, F.lit(0))}
+    told = counts.select(*strata, F.explode(F.array(*(F.struct(F.lit(k).alias("outcome"), v.cast("long").alias("n")) for k, v in fates.items()))).alias("x")).select(*strata, "x.outcome", "x.n")
+    return told.where("n > 0").unionByName(refused)
 
 
 def ablation(files: DataFrame, segments: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.catalog import REDACTED, patterns
 from gristmill.functions.text import backoff_ms
-from gristmill.operators import findings, matching, routes, scan
+from gristmill.operators import experiments, findings, matching, pairing, routes, scan
 from gristmill.plans import scan_queries as Q
 from gristmill.plans import stand_ins as S
 from gristmill.runtime import cut, spread, table
@@ -110,6 +110,37 @@ def findings_per_detector(spark, sf_dir):
     return g.select("tenant", F.array_join(F.transform(F.array_sort(F.map_entries("families")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias("families"), "total")
 
 
+#: Every document as a file of one of 43 repositories; some could not be read.
+REACHED_SQL = f"""{WIDE_SQL.replace('files AS', 'whole AS')}, files AS (SELECT path, CASE WHEN string_split(path, '/')[1]::BIGINT % 17 <> 3 THEN content END AS content, string_split(path, '/')[1]::BIGINT % 43 AS repo FROM whole),
+{Q.every_match_sql(Q.IDOR)}, {Q.PAIRS_SQL.format(hits='matches')}, {IDS}, real AS (SELECT path, pattern_id AS source_id FROM ranked JOIN ids ON ids.role = 'source' AND ids.ord = source_k // 1000000000 WHERE pair_index = 0),
+guess AS (SELECT DISTINCT path FROM matches a JOIN matches b USING (path) WHERE a.role = 'source' AND b.role = 'sink' AND abs(a.line - b.line) <= 200),
+outcomes AS (SELECT repo, path, CASE WHEN content IS NULL THEN 'unreadable' END AS error, CASE WHEN content IS NULL THEN 'failed' WHEN source_id IS NOT NULL AND guess.path IS NOT NULL THEN 'both' WHEN source_id IS NOT NULL THEN 'real only' WHEN guess.path IS NOT NULL THEN 'predicted only' ELSE 'none' END AS outcome, source_id FROM files LEFT JOIN real USING (path) LEFT JOIN guess USING (path))"""
+
+
+def _reached(spark, sf_dir):
+    """The hits are stored once: pairs, their second reading and the files read no text again."""
+    number = F.split("path", "/")[0].cast("long")
+    files = wide_files(spark, sf_dir).withColumns({"content": F.when(number % 17 != 3, F.col("content")), "repo": number % 43})
+    hits = cut(matching.all_hits(files, Q.IDOR).select("path", "role", "pattern_id", "ord", "pos", "line"))
+    named = files.select("repo", "path", F.when(F.col("content").isNull(), "unreadable").alias("error"))
+    return experiments.reach_outcomes(named, hits, pairing.nearest_pairs(hits), pairing.NEAR_LINES)
+
+
+@query(f"WITH {REACHED_SQL} SELECT * FROM outcomes")
+def reach_outcomes(spark, sf_dir):
+    """Every file: read or not, and what two independent pairings say of it."""
+    return _reached(spark, sf_dir)
+
+
+@query(f"""WITH {REACHED_SQL}, r AS (SELECT repo, count(*) AS files, count(*) FILTER (source_id IS NOT NULL AND error IS NULL) AS hit, count(error) AS failed, count(*) FILTER (outcome LIKE '% only') AS odd FROM outcomes GROUP BY repo),
+g AS (SELECT count(*) AS repos, sum(files)::BIGINT AS files, count(*) FILTER (hit > 0) AS hit_repos, sum(hit)::BIGINT AS hit_files, sum(failed)::BIGINT AS failed, sum(odd)::BIGINT AS disagreements, 1.959963984540054::DOUBLE AS z FROM r)
+SELECT repos, files, hit_repos, hit_files, failed, disagreements, disagreements = 0 AS agreed,
+ round(greatest(0, (hit_repos / repos + z * z / (2 * repos) - z * sqrt(hit_repos / repos * (1 - hit_repos / repos) / repos + z * z / (4 * repos * repos))) / (1 + z * z / repos)), 6) AS low,
+ round(least(1, (hit_repos / repos + z * z / (2 * repos) + z * sqrt(hit_repos / repos * (1 - hit_repos / repos) / repos + z * z / (4 * repos * repos))) / (1 + z * z / repos)), 6) AS high FROM g""")
+def reach_totals(spark, sf_dir):
+    return experiments.reach_totals(_reached(spark, sf_dir))
+
+
 @query(f"""WITH {Q.FINDINGS_SQL}, s AS (SELECT doc_id, path, start_line, type, 0 AS o FROM base WHERE doc_id % 3 <> 0), d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN path ELSE 'diff/' || path END AS path, start_line, type, 1 AS o FROM base WHERE doc_id % 3 <> 2),
 u AS (SELECT *, row_number() OVER (PARTITION BY path, start_line, type ORDER BY o) AS r FROM (SELECT * FROM s UNION ALL SELECT * FROM d)) SELECT doc_id, path, start_line, type, CASE o WHEN 0 THEN 'scanner' ELSE 'diff' END AS origin FROM u WHERE r = 1""")
 def scanner_and_diff_union(spark, sf_dir):

@@ -300,11 +300,51 @@ def deterministic_draw(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT doc_id, min(lang || '~' || source) AS s FROM documents GROUP BY doc_id), d AS (SELECT doc_id, split_part(s, '~', 1) AS lang, split_part(s, '~', 2) AS source FROM o),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rank FROM d) SELECT doc_id, lang, source, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2""")
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rank FROM d) SELECT doc_id, lang, source, CAST(rank AS INTEGER) AS rank, row_number() OVER (ORDER BY rank, lang, source) AS position FROM r WHERE rank <= 2""")
 def stratified_take2(spark, sf_dir):
     return experiments.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", ["lang", "source"], 2)
 
 
+@query("""WITH c AS (SELECT user_id, event_type, CASE WHEN value IS NULL OR value < 20 THEN 'too small' WHEN event_id % 13 = 0 THEN 'archived' END AS reason FROM events), f AS (SELECT * FROM c WHERE reason IS NULL),
+o AS (SELECT user_id, min(event_type) AS event_type FROM f GROUP BY user_id), k AS (SELECT event_type, count(*) AS a FROM f GROUP BY 1), p AS (SELECT event_type, a, coalesce(b, 0) AS b FROM k LEFT JOIN (SELECT event_type, count(*) AS b FROM o GROUP BY 1) USING (event_type))
+SELECT * FROM (SELECT event_type, 'kept' AS outcome, least(b, 10) AS n FROM p UNION ALL SELECT event_type, 'repeated', a - b FROM p UNION ALL SELECT event_type, 'surplus', greatest(b - 10, 0) FROM p) WHERE n > 0
+UNION ALL SELECT event_type, reason, count(*) FROM c WHERE reason IS NOT NULL GROUP BY ALL""")
+def selection_tally(spark, sf_dir):
+    """What became of every candidate of a stratified selection of ten users an event type."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    reason = F.when(F.coalesce(F.col("value") < 20, F.lit(True)), "too small").when(F.col("event_id") % 13 == 0, "archived")
+    return experiments.selection_tally(e.withColumn("reason", reason), "user_id", ["event_type"], 10, F.col("reason"))
+
+
+#: Targets of a paired experiment from documents, five series of them, and their verdicts: five runs each, but four for some targets of one series.
+TARGETS_SQL = """t AS (SELECT doc_id % 5 AS series, ['held-out', 'development', 'clean'][doc_id // 5 % 3 + 1] AS "set", 'c' || (doc_id // 15 % 8) AS "case", CASE WHEN doc_id // 120 % 2 = 0 THEN 'parent' ELSE 'fix' END AS side, 'f' || (doc_id // 240) AS path, doc_id // 15 % 8 AS c, doc_id FROM documents),
+v AS (SELECT *, CASE WHEN side = 'parent' THEN (c * 7 + run + series) % (series + 3) <> 0 ELSE (c + run) % 6 = 0 END AS emitted FROM (SELECT *, unnest(CASE WHEN series = 4 AND doc_id % 11 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2, 3, 4] END) AS run FROM t))"""
+
+
+def targets(spark, sf_dir):
+    d = F.col("doc_id")
+    part = lambda n: F.floor(d / n)
+    kind = F.element_at(F.array(*map(F.lit, ["held-out", "development", "clean"])), (part(5) % 3 + 1).cast("int"))
+    c = part(15) % 8
+    return table(spark, sf_dir, "documents").select(
+        (d % 5).alias("series"), kind.alias("set"), F.concat(F.lit("c"), c.cast("string")).alias("case"), F.when(part(120) % 2 == 0, "parent").otherwise("fix").alias("side"), F.concat(F.lit("f"), part(240).cast("string")).alias("path"), c.alias("c"), "doc_id"
+    )
+
+
+@query(f"""WITH {TARGETS_SQL}, g AS (SELECT series, "set", "case", side, path, count(*) AS runs, count(*) FILTER (emitted) AS emits FROM v GROUP BY ALL),
+f AS (SELECT p.series, p."set", p."case", p.path, p.runs = 5 AND x.runs = 5 AND p.emits >= 4 AND x.emits <= 1 AS hit FROM g p LEFT JOIN g x ON x.series = p.series AND x."set" = p."set" AND x."case" = p."case" AND x.path = p.path AND x.side = 'fix' WHERE p.side = 'parent'),
+h AS (SELECT series, count(*) AS cases, count(*) FILTER (hit) AS hits FROM (SELECT series, "case", bool_or(coalesce(hit, false)) AS hit FROM f WHERE "set" = 'held-out' GROUP BY ALL) GROUP BY series),
+w AS (SELECT series, bool_and(runs = 5) AS complete, count(*) FILTER ("set" = 'clean' AND emits >= 4) AS clean_flags, count(*) FILTER (side = 'fix' AND emits >= 4) AS fix_flags FROM g GROUP BY series)
+SELECT series, complete, cases, hits, clean_flags, fix_flags, CASE WHEN NOT complete THEN 'INCOMPLETE' WHEN hits >= 4 THEN 'PASS' WHEN hits <= 1 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS recall, CASE WHEN NOT complete THEN 'INCOMPLETE' WHEN clean_flags > 3 THEN 'TOO NOISY' ELSE 'ok' END AS noise FROM w JOIN h USING (series)""")
+def planned_scoring(spark, sf_dir):
+    """Series of a paired experiment scored by the runs that were planned."""
+    t = targets(spark, sf_dir)
+    runs = F.when((F.col("series") == 4) & (F.col("doc_id") % 11 == 0), F.sequence(F.lit(0), F.lit(3))).otherwise(F.sequence(F.lit(0), F.lit(4)))
+    v = t.withColumn("run", F.explode(runs))
+    emitted = F.when(F.col("side") == "parent", (F.col("c") * 7 + F.col("run") + F.col("series")) % (F.col("series") + 3) != 0).otherwise((F.col("c") + F.col("run")) % 6 == 0)
+    return experiments.planned_scores(t, v.withColumn("emitted", emitted), 5, ["series"])
+
+
 @query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS c FROM documents) SELECT doc_id, CAST(CASE WHEN c > 400 THEN c // 100 ELSE 1 END AS INTEGER) AS step FROM n WHERE c <= 400 OR (r - 1) % (c // 100) = 0""")
 def systematic_sample(spark, sf_dir):
     return files.systematic_sample(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 400, 100).select("doc_id", F.col("step").cast("int").alias("step"))
