@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import text
 from gristmill.functions.catalog import patterns
-from gristmill.operators import findings, matching, pairing, verdicts
+from gristmill.operators import findings, matching, pairing, review, verdicts
 
 
 @dataclass(frozen=True)
@@ -124,3 +125,21 @@ def patch_counts(fixes: DataFrame, by: list[str]) -> DataFrame:
     ok = F.col("error").isNull()
     of = lambda q: F.count_if(ok & (F.col("quality") == q) if q != "low" else ok & ~F.coalesce(F.col("quality").isin("high", "medium"), F.lit(False)))
     return fixes.groupBy(*by).agg(F.count_if(ok).alias("fixes"), of("high").alias("high_quality"), of("medium").alias("medium_quality"), of("low").alias("low_quality"), F.count_if(~ok).alias("errors"))
+
+
+def reported(found: DataFrame, files: DataFrame) -> DataFrame:
+    """`found` (path, type, start_line, route) at the line that its verdict speaks of, with the code there.
+
+    The route that a verdict names is looked up in the file (path, content); without one, or if no definition
+    fits, the finding stays at its match. Files without findings are never cut into lines.
+    """
+    id_ = F.concat_ws("|", "path", "type", F.col("start_line").cast("string"))
+    asked = found.join(files.select("path", "content"), "path").withColumns({"id": id_, "fallback": F.col("start_line")})
+    at = review.route_anchor(asked)
+    return at.select(*(c for c in found.columns if c != "start_line"), F.col("line").alias("start_line"), text.snippet(F.col("content"), F.col("line")).alias("code"))
+
+
+def unpatched(found: DataFrame) -> DataFrame:
+    """Fixes of findings (with code, explanation) that no patch can make: the code stays as it is, of low quality, with the reason. Patch counts read them like any other."""
+    kept = {"fixed_code": F.col("code"), "quality": F.lit("low"), "warnings": F.array(F.lit("needs a person's choice; no automatic patch")), "error": F.lit(None).cast("string")}
+    return found.withColumns(kept).withColumn("explanation", F.coalesce(F.nullif(F.trim("explanation"), F.lit("")), F.lit("Expose chosen values only, or guard the route.")))

@@ -9,7 +9,8 @@ from gristmill.operators.files import SCANNED, walk
 
 VERDICT = "struct<pairIndex:int,isVulnerable:boolean,confidence:string,reasoning:string,suggestedFix:string,callerAuth:string,operationClass:string>"
 RECORDING = "key string, meta struct<detectorId:string,model:string,sourceFixture:string,expectedFlagged:boolean>, response struct<toolInput:string,text:string>"
-SCANNER = "struct<results:array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,metadata:string,lines:string>>>,findings:array<string>>"
+SCANNED_ITEM = "struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,metadata:string,lines:string>>"
+SCANNER = f"struct<results:array<{SCANNED_ITEM}>,findings:array<{SCANNED_ITEM}>>"
 ASSUMED = r"\A// ASSUMED-PATH:[ \t]*([^\r\n]*)\r?\n?"
 
 
@@ -36,11 +37,21 @@ def missing_recordings(asked: DataFrame, recorded: DataFrame) -> DataFrame:
     return asked.join(recorded.select("request_key").distinct(), "request_key", "left_anti")
 
 
+def replayed(asked: DataFrame, recorded: DataFrame) -> DataFrame:
+    """`asked` with its recorded answers; a request without one fails the job that reads it, naming the key, and never counts as answered."""
+    answers = recorded.withColumn("_recorded", F.lit(True))
+    joined = asked.join(answers, "request_key", "left")
+    known = F.when(F.col("_recorded"), F.col("request_key")).otherwise(F.raise_error(F.concat(F.lit("no recording of "), F.coalesce("request_key", F.lit("a request without a key")))))
+    return joined.withColumn("request_key", known.cast(asked.schema["request_key"].dataType)).drop("_recorded")
+
+
 def scanner_results(payloads: DataFrame) -> DataFrame:
-    """`payloads` (id, json) exploded to rule, path, lines, message and metadata; `valid` needs results or findings."""
+    """`payloads` (id, json) exploded to rule, path, lines, message and metadata; `valid` needs results or findings, and both are read."""
     p = payloads.withColumn("_p", F.from_json("json", SCANNER))
     valid = F.col("_p.results").isNotNull() | F.col("_p.findings").isNotNull()
-    rows = p.withColumn("valid", F.coalesce(valid, F.lit(False))).select("id", "valid", F.explode_outer("_p.results").alias("r"))
+    none = F.array().cast(f"array<{SCANNED_ITEM}>")
+    items = F.concat(F.coalesce("_p.results", none), F.coalesce("_p.findings", none))
+    rows = p.withColumn("valid", F.coalesce(valid, F.lit(False))).select("id", "valid", F.explode_outer(items).alias("r"))
     return rows.select("id", "valid", F.col("r.check_id").alias("rule"), F.col("r.path").alias("path"), F.col("r.start.line").alias("start_line"), F.col("r.end.line").alias("end_line"), F.col("r.extra.message").alias("message"), F.col("r.extra.metadata").alias("metadata"), F.col("r.extra.lines").alias("code"))
 
 

@@ -15,23 +15,31 @@ ship("gristmill.functions.text")
 
 # Fixed values.
 COMMENT_BYTES = 58_000
-DETAILED, LISTED = 10, 10
+DETAILED, LISTED, ERRORS = 10, 10, 5
 NOTICE = "\n\n_Report shortened to fit the size limit._\n\n"
 MARKER = "<!-- end of report -->"
 # End of fixed values.
 
 
-def result_log(findings: DataFrame, failed: Column, tool: str = "gristmill") -> DataFrame:
+def result_log(findings: DataFrame, failed: Column, tool: str = "gristmill", coverage: DataFrame | None = None) -> DataFrame:
     """One row per scan_id: a SARIF 2.1.0 log with one rule per used type and one result per finding (type, path, start_line, message, severity).
 
-    The results of a scan form one document and so one row; scans are independent.
+    The results of a scan form one document and so one row; scans are independent. With `coverage`
+    (`reports.coverage`) every scan that it names has a log, and one that lost coverage did not succeed and says why.
     """
     location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
     print_ = F.create_map(F.lit("primary/v1"), F.concat_ws(":", "type", "path", "start_line"))
     result = F.struct(F.col("type").alias("ruleId"), level_of(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(location).alias("locations"), print_.alias("partialFingerprints"))
     g = findings.groupBy("scan_id").agg(F.array_sort(F.collect_set("type")).alias("types"), F.sort_array(F.collect_list(F.struct("path", "start_line", "type", F.to_json(result).alias("json")))).alias("rs"))
     driver = F.struct(F.struct(F.lit(tool).alias("name"), F.transform("types", lambda t: F.struct(t.alias("id"))).alias("rules")).alias("driver"))
-    head = F.to_json(F.struct(driver.alias("tool"), F.array(F.struct((~failed).alias("executionSuccessful"))).alias("invocations")))
+    note = F.lit(None).cast("string")
+    if coverage is not None:
+        empty = {"types": F.coalesce("types", F.array().cast("array<string>")), "rs": F.coalesce("rs", F.array().cast(g.schema["rs"].dataType))}
+        g = coverage.select("scan_id", "status", "causes").join(g, "scan_id", "left").withColumns(empty)
+        failed = failed | (F.col("status") != "full")
+        note = F.when(F.col("status") != "full", F.concat(F.lit("Coverage lost: "), "causes"))
+    notes = F.when(note.isNotNull(), F.array(F.struct(F.lit("error").alias("level"), F.struct(note.alias("text")).alias("message"))))
+    head = F.to_json(F.struct(driver.alias("tool"), F.array(F.struct((~failed).alias("executionSuccessful"), notes.alias("toolExecutionNotifications"))).alias("invocations")))
     body = F.concat(F.lit('{"version":"2.1.0","runs":['), F.expr("left(_h, length(_h) - 1)"), F.lit(',"results":['), F.array_join(F.transform("rs", lambda r: r["json"]), ","), F.lit("]}]}"))
     return g.withColumn("_h", head).select("scan_id", F.size("rs").alias("results"), body.alias("sarif"))
 
@@ -49,15 +57,30 @@ def _clipped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else clip_utf8(t, COMMENT_BYTES, MARKER, NOTICE))
 
 
-def comments(findings: DataFrame) -> DataFrame:
-    """One comment per scan_id: at most 10 new findings in full, 10 older ones as a list, with counts of the rest, within the byte limit."""
+def error_list(errors: DataFrame) -> DataFrame:
+    """scan_id and its first errors (scan_id, place, message) as a list, with a count of the rest."""
+    first = newest_per(errors, ["scan_id"], ["place", "message"], ERRORS).withColumn("_l", F.concat(F.lit("- **"), ellipsis(F.col("message"), 120), F.lit("**")))
+    listed = first.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("rank", "_l"))).alias("_ls"))
+    totals = errors.groupBy("scan_id").agg(F.count("*").alias("_n"))
+    rest = F.when(F.col("_n") > ERRORS, F.concat(F.lit("\n- …and "), (F.col("_n") - ERRORS).cast("string"), F.lit(" more"))).otherwise("")
+    return listed.join(totals, "scan_id").select("scan_id", F.concat(F.lit("### Errors\n\n"), F.array_join(F.transform("_ls", lambda x: x["_l"]), "\n"), rest, F.lit("\n\n")).alias("errors"))
+
+
+def comments(findings: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One comment per scan_id: at most 10 new findings in full, 10 older ones as a list, with counts of the rest, within the byte limit.
+
+    The first of its `errors` (scan_id, place, message) stand before the findings; a scan with errors alone has a comment too.
+    """
     rank = newest_per(findings, ["scan_id", "introduced"], ["path", "start_line", "type"], max(DETAILED, LISTED))
     totals = findings.groupBy("scan_id").agg(F.count_if("introduced").alias("new"), F.count_if(~F.col("introduced")).alias("old"))
     line = F.concat(F.lit("- `"), "path", F.lit(":"), F.col("start_line").cast("string"), F.lit("` "), ellipsis(F.col("message"), 120))
     g = rank.withColumn("_l", line).groupBy("scan_id").agg(*(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("introduced") == flag, F.struct("rank", "_l")))), lambda x: x["_l"]), "\n").alias(n) for flag, n in ((True, "fresh"), (False, "known"))))
     more = lambda c, n: F.when(F.col(c) > n, F.concat(F.lit("\n- …and "), (F.col(c) - n).cast("string"), F.lit(" more"))).otherwise("")
-    joined = g.join(totals, "scan_id")
-    body = F.concat(F.lit("## Scan result\n\n"), F.col("new").cast("string"), F.lit(" new, "), F.col("old").cast("string"), F.lit(" pre-existing\n\n"), "fresh", more("new", DETAILED), F.lit("\n\n"), "known", more("old", LISTED), F.lit("\n" + MARKER))
+    joined = g.join(totals, "scan_id").withColumn("errors", F.lit(""))
+    if errors is not None:
+        blank = {"new": F.coalesce("new", F.lit(0)), "old": F.coalesce("old", F.lit(0)), **{c: F.coalesce(c, F.lit("")) for c in ("fresh", "known", "errors")}}
+        joined = joined.drop("errors").join(error_list(errors), "scan_id", "full").withColumns(blank)
+    body = F.concat(F.lit("## Scan result\n\n"), "errors", F.col("new").cast("string"), F.lit(" new, "), F.col("old").cast("string"), F.lit(" pre-existing\n\n"), "fresh", more("new", DETAILED), F.lit("\n\n"), "known", more("old", LISTED), F.lit("\n" + MARKER))
     return joined.select("scan_id", "new", "old", _clipped(body).alias("comment"))
 
 

@@ -68,3 +68,13 @@ def test_refusals_tokens_and_tools(spark, partitions):
     r = got["ended well"]
     assert (r.input_tokens, r.output_tokens, r.cache_write_tokens, r.cache_read_tokens) == (5, 0, 2, 0) and got["typed"].input_tokens is None
     assert corpora.run_results(lines.where(F.lit(False))).count() == 0
+
+
+def test_a_replay_without_a_recording_fails(spark):
+    from gristmill.sources import readers
+
+    asked = spark.createDataFrame([("a",), ("b",)], "request_key string")
+    recorded = spark.createDataFrame([("a", True), ("b", False)], "request_key string, is_vulnerable boolean")
+    assert {tuple(r) for r in readers.replayed(asked, recorded).collect()} == {("a", True), ("b", False)}
+    with pytest.raises(Exception, match="no recording of b"):
+        readers.replayed(asked, recorded.where("request_key = 'a'")).collect()
