@@ -68,16 +68,16 @@ def _judged(files, escalate=False):
     return scan.judged(rows, recorded(rows), escalate=escalate)
 
 
-@query(f"WITH {asked_sql(S.SNIPPETS_SQL)}, {PLAIN} SELECT path, family, CAST(pair_index AS INTEGER) AS pair_index, CAST(line AS INTEGER) AS line, rule_id, bypassed, outcome FROM o")
+@query(f"WITH {asked_sql(S.DOCUMENT_SNIPPETS_SQL)}, {PLAIN} SELECT path, family, CAST(pair_index AS INTEGER) AS pair_index, CAST(line AS INTEGER) AS line, rule_id, bypassed, outcome FROM o")
 def scan_outcomes_judged(spark, sf_dir):
     """What each detector asks about the snippets, and what becomes of it; the literal tier needs no verdict."""
-    return _judged(S.snippets(spark)).select("path", "family", "pair_index", "line", "rule_id", "bypassed", "outcome")
+    return _judged(S.document_snippets(spark, sf_dir)).select("path", "family", "pair_index", "line", "rule_id", "bypassed", "outcome")
 
 
-@query(f"WITH {asked_sql(S.SNIPPETS_SQL)}, {ESCALATED} SELECT family, outcome, count(*) AS n FROM o GROUP BY ALL")
+@query(f"WITH {asked_sql(S.DOCUMENT_SNIPPETS_SQL)}, {ESCALATED} SELECT family, outcome, count(*) AS n FROM o GROUP BY ALL")
 def escalated_outcomes(spark, sf_dir):
     """With escalation a second look decides on medium confidence."""
-    return _judged(S.snippets(spark), escalate=True).groupBy("family", "outcome").agg(F.count("*").alias("n"))
+    return _judged(S.document_snippets(spark, sf_dir), escalate=True).groupBy("family", "outcome").agg(F.count("*").alias("n"))
 
 
 #: Findings over the document files, gated by tenant settings, united in registry order, then split by changed lines.

@@ -155,12 +155,12 @@ def delivery_dedupe(spark, sf_dir):
     return history.first_deliveries(d, order=["ts", "event_id"])
 
 
-@query(f"""WITH {S.values('p', 'payload', S.PAYLOADS)}, a AS (SELECT payload, payload->>'$.action' AS action, json_type(payload, '$.changes.base') = 'OBJECT' AS base FROM p),
+@query(f"""WITH {S.dealt_sql('p', 'payload', S.PAYLOADS)}, a AS (SELECT doc_id, payload, payload->>'$.action' AS action, json_type(payload, '$.changes.base') = 'OBJECT' AS base FROM p),
 s AS (SELECT *, coalesce(action IN ('opened', 'synchronize', 'reopened') OR (action = 'edited' AND coalesce(base, false)), false) AS scan FROM a)
-SELECT payload, scan, CASE WHEN scan THEN NULL WHEN action IS NULL THEN 'action_missing' WHEN action = 'edited' THEN 'edited_without_base_change' WHEN action IN ({', '.join(map(S.sql_literal, history.NON_CODE_ACTIONS))}) THEN 'action_not_scanned' ELSE 'action_unrecognized' END AS reason FROM s""")
+SELECT doc_id, payload, scan, CASE WHEN scan THEN NULL WHEN action IS NULL THEN 'action_missing' WHEN action = 'edited' THEN 'edited_without_base_change' WHEN action IN ({', '.join(map(S.sql_literal, history.NON_CODE_ACTIONS))}) THEN 'action_not_scanned' ELSE 'action_unrecognized' END AS reason FROM s""")
 def action_filter(spark, sf_dir):
     scan, reason = history.action_decision(F.col("payload"))
-    return S.inline(spark, "payload string", S.PAYLOADS).select("payload", scan.alias("scan"), reason.alias("reason"))
+    return S.dealt(spark, sf_dir, "payload string", S.PAYLOADS).select("doc_id", "payload", scan.alias("scan"), reason.alias("reason"))
 
 
 @query("""SELECT c_nationkey AS inst, min(CAST(c_custkey AS BIGINT)) AS first_seen, max(CAST(c_custkey AS BIGINT)) AS last_seen FROM customer GROUP BY 1""")

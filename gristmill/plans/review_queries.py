@@ -32,21 +32,21 @@ def route_anchor(spark, sf_dir):
 NAMES = ["requireUser", "isAdmin", "canEdit", "scan", "roleGuard", "jwtCheck", "policy", "x"]
 
 
-@query(f"WITH {S.values('n', 'name', NAMES)} SELECT name, CASE WHEN regexp_matches(name, {Q(review.GUARD_AUTH)}) THEN 'auth' WHEN regexp_matches(name, {Q(review.GUARD_ROLE)}) OR regexp_matches(name, {Q(review.GUARD_CAN)}) THEN 'role' ELSE 'other' END AS kind FROM n")
+@query(f"WITH {S.dealt_sql('n', 'name', NAMES)} SELECT doc_id, name, CASE WHEN regexp_matches(name, {Q(review.GUARD_AUTH)}) THEN 'auth' WHEN regexp_matches(name, {Q(review.GUARD_ROLE)}) OR regexp_matches(name, {Q(review.GUARD_CAN)}) THEN 'role' ELSE 'other' END AS kind FROM n")
 def guard_kinds(spark, sf_dir):
-    return S.inline(spark, "name string", NAMES).select("name", review.guard_kind(F.col("name")).alias("kind"))
+    return S.dealt(spark, sf_dir, "name string", NAMES).select("doc_id", "name", review.guard_kind(F.col("name")).alias("kind"))
 
 
 PATHS = ["docs/a.ts", "src/README.md", "src/tests/a.ts", "a.spec.ts", "e2e/x.ts", "demo/x.ts", "x.sample.js", "sample.ts", ".env.example", "a\\docs\\x.ts", "src/a.ts", "config/env.template"]
 
 
-@query(f"""WITH {S.values('f', 'path', PATHS)}, p AS (SELECT path, lower(replace(path, '\\', '/')) AS p FROM f)
-SELECT path, CASE WHEN regexp_matches(p, '(?:^|/)(?:docs?|documentation)/') OR regexp_matches(regexp_extract(p, '([^/]*)$', 1), '\\b(?:readme|changelog)\\b') THEN 'docs'
+@query(f"""WITH {S.dealt_sql('f', 'path', PATHS)}, p AS (SELECT doc_id, path, lower(replace(path, '\\', '/')) AS p FROM f)
+SELECT doc_id, path, CASE WHEN regexp_matches(p, '(?:^|/)(?:docs?|documentation)/') OR regexp_matches(regexp_extract(p, '([^/]*)$', 1), '\\b(?:readme|changelog)\\b') THEN 'docs'
  WHEN regexp_matches(p, '(?:^|/)(?:test|tests|__tests__|spec|specs|e2e)/') OR regexp_matches(p, '\\.(?:test|spec)\\.[a-z]+$') THEN 'tests'
  WHEN regexp_matches(p, '(?:^|/)(?:examples?|samples?|demo|demos|fixtures?)/') OR regexp_matches(regexp_extract(p, '([^/]*)$', 1), '\\b(?:example|sample)\\.[a-z]+$') THEN 'examples'
  WHEN regexp_matches(p, '\\.(?:env|env\\.example|env\\.sample)$') OR regexp_matches(p, '\\b(?:\\.env|env)\\.(?:example|sample|template)') THEN 'config-samples' ELSE 'source' END AS category FROM p""")
 def path_categories(spark, sf_dir):
-    return S.inline(spark, "path string", PATHS).select("path", review.path_category(F.col("path")).alias("category"))
+    return S.dealt(spark, sf_dir, "path string", PATHS).select("doc_id", "path", review.path_category(F.col("path")).alias("category"))
 
 
 @query("""WITH d AS (SELECT doc_id % 50 AS thread, doc_id AS id, text FROM documents) SELECT thread, max(id) AS id FROM d WHERE contains(text, 'the') AND id % 3 <> 0 GROUP BY thread""")

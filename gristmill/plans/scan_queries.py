@@ -96,12 +96,12 @@ def license_line_census(spark, sf_dir):
 IDOR = patterns("idor")
 
 
-@query(f"WITH {S.SNIPPETS_SQL}, seen AS (SELECT *, {' OR '.join(f'({admitted(p)} AND regexp_matches(content, {Q(p.regex)}))' for p in IDOR)} AS has_hit FROM files) SELECT path, {REASON_SQL} AS reason FROM seen")
+@query(f"WITH {S.DOCUMENT_SNIPPETS_SQL}, seen AS (SELECT *, {' OR '.join(f'({admitted(p)} AND regexp_matches(content, {Q(p.regex)}))' for p in IDOR)} AS has_hit FROM files) SELECT path, {REASON_SQL} AS reason FROM seen")
 def path_skip_reason(spark, sf_dir):
     hit = F.lit(False)
     for p in IDOR:
         hit = hit | (files.allowed(p, F.col("path")) & F.col("content").rlike(p.regex))
-    return S.snippets(spark).select("path", files.prefilter_reason(F.col("path"), F.col("content"), hit.cast("int")).alias("reason"))
+    return S.document_snippets(spark, sf_dir).select("path", files.prefilter_reason(F.col("path"), F.col("content"), hit.cast("int")).alias("reason"))
 
 
 AUTH = patterns("auth-bypass")
@@ -109,26 +109,26 @@ LINES_SQL = "lines AS (SELECT path, unnest(string_split_regex(content, '\\r?\\n'
 FIRST_SQL = "first AS (SELECT path, line, content, least(" + ", ".join(f"CASE WHEN {admitted(p)} AND regexp_matches(content, {Q(p.regex)}) THEN {p.ord} END" for p in AUTH) + ") AS ord FROM lines)"
 
 
-@query(f"WITH {S.SNIPPETS_SQL}, {LINES_SQL}, {FIRST_SQL}, {names_sql(AUTH)} SELECT path, CAST(line AS INTEGER) AS line, pattern_id, CAST(ord AS INTEGER) AS ord, substring(trim(content), 1, 200) AS text FROM first JOIN names USING (ord)")
+@query(f"WITH {S.DOCUMENT_SNIPPETS_SQL}, {LINES_SQL}, {FIRST_SQL}, {names_sql(AUTH)} SELECT path, CAST(line AS INTEGER) AS line, pattern_id, CAST(ord AS INTEGER) AS ord, substring(trim(content), 1, 200) AS text FROM first JOIN names USING (ord)")
 def line_first_pattern(spark, sf_dir):
-    return matching.line_hits(S.snippets(spark), AUTH)
+    return matching.line_hits(S.document_snippets(spark, sf_dir), AUTH)
 
 
-@query(f"""WITH {S.SNIPPETS_SQL}, {LINES_SQL}, {FIRST_SQL}, {names_sql(AUTH)},
+@query(f"""WITH {S.DOCUMENT_SNIPPETS_SQL}, {LINES_SQL}, {FIRST_SQL}, {names_sql(AUTH)},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY NOT (pattern_id LIKE '%route_def' OR pattern_id LIKE '%handler_def'), line, ord) AS r FROM first JOIN names USING (ord))
 SELECT path, CAST(line AS INTEGER) AS line, pattern_id FROM ranked WHERE r = 1""")
 def trigger_selection(spark, sf_dir):
-    return matching.preferred_trigger(matching.line_hits(S.snippets(spark), AUTH))
+    return matching.preferred_trigger(matching.line_hits(S.document_snippets(spark, sf_dir), AUTH))
 
 
 TRIGGERS = {d: patterns(d) for d in ("admin-check", "env-exposure", "webhook-unverified")}
 
 
-@query(f"WITH {S.SNIPPETS_SQL}, " + " UNION ALL ".join(["r AS (SELECT '' AS detector, '' AS path, '' AS pattern_id, '' AS tier, 0 AS pos, 0 AS line WHERE false"] + [f"SELECT * FROM (WITH {earliest_sql(ps)}, {names_sql(ps)} SELECT {Q(d)}, path, pattern_id, tier, CAST(pos AS INTEGER), {LINE_OF} FROM hits JOIN names USING (ord))" for d, ps in TRIGGERS.items()]) + ") SELECT * FROM r")
+@query(f"WITH {S.DOCUMENT_SNIPPETS_SQL}, " + " UNION ALL ".join(["r AS (SELECT '' AS detector, '' AS path, '' AS pattern_id, '' AS tier, 0 AS pos, 0 AS line WHERE false"] + [f"SELECT * FROM (WITH {earliest_sql(ps)}, {names_sql(ps)} SELECT {Q(d)}, path, pattern_id, tier, CAST(pos AS INTEGER), {LINE_OF} FROM hits JOIN names USING (ord))" for d, ps in TRIGGERS.items()]) + ") SELECT * FROM r")
 def earliest_trigger(spark, sf_dir):
     out = None
     for d, ps in TRIGGERS.items():
-        one = matching.earliest_hit(S.snippets(spark), ps).where("hit IS NOT NULL").select(F.lit(d).alias("detector"), "path", "hit.pattern_id", "hit.tier", "hit.pos", "hit.line")
+        one = matching.earliest_hit(S.document_snippets(spark, sf_dir), ps).where("hit IS NOT NULL").select(F.lit(d).alias("detector"), "path", "hit.pattern_id", "hit.tier", "hit.pos", "hit.line")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -139,11 +139,11 @@ near AS (SELECT s.path, s.line AS sink_line, s.k AS sink_k, o.line AS source_lin
 ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY sink_line) - 1 AS pair_index, count(*) OVER (PARTITION BY path) AS n FROM near WHERE r = 1)"""
 
 
-@query(f"""WITH {S.SNIPPETS_SQL}, {every_match_sql(IDOR)}, {PAIRS_SQL.format(hits='matches')}, {S.values('ids', 'role, ord, pattern_id', [(p.role, p.ord, p.id) for p in IDOR])}
+@query(f"""WITH {S.DOCUMENT_SNIPPETS_SQL}, {every_match_sql(IDOR)}, {PAIRS_SQL.format(hits='matches')}, {S.values('ids', 'role, ord, pattern_id', [(p.role, p.ord, p.id) for p in IDOR])}
 SELECT path, CAST(pair_index AS INTEGER) AS pair_index, a.pattern_id AS source_id, source_line, b.pattern_id AS sink_id, sink_line, CAST(distance AS INTEGER) AS distance, greatest(n - 12, 0) AS truncated
 FROM ranked JOIN ids a ON a.role = 'source' AND a.ord = source_k // 1000000000 JOIN ids b ON b.role = 'sink' AND b.ord = sink_k // 1000000000 WHERE pair_index < 12""")
 def source_sink_pairs(spark, sf_dir):
-    return pairing.nearest_pairs(matching.all_hits(S.snippets(spark), IDOR))
+    return pairing.nearest_pairs(matching.all_hits(S.document_snippets(spark, sf_dir), IDOR))
 
 
 @query(f"""WITH h AS (SELECT l_suppkey AS path, CASE WHEN l_returnflag = 'R' THEN 'sink' ELSE 'source' END AS role, l_partkey % 3 AS ord, CAST(l_orderkey AS BIGINT) AS pos, CAST(l_orderkey % 5000 AS INTEGER) AS line FROM lineitem),
@@ -432,7 +432,7 @@ def span_intersect_contain(spark, sf_dir):
     return routes.span_scores(nodes, S.inline(spark, "path string, first int, last int", S.WINDOWS), S.inline(spark, "path string, first int, last int", S.HUNKS))
 
 
-DIFF_SQL = f"""{S.values('d', 'scan_id, diff', S.DIFFS)}, parts AS (SELECT scan_id, unnest(string_split_regex(diff, '(?m)^diff --git ')) AS body, generate_subscripts(string_split_regex(diff, '(?m)^diff --git '), 1) - 1 AS part FROM d),
+DIFF_SQL = f"""{S.dealt_sql('d', 'scan_id, diff', S.DIFFS, 'scan_id')}, parts AS (SELECT scan_id, unnest(string_split_regex(diff, '(?m)^diff --git ')) AS body, generate_subscripts(string_split_regex(diff, '(?m)^diff --git '), 1) - 1 AS part FROM d),
 ls AS (SELECT scan_id, part, unnest(string_split_regex(body, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(body, '\\r?\\n'), 1) AS pos FROM parts WHERE trim(body) <> ''),
 h AS (SELECT *, count(*) FILTER (starts_with(line, '@@')) OVER (PARTITION BY scan_id, part ORDER BY pos) AS hunk, TRY_CAST(regexp_extract(line, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)(?:,[0-9]+)? @@', 1) AS INTEGER) AS start FROM ls),
 kd AS (SELECT *, CASE WHEN starts_with(line, '+++ b/') THEN 'path' WHEN starts_with(line, '@@') THEN 'hunk' WHEN hunk = 0 THEN 'before' WHEN starts_with(line, '+') AND NOT starts_with(line, '+++') THEN 'plus' WHEN starts_with(line, '-') THEN 'minus' WHEN starts_with(line, '\\') THEN 'note' ELSE 'context' END AS kind FROM h),
@@ -444,7 +444,7 @@ paths AS (SELECT scan_id, part, arg_max(trim(substring(line, 7)), pos) AS path F
 c AS (SELECT scan_id, part, CASE WHEN kind = 'minus' THEN greatest(1, coalesce(base, 1) + off) ELSE coalesce(base, 1) + off END AS n, kind FROM t WHERE kind = 'plus' OR (kind = 'minus' AND last <> 'minus'))
 SELECT scan_id, path, list_aggregate(list_sort(list(DISTINCT n)), 'string_agg', ',') AS changed, bool_or(kind = 'plus') AS has_added FROM c JOIN paths USING (scan_id, part) GROUP BY scan_id, part, path""")
 def diff_changed_lines(spark, sf_dir):
-    c = diffs.changed_lines(S.inline(spark, "scan_id string, diff string", S.DIFFS))
+    c = diffs.changed_lines(S.dealt(spark, sf_dir, "scan_id string, diff string", S.DIFFS, "scan_id"))
     return c.select("scan_id", "path", F.array_join(F.transform("changed", lambda x: x.cast("string")), ",").alias("changed"), "has_added")
 
 
@@ -453,17 +453,17 @@ n(scan_id, part, hunk, base, nxt) AS (SELECT scan_id, part, hunk, coalesce(start
   UNION ALL SELECT hs.scan_id, hs.part, hs.hunk, coalesce(hs.start, n.nxt), coalesce(coalesce(hs.start, n.nxt) + hs.len, n.nxt) FROM n JOIN hs ON hs.scan_id = n.scan_id AND hs.part = n.part AND hs.hunk = n.hunk + 1)
 SELECT o.scan_id, path, string_agg(substring(line, 2), chr(10) ORDER BY pos) AS content, string_agg(CAST(n.base + off AS VARCHAR), ',' ORDER BY pos) AS line_map FROM o JOIN n USING (scan_id, part, hunk) JOIN paths USING (scan_id, part) WHERE kind = 'plus' GROUP BY o.scan_id, o.part, path""")
 def diff_parse(spark, sf_dir):
-    p = diffs.parse(S.inline(spark, "scan_id string, diff string", S.DIFFS))
+    p = diffs.parse(S.dealt(spark, sf_dir, "scan_id string, diff string", S.DIFFS, "scan_id"))
     return p.select("scan_id", "path", "content", F.array_join(F.transform("line_map", lambda x: x.cast("string")), ",").alias("line_map"))
 
 
-@query(f"""WITH {S.values('d', 'scan_id, diff', S.DIFFS)}, ls AS (SELECT scan_id, unnest(string_split_regex(diff, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(diff, '\\r?\\n'), 1) - 1 AS pos FROM d),
+@query(f"""WITH {S.dealt_sql('d', 'scan_id, diff', S.DIFFS, 'scan_id')}, ls AS (SELECT scan_id, unnest(string_split_regex(diff, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(diff, '\\r?\\n'), 1) - 1 AS pos FROM d),
 p AS (SELECT *, last_value(CASE WHEN starts_with(line, '--- ') THEN regexp_replace(trim(substring(line, 5)), '^a/', '') END IGNORE NULLS) OVER (PARTITION BY scan_id ORDER BY pos) AS path,
  TRY_CAST(regexp_extract(line, {Q(diffs.PARENT)}, 1) AS INTEGER) AS s, regexp_extract(line, {Q(diffs.PARENT)}, 2) AS c FROM ls),
 q AS (SELECT *, CASE WHEN c = '' THEN 1 ELSE CAST(c AS INTEGER) END AS n FROM p WHERE regexp_matches(line, {Q(diffs.PARENT)}) AND path IS NOT NULL AND path <> '/dev/null')
 SELECT scan_id, CAST(pos AS INTEGER) AS pos, path, CASE WHEN n > 0 THEN s ELSE greatest(1, s) END AS first, CASE WHEN n > 0 THEN s + n - 1 ELSE s + 1 END AS last FROM q""")
 def diff_parent_hunks(spark, sf_dir):
-    return diffs.parent_hunks(S.inline(spark, "scan_id string, diff string", S.DIFFS))
+    return diffs.parent_hunks(S.dealt(spark, sf_dir, "scan_id string, diff string", S.DIFFS, "scan_id"))
 
 
 @query(f"""WITH {FINDINGS_SQL} SELECT path AS path, count(*) AS findings, string_agg(CASE severity WHEN 'low' THEN 'medium' ELSE severity END || '@' || start_line || ':' || message, ';' ORDER BY start_line, message) AS lines FROM base GROUP BY path""")
@@ -495,15 +495,15 @@ def comment_text(spark, sf_dir):
     return sinks.comments(f)
 
 
-@query(f"""WITH {S.SNIPPETS_SQL} SELECT path FROM files WHERE lower(regexp_extract(path, '\\.([^.]*)$', 1)) IN ('ts', 'tsx', 'js', 'jsx', 'py', 'go') AND NOT regexp_matches(path, '(^|/)hooks/') AND NOT regexp_matches(path, '\\A(cmd/[^/]*)(/|\\z)')""")
+@query(f"""WITH {S.DOCUMENT_SNIPPETS_SQL} SELECT path FROM files WHERE lower(regexp_extract(path, '\\.([^.]*)$', 1)) IN ('ts', 'tsx', 'js', 'jsx', 'py', 'go') AND NOT regexp_matches(path, '(^|/)hooks/') AND NOT regexp_matches(path, '\\A(cmd/[^/]*)(/|\\z)')""")
 def directory_walk(spark, sf_dir):
-    return files.walk(S.snippets(spark), ignore_file="# comment\n\nhooks/\n!keep.ts\n/cmd/*\n").select("path")
+    return files.walk(S.document_snippets(spark, sf_dir), ignore_file="# comment\n\nhooks/\n!keep.ts\n/cmd/*\n").select("path")
 
 
-@query(f"""WITH {S.SNIPPETS_SQL}, p AS (SELECT path, 'part of ' || path AS content, length(path) % 3 <> 0 AS has_added FROM files), h AS (SELECT path, CASE WHEN length(path) % 5 = 0 THEN NULL ELSE content END AS content, CASE WHEN length(path) % 5 = 0 THEN 'fetch failed' END AS error FROM files WHERE path NOT LIKE 'app/%')
+@query(f"""WITH {S.DOCUMENT_SNIPPETS_SQL}, p AS (SELECT path, 'part of ' || path AS content, length(path) % 3 <> 0 AS has_added FROM files), h AS (SELECT path, CASE WHEN length(path) % 5 = 0 THEN NULL ELSE content END AS content, CASE WHEN length(path) % 5 = 0 THEN 'fetch failed' END AS error FROM files WHERE path NOT LIKE 'app/%')
 SELECT p.path, CASE WHEN h.content IS NOT NULL THEN h.content ELSE p.content END AS content, CASE WHEN h.content IS NOT NULL THEN 'whole_file' ELSE 'part' END AS origin, h.error AS input_error FROM p LEFT JOIN h USING (path) WHERE h.content IS NOT NULL OR has_added""")
 def whole_file_enrichment(spark, sf_dir):
-    f = S.snippets(spark)
+    f = S.document_snippets(spark, sf_dir)
     parts = f.select("path", F.concat(F.lit("part of "), "path").alias("content"), (F.length("path") % 3 != 0).alias("has_added"))
     bad = F.length("path") % 5 == 0
     head = f.where(~F.col("path").startswith("app/")).select("path", F.when(~bad, F.col("content")).alias("content"), F.when(bad, "fetch failed").alias("error"))

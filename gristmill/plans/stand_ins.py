@@ -121,6 +121,35 @@ def inline(spark: SparkSession, schema: str, rows: list) -> DataFrame:
     return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
 
 
+def dealt(spark: SparkSession, sf_dir: str, schema: str, rows: list, key: str | None = None) -> DataFrame:
+    """One of `rows` for each document, dealt by its doc_id; the column `key`, if named, becomes doc_id/key, so that it stays one row's."""
+    few = inline(spark, "_k long, " + schema, [(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)])
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(rows)).alias("_k"))
+    out = docs.join(F.broadcast(few), "_k").drop("_k")  # the rows of this module
+    return out.withColumn(key, F.concat_ws("/", "doc_id", key)) if key else out
+
+
+def dealt_sql(name: str, columns: str, rows: list, key: str | None = None) -> str:
+    """The same as a common table expression."""
+    numbered = [(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)]
+    listed = ", ".join("(" + ", ".join(map(sql_literal, r)) + ")" for r in numbered)
+    return f"{name} AS (SELECT doc_id, v.* EXCLUDE (_k){f" REPLACE (doc_id || '/' || {key} AS {key})" if key else ''} FROM documents JOIN (VALUES {listed}) v(_k, {columns}) ON doc_id % {len(rows)} = _k)"
+
+
+#: Folder, name and content of the snippets.
+PLACED = [(path[: path.rfind("/") + 1], path[path.rfind("/") + 1 :], content) for path, content in SNIPPETS]
+
+
+def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of the folder of one of the snippets: its text, then the snippet."""
+    texts = spread(table(spark, sf_dir, "documents")).select("text", F.col("doc_id"), (F.col("doc_id") % len(PLACED)).alias("_k"))
+    few = inline(spark, "_k long, folder string, name string, content string", [(i, *r) for i, r in enumerate(PLACED)])
+    return texts.join(F.broadcast(few), "_k").select(F.concat("folder", F.col("doc_id").cast("string"), F.lit("-"), "name").alias("path"), F.concat("text", F.lit("\n"), "content").alias("content"))
+
+
+DOCUMENT_SNIPPETS_SQL = f"""{dealt_sql('placed', 'folder, name, content', PLACED)}, files AS (SELECT folder || doc_id || '-' || name AS path, text || chr(10) || content AS content FROM placed JOIN documents USING (doc_id))"""
+
+
 def snippets(spark: SparkSession) -> DataFrame:
     return inline(spark, "path string, content string", SNIPPETS)
 
