@@ -86,12 +86,15 @@ def sign_aware_prescreen(spark, sf_dir):
     return review.prescreen(table(spark, sf_dir, "documents").select((i % 20).alias("commit"), F.concat(F.when(i % 2 == 0, "+").otherwise("-"), text).alias("line")))
 
 
-REVIEW = "# Report\n## Vuln 1: IDOR: `./src/a.ts:12`\n- Severity: High\n- Description: missing owner check\n* Description: again\n## Vuln 2: access control: lib/b.py\n- Severity: low\n# Vuln bad\n- Severity: none\n"
-
-
-@query("SELECT * FROM (VALUES ('r', 1, 'IDOR', 'src/a.ts', 12, 'High', 'missing owner check again'), ('r', 2, 'access control', 'lib/b.py', NULL, 'low', '')) t(review, \"index\", category, path, line, severity, description)")
+@query("""SELECT doc_id AS review, 1 AS "index", 'IDOR' AS category, 'src/' || doc_id || '.ts' AS path, CAST(n_chars AS INTEGER) AS line, 'High' AS severity, 'missing owner check in ' || lang || ' again' AS description FROM documents
+UNION ALL SELECT doc_id, 2, 'access control', 'lib/' || lang || '.py', NULL, 'low', '' FROM documents WHERE doc_id % 3 <> 0""")
 def reported_findings(spark, sf_dir):
-    return review.reported(S.inline(spark, "review string, markdown string", [("r", REVIEW)]))
+    """Findings read from a written review of each document; headings that name no finding and what stands below them are left out."""
+    d = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    first = F.concat(F.lit("# Report\n## Vuln 1: IDOR: `./src/"), number, F.lit(".ts:"), F.col("n_chars").cast("string"), F.lit("`\n- Severity: High\n- Description: missing owner check in "), "lang", F.lit("\n* Description: again\n"))
+    second = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("## Vuln 2: access control: lib/"), "lang", F.lit(".py\n- Severity: low\n"))).otherwise("")
+    return review.reported(d.select(F.col("doc_id").alias("review"), F.concat(first, second, F.lit("# Vuln bad\n- Severity: none\n")).alias("markdown")))
 
 
 @query("""WITH f AS (SELECT doc_id, source || '/' || (doc_id % 9) || '.ts' AS path, CAST(n_chars % 60 AS INTEGER) AS line FROM documents), w AS (SELECT * FROM (VALUES ('1.ts', 5, 20), ('src2/2.ts', 0, 9), ('root/src3/3.ts', 10, 50)) w(path, first, last))
@@ -113,18 +116,23 @@ def hotspot_truth(spark, sf_dir):
     return review.hotspots(found, truth)
 
 
-@query("SELECT * FROM (VALUES ('', 'e69de29bb2d1d6434b8b29ae775ad8c2e48c5391'), ('hello' || chr(10), 'ce013625030ba8dba906f756967f9e9ca394464a')) t(content, blob)")
+@query("SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS blob FROM documents")
 def blob_hashes(spark, sf_dir):
-    return S.inline(spark, "content string", ["", "hello\n"]).select("content", review.blob_hash(F.col("content")).alias("blob"))
+    return table(spark, sf_dir, "documents").select("doc_id", review.blob_hash(F.col("text")).alias("blob"))
 
 
 @query()
 def request_keys(spark, sf_dir):
+    """Keys of requests, two of which differ in the order of their members only."""
     rows = ['{"b":1,"a":{"d":2,"c":[3,{"f":1,"e":2}]}}', '{"a":{"c":[3,{"e":2,"f":1}],"d":2},"b":1}', None]
-    return S.inline(spark, "request string", rows).select("request", review.request_key("request").alias("key"))
+    return S.dealt(spark, sf_dir, "request string", rows).select("doc_id", "request", review.request_key("request").alias("key"))
 
 
 @query()
 def defect_windows(spark, sf_dir):
-    rows = [(1, "a\nfunction f() {\n  x = '{';\n  if (a) {\n    y();\n  }\n}\nz\n", 5), (2, "one\ntwo\n", 40)]
-    return S.inline(spark, "id int, content string, anchor int", rows).select("id", review.defect_window("content", "anchor").alias("w")).select("id", "w.first", "w.last")
+    """Windows around an anchor in code that follows each document's text."""
+    rows = [("a\nfunction f() {\n  x = '{';\n  if (a) {\n    y();\n  }\n}\nz\n", 5), ("one\ntwo\n", 40)]
+    code = S.dealt(spark, sf_dir, "code string, anchor int", rows).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    w = code.select("doc_id", review.defect_window(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "code"), (F.col("anchor") + lines).cast("int")).alias("w"))
+    return w.select("doc_id", "w.first", "w.last")

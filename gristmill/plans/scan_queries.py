@@ -361,10 +361,16 @@ def segment_ablation(spark, sf_dir):
     return experiments.ablation(pages, SEGMENTS)
 
 
-SCANNED = S.values("f", "id, rule, message, meta, code, dialect", S.SCANNED_SQL)
+#: A scanner's finding for each document; its id is the document's.
+SCANNED = S.dealt_sql("dealt", "id, rule, message, meta, code, dialect", S.SCANNED_SQL) + ", f AS (SELECT doc_id AS id, rule, message, meta, code, dialect FROM dealt)"
 WEAK = " OR ".join(f"contains(lower(message), {Q(w)})" for w in sqli.WEAK_WORDS)
 
 
+def scanned(spark, sf_dir):
+    rows = S.dealt(spark, sf_dir, "id long, rule string, message string, meta string, code string, dialect string", S.SCANNED_SQL)
+    return rows.withColumn("id", F.col("doc_id")).drop("doc_id")
+
+
 @query(f"""WITH {SCANNED}, s AS (SELECT id, greatest(0, CASE WHEN regexp_matches(rule, {Q(sqli.RULE_STRONG)}) THEN 42 ELSE 0 END + CASE WHEN regexp_matches(meta, {Q(sqli.CWE_89)}) THEN 38 ELSE 0 END
  + CASE WHEN regexp_matches(meta, '(?i)\\binjection\\b') AND regexp_matches(meta, '(?i)\\bsql\\b') THEN 22 ELSE 0 END + CASE WHEN regexp_matches(message, {Q(sqli.MESSAGE_STRONG)}) THEN 28 WHEN regexp_matches(message, {Q(sqli.MESSAGE_MEDIUM)}) THEN 18 ELSE 0 END
  + CASE WHEN regexp_matches(meta, '(?i)\\bowasp\\b') AND regexp_matches(meta, '(?i)\\bA0?3\\b|injection') THEN 12 ELSE 0 END + CASE WHEN regexp_matches(meta, '(?i)\\btechnology\\b') AND regexp_matches(meta, '(?i)\\bsql\\b') THEN 8 ELSE 0 END
@@ -372,20 +378,20 @@ WEAK = " OR ".join(f"contains(lower(message), {Q(w)})" for w in sqli.WEAK_WORDS)
  - CASE WHEN regexp_matches(message, {Q(sqli.FALSE_HINT)}) THEN 25 ELSE 0 END + CASE WHEN {WEAK} THEN 3 ELSE 0 END) AS score FROM f)
 SELECT id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 45 THEN 'high' WHEN score >= 28 THEN 'medium' WHEN score >= 18 THEN 'low' END AS band FROM s""")
 def sqli_signal_score(spark, sf_dir):
-    f = S.inline(spark, "id int, rule string, message string, meta string, code string, dialect string", S.SCANNED_SQL)
+    f = scanned(spark, sf_dir)
     score = sqli.signal_score(F.col("rule"), F.col("message"), F.col("meta"))
     return f.select("id", score.cast("int").alias("score"), sqli.score_band(score).alias("band"))
 
 
 @query(f"WITH {SCANNED} SELECT 'f' || id AS path, id AS line, code AS text, 'medium' AS confidence, 20 AS score FROM f WHERE regexp_matches(code, {Q(sqli.SQL_WORD)}) AND regexp_matches(code, {Q(sqli.BUILT_TEXT)})")
 def diff_line_heuristic(spark, sf_dir):
-    f = S.inline(spark, "id int, rule string, message string, meta string, code string, dialect string", S.SCANNED_SQL)
+    f = scanned(spark, sf_dir)
     return sqli.risky_lines(f.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.col("id").alias("line"), F.col("code").alias("text")))
 
 
 @query()
 def rewrite_fix(spark, sf_dir):
-    f = S.inline(spark, "id int, rule string, message string, meta string, code string, dialect string", S.SCANNED_SQL).select("id", "code", "dialect")
+    f = scanned(spark, sf_dir).select("id", "code", "dialect")
     return sqli.graded(sqli.rewrites(f))
 
 
