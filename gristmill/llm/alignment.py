@@ -1,17 +1,18 @@
 """Alignment of two tokenizers' tokens over the same bytes, in relations.
 
-Tokens of both sides become rows (`posexplode`), a running sum of byte lengths says where each begins and
-ends, and an equi-join of both sides on the text and that place finds the cuts, where tokens of both end.
+Tokens of both sides are rows of a block's columns; a running sum of byte lengths says where each begins and
+ends, and an equi-join of both sides on that place finds the cuts, where tokens of both end.
 A running count of cuts numbers the groups. Between two consecutive places exactly one token of either side
 lies over the bytes, so the joined rows, each with the last token of either side, are the links.
 
 Texts are put together from cells: a cell begins at a blank between two `SOLID` characters, where both
 tokenizers always cut (their vocabularies are checked for it at the start), so a cell has the same tokens and groups in
-every text. Documents lie in blocks (`blocks`); the distinct cells of a block are encoded and aligned where
-the block lies, and documents then add up their cells' rows. A pair's count is the number of documents that
-hold it linked: blocks count their own, which are summed over the corpus, so no key's rows grow beyond one
-a block. The counts are joined to the links by hash while their number allows to send them everywhere
-(`PAIRS`), else by a shuffle.
+every text. Documents are read in blocks, where they lie; the distinct cells of a block are encoded and aligned
+once, and documents then add up their cells' rows. No text is shuffled. A pair's count is the number of documents that
+hold it linked: blocks count their own, which are summed over the corpus and go back to the blocks that
+hold the pair, so no key's rows grow beyond one a block. They go back by a hash join while their number allows
+to send them everywhere (`PAIRS`), else by a shuffle. Between the two passes a block keeps its
+documents as numbers of cells, and its cells as numbers of pairs, compressed.
 
 Edge cases: texts null, empty or changed by a tokenizer (joined bytes differ) have no tokens: zeros, ''
 instead of a digest, and they count for no pair; texts and cells are taken whole, however long; equal rows
@@ -22,18 +23,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from array import array
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.blocks import dealt
-from gristmill.runtime import cut, ship, small_side
+from gristmill.llm.scan import slices
+from gristmill.runtime import cut, ship, small_side, spread
 
 ship(__name__)
+ship("gristmill.llm.scan")
 
 #: Characters between which a blank begins a cell: none is white space for either tokenizer.
 SOLID = "[!-~¡-¬®-˿Ͱ-ԯぁ-ヿ一-鿿가-힣]"
@@ -43,13 +47,14 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # End of fixed value.
 #: Distinct pairs up to which their counts are broadcast (about 40 bytes each).
 PAIRS = 2_000_000
-#: Bytes of text in a block.
-BLOCK = 12_000_000
+#: Characters of text in a block, and cells that are encoded at a time.
+BLOCK, CHUNK = 32_000_000, 20_000
 #: A pair's number: the id of A times this, plus the id of B.
 SECOND = 1 << 20
 #: A token in an array: its id, and from this bit on its bytes.
 LENGTH_BIT = 17
-SIDES = "struct<a:array<int>,b:array<int>>"
+#: What a block keeps: `packed`, its documents with their cells' numbers, and the cells' links; its pairs, and how many of its documents hold each.
+BLOCKS = "block long, docs binary, links binary, pairs array<long>, held array<int>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -72,155 +77,210 @@ class Both:
         self.a_bytes = {i: t for t, i in ranks.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.a_lengths, self.b_lengths = (np.array([len(t.get(i, b"")) for i in range(max(t) + 1)], np.int64) for t in (self.a_bytes, self.b_bytes))
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("cells need a piece vocabulary without pieces over a blank")
 
     def encode(self, cells: list[str]) -> pa.StructArray:
-        """`SIDES` of each cell: no tokens where a tokenizer changes it."""
-        sides = [], []
-        encode_a, a_bytes, b_bytes = self.a.encode_ordinary, self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for cell, b in zip(cells, self.b.encode([c[1:] for c in cells], num_threads=1)):
-            a = encode_a(cell)
-            a_parts, b_parts = [*map(a_bytes, a)], [*map(b_bytes, b)]
-            fine = b"".join(a_parts) == cell.encode() == b"".join(b_parts)
-            for out, ids, parts in zip(sides, (a, b), (a_parts, b_parts)):
-                out.append([i | len(p) << LENGTH_BIT for i, p in zip(ids, parts)] if fine else [])
-        return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in sides], names=["a", "b"])
+        """Tokens of each cell on either side, a and b: none where a tokenizer changes it."""
+        raw = [c.encode() for c in cells]
+        sizes = np.array([*map(len, raw)], np.int64)
+        fine, sides = np.ones(len(raw), bool), []
+        for ids, known, lengths in (([*map(self.a.encode_ordinary, cells)], self.a_bytes, self.a_lengths), (self.b.encode([c[1:] for c in cells], num_threads=1), self.b_bytes, self.b_lengths)):
+            ptr = np.concatenate([[0], np.cumsum([*map(len, ids)])]).astype(np.int64)
+            flat = [*chain.from_iterable(ids)]
+            tokens = np.array(flat, np.int64)
+            own = added(ptr, lengths[tokens])
+            said = b"".join(map(known.__getitem__, flat))
+            if (own != sizes).any() or said != b"".join(raw):
+                fine &= (own == sizes) & [said[e - n : e] == r for r, n, e in zip(raw, own.tolist(), np.cumsum(own).tolist())]
+            sides.append((ptr, tokens, lengths))
+        out = [lists(np.where(fine, np.diff(ptr), 0), (tokens | lengths[tokens] << LENGTH_BIT)[np.repeat(fine, np.diff(ptr))]) for ptr, tokens, lengths in sides]
+        return pa.StructArray.from_arrays(out, names=["a", "b"])
 
 
 def cells_of(text: str | None) -> list[str]:
     return re.split(CELLS, " " + text) if text else []
 
 
-def encoder(df: DataFrame, a_path: str, b_path: str):
-    """A function from a column of cells to `SIDES`."""
-    with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
-        source = (f.read(), g.read())
-    Both(*source)  # fails here, not in a task
-    shared = df.sparkSession.sparkContext.broadcast({"source": source})
+def ragged(ptr: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the values of `rows`, whose values begin at `ptr`, one row after the other."""
+    sizes = ptr[rows + 1] - ptr[rows]
+    return np.repeat(ptr[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
-    @F.arrow_udf(SIDES)
-    def encode(cells: pa.Array) -> pa.Array:
-        here = shared.value  # one object per Python worker
-        both = here["both"] = here.get("both") or Both(*here["source"])
-        return both.encode(cells.to_pylist())
 
-    return encode
+def added(ptr: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values of each row."""
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return sums[ptr[1:]] - sums[ptr[:-1]]
 
 
-def places(tokens: DataFrame, key: list[str], sides: tuple[str, str]) -> DataFrame:
-    """`tokens` (key, and an array of tokens for either side) as one row per place where a token begins.
+def lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
 
-    Columns: key, at, a and b (ids that begin there, else null), n_group (cuts so far), over_a and over_b (the tokens that lie over the
-    bytes from there on).
-    """
-    first, second = sides
-    rows = tokens.select(*key, F.size(first).alias("n"), F.posexplode(F.concat(first, second)).alias("pos", "token"))
-    rows = rows.select(*key, (F.col("pos") >= F.col("n")).alias("side"), "pos", F.col("token").bitwiseAND((1 << LENGTH_BIT) - 1).alias("id"), F.shiftright("token", LENGTH_BIT).alias("len"))
-    before = Window.partitionBy(*key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    begun = rows.withColumn("at", F.sum("len").over(before) - F.col("len"))
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))
-    joined = begun.groupBy(*key, "at").agg(of(False).alias("a"), of(True).alias("b"))  # both sides come from one scan: a grouping joins them
-    so_far = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")).over(so_far)
-    return joined.withColumns({"n_group": cuts, "over_a": F.last("a", ignorenulls=True).over(so_far), "over_b": F.last("b", ignorenulls=True).over(so_far)})
-
-
-#: 128 bits of a cell's hash come first: rows that a task sorts differ in them.
-KEY = ["h", "g", "block"]
-
-
-def cell_places(blocks: DataFrame, parts: int, encode) -> DataFrame:
-    """`places` of the distinct cells of every block. Only the arrays of tokens are shuffled, to where their block's documents lie."""
-    text = F.element_at("doc", 2)
-    cells = blocks.select("block", F.explode(F.split(F.concat(F.lit(" "), text), CELLS, -1)).alias("cell")).distinct()
-    coded = cells.select("block", "cell", encode("cell").alias("t")).select("block", "cell", "t.*").repartition(parts, "block")
-    return places(coded.select(F.xxhash64("cell").alias("h"), F.xxhash64(F.lit(1), "cell").alias("g"), "block", "a", "b"), KEY, ("a", "b"))
-
-
-class Cells(dict):
-    """Cell -> what `told` makes of its rows (their first and last), or None; `table` has the rows of all cells by h and g, in any order."""
-
-    def __init__(self, table: pa.Table, told):
-        super().__init__()
-        self.told = told
-        self.columns = {n: table.column(n).to_numpy() for n in table.column_names}
-        h, g = self.columns.pop("h"), self.columns.pop("g")
-        order = np.lexsort((self.columns["at"], g, h))
-        h, g = h[order], g[order]
-        self.columns = {n: c[order] for n, c in self.columns.items()}
-        firsts = np.flatnonzero((np.diff(h, prepend=0) != 0) | (np.diff(g, prepend=0) != 0)) if len(h) else []
-        if len(h) and (not len(firsts) or firsts[0]):
-            firsts = np.append(0, firsts)
-        lasts = np.append(firsts[1:], len(h)) if len(h) else []
-        self.place = dict(zip(zip(h[firsts].tolist(), g[firsts].tolist()), zip(firsts.tolist(), lasts.tolist()))) if len(h) else {}
-        self.seed = xxhash.xxh64_intdigest(b"\1\0\0\0", 42)
-
-    def __missing__(self, cell: str):
-        raw = cell.encode()
-        h, g = (x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(raw, 42), xxhash.xxh64_intdigest(raw, self.seed)))
-        at = self.place.get((h, g))
-        got = self[cell] = self.told(self.columns, *at) if at else None
-        return got
-
-
-def pair_counts(blocks: DataFrame, parts: int, encode) -> DataFrame:
-    """a, b, n_docs, best: how many documents hold the pair linked, and whether no pair of that A has more."""
-    pairs = cell_places(blocks, parts, encode).select(F.col("block").alias("at_block"), "h", "g", "at", (F.col("over_a").cast("long") * SECOND + F.col("over_b")).alias("pair"))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = Cells(right.drop_columns(["at_block"]), lambda columns, a, b: columns["pair"][a:b].tolist())
-        docs: Counter = Counter()
-        for doc in left.column("doc"):
-            found = [known[c] for c in set(cells_of(doc[1].as_py()))]
-            if None not in found:
-                docs.update(set().union(*found))
-        return pa.table({"pair": pa.array(docs.keys(), pa.int64()), "n": pa.array(docs.values(), pa.int64())})
-
-    held = blocks.groupBy("block").cogroup(pairs.groupBy("at_block")).applyInArrow(run, "pair long, n long")
-    counts = held.groupBy("pair").agg(F.sum("n").alias("n_docs"))
-    a = F.expr(f"pair div {SECOND}").cast("int")
-    best = F.col("n_docs") == F.max("n_docs").over(Window.partitionBy("a"))
-    return counts.select(a.alias("a"), (F.col("pair") % SECOND).cast("int").alias("b"), "n_docs").withColumn("best", best)
+def rows_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row of a column of lists begins, and the values."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.offsets.to_numpy(), whole.values.to_numpy()
+
+
+def packed(**columns) -> bytes:
+    batch = pa.record_batch({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
-def _told(columns: dict, first: int, last: int) -> tuple:
-    """(n_a, n_b, n_groups, n_links, n_best, count_sum, the groups' ids) of a cell from its places."""
-    cell = {n: c[first:last].tolist() for n, c in columns.items()}
-    groups: list[tuple[list, list]] = []
-    for a, b, n in zip(cell["a"], cell["b"], cell["n_group"]):
-        if n > len(groups):
-            groups.append(([], []))
-        if a >= 0:
-            groups[-1][0].append(str(a))
-        if b >= 0:
-            groups[-1][1].append(str(b))
-    ids = ";".join(f"{','.join(a)}|{','.join(b)}" for a, b in groups)
-    return sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), last - first, sum(cell["best"]), sum(cell["n_docs"]), ids
+@dataclass
+class Cells:
+    """Cells aligned: tokens of either side, groups and links of each, and a's and b's ids group by group as text."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    #: Where each cell's links begin, and the links as pairs' numbers.
+    ptr: np.ndarray
+    pairs: np.ndarray
+    ids: list[str]
+
+
+def places(coded: pa.StructArray) -> Cells:
+    """`Cells` of tokens: every place where a token begins is a row.
+
+    A cell has equally many bytes on either side, so the running sums over all cells say where a token lies on both.
+    """
+    ids, begins, firsts, counts = [], [], [], []
+    for side in ("a", "b"):
+        lists = coded.field(side)
+        at, tokens = lists.offsets.to_numpy(), lists.values.to_numpy()
+        tokens = tokens[at[0] : at[-1]]
+        ends = np.concatenate([[0], np.cumsum(tokens >> LENGTH_BIT, dtype=np.int64)])
+        ids.append(tokens & (1 << LENGTH_BIT) - 1)
+        begins.append(ends[:-1])
+        firsts.append(ends[at - at[0]])  # the byte where each cell begins, and the end
+        counts.append(np.diff(at))
+    rows = np.union1d(*begins)
+    over = [np.searchsorted(b, rows, "right") - 1 for b in begins]
+    both = np.ones(len(rows), np.int64)
+    for b, o in zip(begins, over):
+        both &= b[o] == rows
+    so_far = np.cumsum(both)
+    ptr = np.searchsorted(rows, firsts[0])
+    pairs = ids[0][over[0]].astype(np.int64) * SECOND + ids[1][over[1]]
+    return Cells(*counts, added(ptr, both), ptr, pairs, listed(ids, [so_far[np.searchsorted(rows, b)] for b in begins], counts))
+
+
+def listed(ids: list[np.ndarray], groups: list[np.ndarray], counts: list[np.ndarray]) -> list[str]:
+    """Of each cell its groups' ids, `a1,a2|b1;...`."""
+    token, group, side = np.concatenate(ids), np.concatenate(groups), np.repeat([0, 1], [len(x) for x in ids])
+    order = np.argsort(group * 2 + side, kind="stable")
+    token, group, side = token[order], group[order], side[order]
+    then = np.where(np.diff(group, append=-1) != 0, ";", np.where(np.diff(side, append=-1) != 0, "|", ",")).astype(object)
+    names, number = np.unique(token, return_inverse=True)
+    parts = (np.array([str(x) for x in names.tolist()], object)[number] + then).tolist() if len(token) else []
+    ends = np.cumsum(counts[0] + counts[1]).tolist()
+    return ["".join(parts[a:b])[:-1] for a, b in zip([0, *ends], ends)]
+
+
+class Block:
+    """Documents read so far, as numbers of the distinct cells."""
+
+    def __init__(self):
+        self.size, self.doc_ids, self.sizes = 0, [], []
+        self.number: dict[str, int] = {}
+        self.cells = array("i")
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        cells, number = cells_of(text), self.number
+        self.cells.extend([number.setdefault(c, len(number)) for c in cells])
+        self.doc_ids.append(doc_id)
+        self.sizes.append(len(cells))
+        self.size += len(text or "")
+
+    def aligned(self, both: Both) -> Cells:
+        names = list(self.number)
+        parts = [places(both.encode(names[at : at + CHUNK])) for at in range(0, len(names) or 1, CHUNK)]
+        ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.ptr) for p in parts]))]).astype(np.int64)
+        return Cells(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("n_a", "n_b", "n_groups")), ptr, np.concatenate([p.pairs for p in parts]), [x for p in parts for x in p.ids])
+
+    def row(self, block: int, both: Both) -> pa.RecordBatch:
+        """The block as a row of `BLOCKS`."""
+        known = self.aligned(both)
+        ptr = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        cells = np.frombuffer(self.cells, np.int32)
+        void = (ptr[1:] == ptr[:-1]) | (added(ptr, known.n_a[cells] == 0) > 0)
+        pairs, link = np.unique(known.pairs, return_inverse=True)
+        held = np.zeros(len(pairs), np.int32)
+        digests = []
+        for at, end, none in zip(ptr.tolist(), ptr[1:].tolist(), void.tolist()):
+            own = cells[at:end]
+            digests.append("" if none else hashlib.sha256(";".join(map(known.ids.__getitem__, own.tolist())).encode()).hexdigest())
+            if not none:
+                held[np.unique(link[ragged(known.ptr, np.unique(own))])] += 1
+        sums = {n: np.where(void, 0, added(ptr, v[cells])) for n, v in (("n_a", known.n_a), ("n_b", known.n_b), ("n_groups", known.n_groups), ("n_links", np.diff(known.ptr)))}
+        docs = packed(doc_id=pa.array(self.doc_ids, pa.int64()), **sums, groups_sha256=digests, cells=lists(np.where(void, 0, np.diff(ptr)), cells[np.repeat(~void, np.diff(ptr))]))
+        links = packed(links=lists(np.diff(known.ptr), link))
+        row = ([block], pa.int64()), ([docs], pa.binary()), ([links], pa.binary()), ([pairs], pa.list_(pa.int64())), ([held], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(*x) for x in row], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
+def blocks_of(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """`BLOCKS` of `docs`, where these lie."""
+    with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
+        source = (f.read(), g.read())
+    Both(*source)  # fails here, not in a task
+    shared = docs.sparkSession.sparkContext.broadcast({"source": source})
+
+    def run(batches):
+        here = shared.value  # one object per Python worker
+        both = here["both"] = here.get("both") or Both(*here["source"])
+        block, number = Block(), TaskContext.get().partitionId() << 32
+        for batch in slices(batches):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                block.add(doc_id, text)
+                if block.size >= BLOCK:
+                    yield block.row(number, both)
+                    block, number = Block(), number + 1
+        if block.doc_ids:
+            yield block.row(number, both)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCKS)
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """pair, n_docs, best: how many documents hold the pair linked, and whether no pair of that A has more."""
+    counts = pairs.groupBy("pair").agg(F.sum("held").alias("n_docs"))
+    best = F.col("n_docs") == F.max("n_docs").over(Window.partitionBy("a"))
+    return counts.withColumn("a", F.expr(f"pair div {SECOND}")).select("pair", "n_docs", best.alias("best"))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """`RESULT` for every row of `docs` (doc_id, text)."""
-    encode = encoder(docs, a_path, b_path)
-    counts = cut(pair_counts(*dealt(docs, BLOCK, 1, pack=True), encode)).select(F.col("a").alias("over_a"), F.col("b").alias("over_b"), "n_docs", "best")
-    blocks, parts = dealt(docs, BLOCK, 1, pack=True)
-    links = cell_places(blocks, parts, encode).join(small_side(counts, counts.count(), PAIRS), ["over_a", "over_b"], "left")
-    absent = lambda c: F.coalesce(F.col(c), F.lit(-1)).alias(c)
-    rows = links.select(F.col("block").alias("at_block"), "h", "g", "at", absent("a"), absent("b"), "n_group", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("best", F.lit(False)).cast("int").alias("best"))
+    blocks = cut(blocks_of(spread(docs.select("doc_id", "text")), a_path, b_path))
+    pairs = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "x")).select(F.col("block").alias("at_block"), "place", "x.*").withColumnRenamed("pairs", "pair")
+    counts = cut(pair_counts(pairs))
+    found = pairs.drop("held").join(small_side(counts, counts.count(), PAIRS), "pair").select("at_block", "place", "n_docs", "best")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = Cells(right.drop_columns(["at_block"]), _told)
-        out = [[] for _ in range(8)]
-        for doc in left.column("doc"):
-            i, text = doc.as_py()
-            own = [known[c] for c in cells_of(text)]
-            row = [0] * 6 + [""]
-            if own and None not in own:
-                *numbers, ids = zip(*own)
-                row = [*map(sum, numbers), hashlib.sha256(";".join(ids).encode()).hexdigest()]
-            for column, v in zip(out, [int(i) if i is not None else None, *row]):
-                column.append(v)
-        kinds = [pa.int64()] * 7 + [pa.string()]
-        return pa.table([pa.array(x, k) for x, k in zip(out, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
-
-    return blocks.groupBy("block").cogroup(rows.groupBy("at_block")).applyInArrow(run, RESULT)
+        place = right.column("place").to_numpy()
+        out = []
+        for row in left.select(["docs", "links"]).to_pylist():
+            docs, links = unpacked(row["docs"]), unpacked(row["links"])
+            (of_cell, link), (of_doc, cell) = rows_of(links.column("links")), rows_of(docs.column("cells"))
+            told = docs.drop_columns(["cells"])
+            for name, kind in (("count_sum", "n_docs"), ("n_best", "best")):
+                values = np.zeros(len(place), np.int64)
+                values[place] = right.column(kind).to_numpy()
+                told = told.append_column(name, pa.array(added(of_doc, added(of_cell, values[link])[cell])))
+            out.append(told.select([x.split()[0] for x in RESULT.split(", ")]))
+        return pa.concat_tables(out)
+
+    parts = max(2, blocks.count())
+    return blocks.select("block", "docs", "links").repartition(parts, "block").groupBy("block").cogroup(found.groupBy("at_block")).applyInArrow(run, RESULT)

@@ -134,3 +134,17 @@ def test_edges(spark, theirs, awkward, empty, clashing, make):
     assert rows(A.align(clashing, *TOKENIZERS)) == plain(theirs, [(r["doc_id"], r["text"]) for r in clashing.collect()])
     hard = make([(1, "日本語" * 3000), (2, "x" * 9000), (3, "a▁b"), (4, "a b  "), (4, "a b  "), (5, "<s> </s> <|endoftext|> <unk>"), (6, "   "), (7, "a▁b c")])
     assert rows(A.align(hard, *TOKENIZERS)) == plain(theirs, [(r["doc_id"], r["text"]) for r in hard.collect()])
+
+
+def test_documents_are_read_once_and_no_text_is_shuffled(spark, sf):
+    docs = table(spark, sf, "documents")
+    again = A.align(docs, *TOKENIZERS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in again and "documents" not in again
+    kept = A.blocks_of(docs, *TOKENIZERS).selectExpr("sum(length(docs) + length(links)) AS n").first()["n"]
+    assert kept < docs.selectExpr("sum(octet_length(text)) AS n").first()["n"]
+
+
+def test_a_cell_that_one_tokenizer_changes_has_no_tokens(theirs):
+    both = A.Both(open(TOKENIZERS[0], encoding="utf-8").read(), open(TOKENIZERS[1], "rb").read())
+    got = both.encode([" a", " a\u2581b", " ﬁ", "", " bc"]).to_pylist()
+    assert [bool(c["a"]) for c in got] == [bool(whole(theirs, t)) for t in ("a", "a\u2581b", "ﬁ", "", "bc")]
