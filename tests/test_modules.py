@@ -100,3 +100,21 @@ def test_nothing_to_read(spark):
     assert M.route_map(none).collect() == [] and M.serialised(M.route_map(none), none).collect() == []
     bare = files(spark, [("a.ts", "const x = 1"), ("tsconfig.json", "not json")])
     assert [r.n_routes for r in M.serialised(M.route_map(bare), bare).collect()] == [0]
+
+
+def test_comments_of_any_shape_are_tokens_as_before_and_their_text_is_not_shuffled(spark):
+    sources = ["/**/a", "/***/ b /* x * / y **/ c", "/* open ; d", "/*" + "* " * 200_000 + "*/ e", "/* \n\n */ f // g */\nh", "/*/ i */ j", "a /* b \n*/ { /* } */ }", "'/* k */' /* l */"]
+    files = spark.createDataFrame([("r", str(i), x) for i, x in enumerate(sources)], "repo string, path string, content string")
+    got = {(r["path"], r["n"]): (r["token"], r["line"], r["depth"]) for r in M.tokens(files).collect()}
+    want = {}
+    for i, x in enumerate(sources):
+        line, depth = 1, 0
+        for n, t in enumerate(re.findall(M.TOKEN, x)):
+            depth -= t in ")]}"
+            if t != "\n" and not t.startswith(("//", "/*")):
+                want[str(i), n] = t, line, depth
+            depth += t in "([{"
+            line += t.count("\n")
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    plan = M.tokens(files)._jdf.queryExecution().executedPlan().toString()
+    assert "THEN token" in plan.split("Exchange")[-1] and "/\\*[\\s\\S]*?" not in plan
