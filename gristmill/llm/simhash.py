@@ -132,11 +132,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return known.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """(u, v) links between the sets of `sets` (set, fp) by op2's blocks: each set with the smallest of its fingerprint, these with each other at most 3 bits apart."""
+    centres = cut(sets.groupBy("fp").agg(F.min("set").alias("centre")))
+    same = sets.join(centres, "fp").where("set <> centre").select(F.col("set").alias("u"), F.col("centre").alias("v"))
+    ends = [centres.select(F.col("fp").alias(f), F.col("centre").alias(c)) for f, c in (("u", "a"), ("v", "b"))]
+    apart = links(centres.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return same.unionByName(apart)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near copies: the one with the smallest doc_id (null last), then row hash.
 
-    Near copies share 0.8 or more of their 5-word shingles (`near_copies`); the settings above are op2's
-    alone. Rows equal in every column are combined before the shuffle and count as one, so that many
+    Near copies share 0.8 or more of their 5-word shingles. Their SimHash fingerprints are linked as op2's
+    are; links count if the shingles are shared, and what differs in more bits is found as `near_copies` says. Rows equal in every column are combined before the shuffle and count as one, so that many
     such rows don't meet in one task. Columns of any name keep their values: the helper's names are
     chosen apart from them. Null and empty texts are copies of each other; an empty table gives no rows.
     """
@@ -147,13 +156,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     narrow = rowed.select("doc_id", F.col(doc).alias("_doc"), F.col(row).alias("_row"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_doc", "_row")
     known = cut(near_copies.sketches(narrow, ["doc_id", "_doc", "_row"]))
-    least = cut(known.groupBy("set").agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in ("n", "bands", "bits"))))
+    least = cut(known.groupBy("set").agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "bands", "bits"))))
 
     def texts(wanted: DataFrame) -> DataFrame:
         one = cut(least.join(wanted, "set").select("set", "least._doc", "least._row"))
         found = narrow.drop("doc_id").join(small_side(one, one.count()), ["_doc", "_row"]).dropDuplicates(["set"])
         return near_copies.shingle_sets(found, ["set"])
 
-    joined = least.select("set", "least").join(near_copies.groups(least, texts), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    joined = least.select("set", "least").join(near_copies.groups(least, texts, linked=linked_sets(least.select("set", "fp"))), "set", "left").withColumn("root", F.coalesce("root", "set"))
     kept = joined.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._doc").alias(doc), F.col("first._row").alias(row))
     return keyed.join(kept, [doc, row], "left_semi").select(*names)

@@ -88,3 +88,22 @@ def test_keep_one_keeps_every_column(spark):
 def test_short_texts_have_no_bands():
     assert N.bands(N.shingles(b"a b c")) == [] and len(N.shingles(b"")) == 0 and len(N.shingles(b"One two")) == 1
     assert len(N.bands(np.arange(5, dtype=np.uint64))) == N.BANDS
+
+
+def test_simhash_links_join_near_copies_without_bands(spark, make, monkeypatch):
+    """The blocks of op2's method find what lies within 3 bits, and only what shares its shingles is joined."""
+    monkeypatch.setattr(N, "bands", lambda found: [])
+    r, texts = random.Random(8), []
+    for _ in range(8):
+        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(["first", *words])]
+    fps = [N.simhash(N.shingles(t.encode())) for t in texts]
+    near = [i for i in range(len(texts)) if not any(close(shingle_set(texts[i]), shingle_set(texts[j])) and (fps[i] ^ fps[j]).bit_count() <= 3 for j in range(i))]
+    kept = {row.doc_id for row in S.keep_one(make(list(enumerate(texts)))).collect()}
+    assert kept == set(near) and len(kept) < len(texts) / 2
+
+
+def test_simhash_of_a_set():
+    r = random.Random(9)
+    found = np.array([r.getrandbits(64) for _ in range(77)], np.uint64)
+    assert N.simhash(found) == sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in found) > 77) and N.simhash(found[:0]) == 0
