@@ -38,3 +38,12 @@ def test_the_rest_works_without_the_training_data_part(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not [n for n in q if n.startswith('op1')]; assert set(e.oracle_sql()) <= set(q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_counted_hits_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks follow the number of hits, with the same pairs."""
+    monkeypatch.setattr(pairing, "LINES", 50)
+    hits = spark.range(1000).selectExpr("id % 7 AS path", "if(id % 3 = 0, 'sink', 'source') AS role", "0 AS ord", "id AS pos", "cast(id * 13 % 900 AS int) AS line", "'p' AS pattern_id")
+    dealt = pairing.nearest_pairs(hits, counted=1000)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, pairing.nearest_pairs(hits).collect()))
+    assert "hashpartitioning(path, _strip, 20)" in " ".join(__import__("re").sub(r"#\d+L?", "", dealt._jdf.queryExecution().executedPlan().toString()).split())
