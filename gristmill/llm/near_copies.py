@@ -2,8 +2,8 @@
 
 Two texts are near copies if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or
 more. Texts with equal sets collapse first. Sets whose SimHash fingerprints are linked (`simhash`, at
-most 3 bits) are verified first and form components. A pair at 0.8 differs in about 10 bits, so bands
-find what lies beyond those, between components: each distinct set is keyed by `BANDS` bands of `ROWS`
+most 3 bits) are candidates. A pair at 0.8 differs in about 10 bits, so bands find what lies beyond
+those: each distinct set is keyed by `BANDS` bands of `ROWS`
 minima: a pair at 0.8 shares a band with a probability of 1 - (1 - 0.8^4)^20 = 0.99997, a closer
 one with more. Sets that share a band are held against each other by bitmaps of their shingles: a
 bit that only one of them has is a shingle that the other lacks, so the bits bound what they can
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.components import components
 from gristmill.llm.scan import slices
-from gristmill.runtime import cut, ship
+from gristmill.runtime import counted, cut, packed, ship
 
 ship(__name__)
 
@@ -142,8 +142,8 @@ def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(OF * both >= SHARED * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("key", F.col("set").alias(name), *(F.col(c).alias(f"_{c}_{name}") for c in ("n", "bits", "root")))
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("key", F.col("set").alias(name), *(F.col(c).alias(f"_{c}_{name}") for c in ("n", "bits", *more)))
 
 
 def _reach() -> Column:
@@ -154,45 +154,46 @@ def _reach() -> Column:
 
 
 def _pairs(left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
-    """The distinct (u, v) of one bucket, in different components so far, whose bitmaps leave room for the least similarity."""
-    met = left.join(right, (left["key"] == right["key"]) & where & (F.col("_root_u") != F.col("_root_v")) & _reach())
-    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    """The (u, v) of one bucket whose bitmaps leave room for the least similarity, once for each bucket that they share."""
+    met = left.join(right, (left["key"] == right["key"]) & where & _reach())
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def candidates(members: DataFrame, hot: int) -> DataFrame:
-    """(u, v) to verify among `members` (key, set, n, bits, root, members): from all pairs of a small bucket, from pivots of a larger one."""
+    """(u, v) to verify among `members` (key, set, n, bits, members): from all pairs of a small bucket, from pivots of a larger one."""
     few, many = members.where(F.col("members") <= hot), members.where(F.col("members") > hot)
     pairs = _pairs(_side(few, "u"), _side(few, "v"), F.col("u") > F.col("v"))
-    pivot = many.groupBy("key", F.pmod(F.xxhash64("set"), F.lit(CELLS)).alias("cell")).agg(F.min(F.struct("set", "n", "bits", "root")).alias("p")).select("key", "p.*")
+    pivot = many.groupBy("key", F.pmod(F.xxhash64("set"), F.lit(CELLS)).alias("cell")).agg(F.min(F.struct("set", "n", "bits")).alias("p")).select("key", "p.*")
     stars = _pairs(_side(many, "u"), _side(pivot, "v"), F.col("u") != F.col("v"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(stars)
 
 
 def apart(many: DataFrame, roots: DataFrame) -> DataFrame:
     """(u, v) still to verify in the large buckets `many`: sets outside a bucket's main component, with all in other components, given `roots` (set, root)."""
-    placed = cut(many.drop("root").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    placed = cut(many.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
     rest = placed.join(main, "key").where("root <> main")
-    return _pairs(_side(rest, "u"), _side(placed, "v"), F.lit(True))
+    return _pairs(_side(rest, "u", "root"), _side(placed, "v", "root"), F.col("_root_u") != F.col("_root_v")).distinct()
 
 
 def linked_pairs(linked: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs (u, v) of `linked` whose bitmaps, in `distinct` (set, n, bits), leave room for the least similarity."""
+    """The pairs (u, v) of `linked` whose bitmaps, in `distinct` (set, n, bits), leave room for the least similarity, the larger set first."""
     ends = [distinct.select(F.col("set").alias(c), F.col("n").alias(f"_n_{c}"), F.col("bits").alias(f"_bits_{c}")) for c in ("u", "v")]
-    return linked.join(ends[0], "u").join(ends[1], "v").where(_reach()).select("u", "v")
+    met = linked.join(ends[0], "u").join(ends[1], "v").where(_reach())
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def groups(distinct: DataFrame, texts, hot: int = HOT, linked: DataFrame | None = None) -> DataFrame:
     """(set, root) of the sets of `distinct` (set, n, bands, bits) that are near another one: equal roots for one group.
 
-    `texts` gives (set, shingles) for rows of sets. The pairs (u, v) of `linked` are verified first; bands
-    are held against each other between the components of these. What the large buckets add is joined
-    between the components found before, so that these are not computed again.
+    `texts` gives (set, shingles) for rows of sets. The pairs (u, v) of `linked` are verified with what bands
+    find, in one pass. What the large buckets add is joined between the components found before, so that
+    these are not computed again.
     """
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()
+        wanted = packed(pairs, counted(pairs)).select(F.explode(F.array("u", "v")).alias("set")).distinct()
         return cut(near(pairs, cut(texts(wanted))))
 
     def rooted(edges: DataFrame) -> DataFrame:
@@ -200,13 +201,10 @@ def groups(distinct: DataFrame, texts, hot: int = HOT, linked: DataFrame | None
 
     keyed = distinct.select("set", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = keyed.join(shared, "key").join(distinct.select("set", "n", "bits"), "set")  # bitmaps join what shares a band only
-    edges = None if linked is None else verified(cut(linked_pairs(linked, distinct)))
-    before = met.withColumn("root", F.col("set")) if edges is None else met.join(rooted(edges), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    members = cut(before)
-    first = cut(candidates(members, hot))
-    found = verified(first)
-    roots = rooted(found if edges is None else found.unionByName(edges))
+    members = cut(keyed.join(shared, "key").join(distinct.select("set", "n", "bits"), "set"))  # bitmaps join what shares a band only
+    met = candidates(members, hot)
+    first = cut((met if linked is None else met.unionByName(linked_pairs(linked, distinct))).distinct())
+    roots = rooted(verified(first))
     many = members.where(F.col("members") > hot)
     more = first.limit(0) if many.isEmpty() else cut(apart(many, roots).join(first, ["u", "v"], "left_anti"))
     if more.isEmpty():

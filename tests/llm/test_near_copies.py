@@ -107,3 +107,13 @@ def test_simhash_of_a_set():
     r = random.Random(9)
     found = np.array([r.getrandbits(64) for _ in range(77)], np.uint64)
     assert N.simhash(found) == sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in found) > 77) and N.simhash(found[:0]) == 0
+
+
+def test_links_and_bands_are_verified_in_one_pass(spark, make, monkeypatch):
+    """Links and bands were verified one after the other, each with its own components: too much disk on many partitions."""
+    r, passes, near = random.Random(9), [], N.near
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(4)]
+    texts = [" ".join([*words, *more]) for words in texts for more in ([], ["more"], ["and", "more"])]
+    monkeypatch.setattr(N, "near", lambda pairs, sets: passes.append(1) or near(pairs, sets))
+    kept = S.keep_one(make(list(enumerate(texts))))
+    assert [x.doc_id for x in kept.select("doc_id").orderBy("doc_id").collect()] == [0, 3, 6, 9] and len(passes) == 1

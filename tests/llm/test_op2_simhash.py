@@ -100,3 +100,23 @@ def test_query_equals_brute_force(spark, sf):
         least[root[f]] = min(i, least.get(root[f], i))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op2_simhash_blocks"](spark, sf).collect()}
     assert got == {i: (f"{f:016x}", least[root[f]]) for i, f in fps.items()}
+
+
+def test_rounds_over_few_links_take_few_tasks(spark):
+    """A round's tasks follow the counted links, not the partitions that they lie in."""
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few links", "")
+        edges = spark.range(200).selectExpr("id + 1 AS u", "id AS v").repartition(50)
+        assert {r.root for r in C.components(edges).collect()} == {0}
+        at = sc.statusTracker()
+        stages = {s for j in at.getJobIdsForGroup("few links") for s in at.getJobInfo(j).stageIds}
+        assert sum(i.numCompletedTasks for i in map(at.getStageInfo, stages) if i) < 1000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
