@@ -21,6 +21,7 @@ import heapq
 import json
 import re
 import struct
+import sys
 import unicodedata
 from itertools import accumulate
 
@@ -37,8 +38,10 @@ ship("gristmill.llm.scan")
 
 #: Parts up to which the array is scanned.
 SHORT = 128
-#: Words kept encoded by a Python worker, the bytes that they may take by a rough count, and the longest one kept; pieces get a third of both. At a limit either starts afresh.
-CACHE, CACHE_BYTES, KEPT_LENGTH = 600_000, 200_000_000, 1_000
+#: Words kept encoded by a Python worker, the bytes that these and their ids may take, and the longest one kept; pieces get a third of both. At a limit either starts afresh.
+CACHE, CACHE_BYTES, KEPT_LENGTH = 600_000, 120_000_000, 1_000
+#: Bytes of a dictionary's entry, with its free places.
+ENTRY = 50
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 # Where Python's and regex's character tables are older or newer than the tokenizers library's.
@@ -67,6 +70,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
+class Kept(dict):
+    """Ids (bytes) of words or pieces; what isn't kept comes from `miss`."""
+
+    def __init__(self, miss):
+        super().__init__()
+        self.miss = miss
+
+    def __missing__(self, key: str) -> bytes:
+        return self.miss(key)
+
+
 class WordBpe:
     """Encoder and decoder for one tokenizer JSON."""
 
@@ -77,7 +91,8 @@ class WordBpe:
         self.vocab = model["vocab"]
         self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.token = np.array([token.get(i) for i in range(max(token) + 1)], object)
         self.letters = byte_letters()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         odd = "".join(f"{chr(a)}-{chr(b)}" for a, b in NO_LETTERS)
@@ -87,8 +102,7 @@ class WordBpe:
         self.later = {a + i: low + i for a, b, low in LATER_CASE for i in range(b - a + 1)}
         self.white = regex.compile(f"[{WHITE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, tuple[bytes, str, int]] = {}
-        self.known_pieces: dict[str, list[int]] = {}
+        self.known, self.known_pieces = Kept(self.word), Kept(self.piece)
         self.held = [0, 0]
 
     def parts(self, piece: str) -> list[str]:
@@ -132,29 +146,26 @@ class WordBpe:
                     heapq.heappush(heap, (r, a))
         return [s for s in symbols if s]
 
-    def keep(self, place: int, cache: dict, key: str, value, ids: int) -> None:
+    def keep(self, place: int, cache: Kept, key: str, ids: bytes) -> bytes:
         """Puts a word (place 0) or a piece (1) into its cache, which starts afresh when it would outgrow its limits."""
         if len(key) <= KEPT_LENGTH:
-            size = 200 + 3 * len(key) + 16 * ids  # the key, the ids and their text
+            size = ENTRY + sys.getsizeof(key) + sys.getsizeof(ids)
             if self.held[place] + size > CACHE_BYTES // (1, 3)[place] or len(cache) >= max(CACHE // (1, 3)[place], 1):
                 cache.clear()
                 self.held[place] = 0
-            cache[key] = value
+            cache[key] = ids
             self.held[place] += size
+        return ids
 
-    def piece(self, piece: str) -> list[int]:
-        got = self.known_pieces.get(piece)
-        if got is None:
-            got = [self.vocab[t] for t in self.parts(piece)]
-            self.keep(1, self.known_pieces, piece, got, len(got))
-        return got
+    def piece(self, piece: str) -> bytes:
+        ids = [self.vocab[t] for t in self.parts(piece)]
+        return self.keep(1, self.known_pieces, piece, struct.pack(f"<{len(ids)}I", *ids))
 
-    def word(self, word: str) -> tuple[bytes, str, int]:
-        """(ids as bytes, their decoded text, number of ids) of a string without white space."""
-        ids = [i for piece in self.pieces.findall(word) for i in self.piece(piece)]
-        got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids), len(ids)
-        self.keep(0, self.known, word, got, len(ids))
-        return got
+    def word(self, word: str) -> bytes:
+        """Ids, as little-endian 32-bit bytes, of a string without white space. A word of one piece shares its key and ids with this."""
+        pieces = self.pieces.findall(word)
+        ids = self.known_pieces[word] if pieces == [word] else b"".join(map(self.known_pieces.__getitem__, pieces))
+        return self.keep(0, self.known, word, ids)
 
     def words(self, text: str) -> list[str]:
         """The normal form of a text, cut at white space."""
@@ -167,21 +178,21 @@ class WordBpe:
 
     def encode_bytes(self, text: str) -> tuple[bytes, str, int]:
         """(ids as little-endian 32-bit bytes, decoded text, number of ids) of a whole text."""
-        out, known, miss = [], self.known.get, self.word
+        out, known = [], self.known.__getitem__
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.added:
-                i = self.added[part]
-                out.append((struct.pack("<I", i), self.decode([i]), 1))
+                out.append(struct.pack("<I", self.added[part]))
             else:
-                out += [known(w) or miss(w) for w in self.words(part)]
-        ids, decoded, counts = zip(*out) if out else ((), (), ())
-        return b"".join(ids), " ".join(decoded), sum(counts)
+                out += map(known, self.words(part))
+        data = b"".join(out)
+        ids = np.frombuffer(data, "<u4")
+        return data, self.decode(ids), len(ids)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.token.__getitem__, ids))
+    def decode(self, ids) -> str:
+        return " ".join(self.token[np.asarray(ids, np.intp)].tolist())
 
 
 def _run(docs: DataFrame, path: str, row, schema: str) -> DataFrame:

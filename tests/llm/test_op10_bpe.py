@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import pytest
 from tokenizers import Tokenizer
@@ -85,3 +86,17 @@ def test_query_equals_the_library(spark, sf, theirs):
         ids = theirs.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_a_kept_word_takes_few_bytes(ours):
+    """A word of one piece is held once, by its ids alone (before: its decoded text too, and the piece beside it)."""
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(8)) for _ in range(20_000)]
+    tracemalloc.start()
+    fresh = B.WordBpe(open(TOKENIZER, encoding="utf-8").read())
+    began = tracemalloc.get_traced_memory()[0]
+    for at in range(0, len(words), 100):
+        fresh.encode_bytes(" ".join(words[at : at + 100]))
+    took = tracemalloc.get_traced_memory()[0] - began
+    tracemalloc.stop()
+    assert len(fresh.known) == len(set(words)) and took < 300 * len(words) and took < sum(fresh.held) * 1.1
