@@ -21,22 +21,61 @@ def _better(a: tuple | None, b: tuple | None) -> tuple | None:
     return a if (min(map(len, a)), -len(a)) >= (min(map(len, b)), -len(b)) else b
 
 
+def _exact(op, arg) -> tuple | None:
+    """All that one item of a pattern can match, if these are few fixed strings."""
+    if op is C.AT:  # takes no room
+        return ("",)
+    if op is C.LITERAL:
+        return (chr(arg),)
+    if op is C.IN and len(arg) <= 2 and all(kind is C.LITERAL for kind, _ in arg):
+        return tuple(chr(x) for _, x in arg)
+    if op is C.SUBPATTERN and arg[0] is None and not arg[1] & re.IGNORECASE:
+        return _product(arg[3])
+    if op is C.BRANCH:
+        each = [_product(x) for x in arg[1]]
+        return tuple(dict.fromkeys(x for some in each for x in some)) if None not in each else None
+    return None
+
+
+def _product(items) -> tuple | None:
+    """All that a sequence of items can match, if these are few fixed strings."""
+    out = ("",)
+    for op, arg in items:
+        one = _exact(op, arg)
+        if one is None or len(out) * len(one) > MOST:
+            return None
+        out = tuple(a + b for a in out for b in one)
+    return out
+
+
+def _least(found) -> tuple:
+    """Without those that hold another one."""
+    found = tuple(dict.fromkeys(found))
+    return tuple(x for x in found if not any(y != x and y in x for y in found))
+
+
 def _of(items) -> tuple | None:
-    best, run = None, ""
+    best, run = None, ("",)
+    kept = lambda run: run if all(run) else None
     for op, arg in items:
-        if op is C.LITERAL:
-            run += chr(arg)
+        one = _exact(op, arg)
+        if one == ("",):
+            continue
+        if one is not None and len(run) == 1:  # what lies side by side is one literal: a dot and the names behind it
+            run = tuple(run[0] + x for x in one)
+            continue
+        best, run = _better(best, kept(run)), one or ("",)
+        if one is not None:
             continue
-        best, run = _better(best, (run,) if run else None), ""
         if op is C.SUBPATTERN and not arg[1] & re.IGNORECASE:
             best = _better(best, _of(arg[3]))
         elif op is C.BRANCH:
             each = [_of(x) for x in arg[1]]
             if None not in each:
-                best = _better(best, tuple(dict.fromkeys(x for alternatives in each for x in alternatives)))
+                best = _better(best, _least(x for alternatives in each for x in alternatives))
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] >= 1:
             best = _better(best, _of(arg[2]))
-    return _better(best, (run,) if run else None)
+    return _better(best, kept(run))
 
 
 @cache

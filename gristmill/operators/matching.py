@@ -90,11 +90,18 @@ def all_hits(files: DataFrame, patterns: list[Pattern]) -> DataFrame:
 
 
 def line_hits(files: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Per line the first pattern, in order, that matches it alone: path, line, pattern_id, ord, text."""
-    lines = files.select("path", F.posexplode(lines_of(F.col("content"))).alias("_i", "_line"))
+    """Per line the first pattern, in order, that matches it alone: path, line, pattern_id, ord, text.
+
+    What a line must hold, its content holds: patterns are chosen by whole contents first, and a content without any is not cut into lines.
+    Choice and hit are exploded, not filtered: a filter is pushed below their projection and computes them again, with lower-case forms for each pattern.
+    """
+    files = files.select("path", "content", F.lower("content").alias("_low"))
+    chosen = F.array(*(allowed(p, F.col("path")) & may_match(F.col("content"), F.col("_low"), p.regex) for p in patterns))
+    files = files.select("path", "content", chosen.alias("_chosen"))
+    lines = files.select("path", "_chosen", F.posexplode(F.when(F.array_contains("_chosen", F.lit(True)), lines_of(F.col("content")))).alias("_i", "_line"))
     lines = lines.withColumn("_low", F.lower("_line"))
-    first = F.coalesce(*[F.when(allowed(p, F.col("path")) & may_match(F.col("_line"), F.col("_low"), p.regex) & F.col("_line").rlike(p.regex), F.struct(F.lit(p.id).alias("pattern_id"), F.lit(p.ord).alias("ord"))) for p in patterns])
-    hit = lines.withColumn("_hit", first).where("_hit IS NOT NULL")
+    first = F.coalesce(*[F.when(F.get("_chosen", F.lit(i)) & may_match(F.col("_line"), F.col("_low"), p.regex) & F.col("_line").rlike(p.regex), F.struct(F.lit(p.id).alias("pattern_id"), F.lit(p.ord).alias("ord"))) for i, p in enumerate(patterns)])
+    hit = lines.select("path", "_i", "_line", F.explode(F.array(first)).alias("_hit")).where("_hit IS NOT NULL")
     return hit.select("path", (F.col("_i") + 1).alias("line"), "_hit.pattern_id", "_hit.ord", F.substring(F.trim("_line"), 1, 200).alias("text"))
 
 

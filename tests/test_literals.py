@@ -61,3 +61,29 @@ def test_each_pattern_is_searched_for_once(spark):
     assert searches(pairing.nearest_pairs(hits))["regexp_extract_all"] == len(idor)
     early = patterns("admin-check")
     assert searches(matching.earliest_hit(files, early).select("hit.pos"))["regexp_instr"] == len(early)
+
+
+@pytest.mark.parametrize(
+    "regex, want",
+    [
+        (r"@\w+\.(?:get|post)\s*\(", ((".get", ".post"), False)), (r"\b(?:session|db)\.get\b\s*\(", ((".get",), False)), (r"new [Ww]eb", (("new W", "new w"), False)),
+        (r"x+\.(?:get|use)\(|\bapp\.use\(", ((".get", ".use"), False)), (r"(?:a|b|c|d)(?:e|f|g|h)xyz", (("xyz",), False)),
+    ],
+)
+def test_neighbours_are_one_literal(regex, want):
+    assert required(regex) == want
+
+
+def test_route_definitions_have_literals():
+    """The dearest pattern: without literals it was searched for in every line and content."""
+    assert all(required(p.regex) for f in ("auth-bypass", "admin-check") for p in patterns(f))
+
+
+def test_contents_without_any_literal_are_not_cut_into_lines(spark):
+    files = spark.createDataFrame([("1/a.ts", "plain words\nof a text"), ("2/a.ts", None), ("3/a.ts", ""), ("4/a.ts", "x\r\nrouter.get('/a', h)\n jwt.verify(t)")], "path string, content string")
+    got = matching.line_hits(files, patterns("auth-bypass"))
+    assert [(r.path, r.line, r.pattern_id) for r in got.orderBy("path", "line").collect()] == [("4/a.ts", 2, "express_route_def"), ("4/a.ts", 3, "jwt_verify")]
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    spark.conf.set("spark.sql.maxPlanStringLength", 50_000_000)
+    plan = got.select("path", "line")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("lower(content"), plan.count("lower(_line"), plan.count("RLIKE(")) == (1, 1, len(patterns("auth-bypass")))
